@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import chat_format, exact_dedup, mixing, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_chat_formatting": chat_format.op8_chat_formatting,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op8_chat_formatting": chat_format.SQL,
+    "op10_warc": warc.SQL,
 }
