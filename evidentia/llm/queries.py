@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language, mixing, quality_model, quality_rules, warc
+from . import chat_format, exact_dedup, language, mixing, ppm, quality_model, quality_rules, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
+    "op9_lm_scoring": ppm.op9_lm_scoring,
     "op10_warc": warc.op10_warc,
 }
 
