@@ -24,7 +24,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
-    "spark.sql.streaming.metricsEnabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -92,7 +92,8 @@ def _clashes(docs: DataFrame, digest, several: DataFrame) -> DataFrame | None:
     """Digests whose rows differ in some byte; full bytes of every hit are compared, in each task first."""
     text = normalised(docs["text"])
     hits = docs.select(digest(text).alias("digest"), text.alias("body")).join(several, "digest")
-    hits = materialise(hits, "hits")
+    with settings(docs.sparkSession, spark__sql__autoBroadcastJoinThreshold="-1"):  # one plan at every size
+        hits = materialise(hits, "hits")
     clash = hits.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest")
     clash = materialise(clash, "clash")
     return None if clash.isEmpty() else clash
