@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language, mixing, ppm, quality_model, quality_rules, warc
+from . import chat_format, exact_dedup, language, mixing, partenum, ppm, quality_model, quality_rules, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op5_language_id": language.op5_language_id,
+    "op6_ngram_jaccard": partenum.op6_ngram_jaccard,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_chat_formatting": chat_format.op8_chat_formatting,
     "op9_lm_scoring": ppm.op9_lm_scoring,
