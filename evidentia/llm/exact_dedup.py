@@ -120,7 +120,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     tagged = docs.withColumn("_digest", digest)
     on = lambda other: tagged["doc_id"].eqNullSafe(other["doc_id"]) & (tagged["_digest"] == other["digest"])
     gone, twice = dropped.filter("NOT any"), dropped.filter("any AND n > 1")
-    out = tagged.join(gone, on(gone), "left_anti")
+    out = tagged.join(gone.hint("shuffle_hash"), on(gone), "left_anti")
     if not twice.isEmpty():
         once = tagged.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "_digest"])
         out = out.join(twice, on(twice), "left_anti").unionByName(once)

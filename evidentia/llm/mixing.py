@@ -79,6 +79,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows, each as many times as the mix takes it, with docs' columns.
+
+    A document that a cut goes through is taken whole. Rows that share an id appear equally often.
+    """
+    found = mix(docs, **options)
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    times = found.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.sum(times) / F.count(F.lit(1))).cast("int").alias("_times"))
+    times = materialise(times.filter("_times > 0"), "times").hint("shuffle_hash")
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+
+
 def op2_mixing(spark, sf_dir):
     from .common import table
 

@@ -275,7 +275,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest id of their component, with docs' columns; rows without an id stay."""
     found, _ = join(docs, width, percent)
     gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def op6_ngram_jaccard(spark, sf_dir):

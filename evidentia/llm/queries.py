@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, language, mixing, partenum, ppm, quality_model, quality_rules, warc
+from . import chat_format, exact_dedup, language, mixing, partenum, pieces, ppm, quality_model, quality_rules, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_mixing": mixing.op2_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_classifier": quality_model.op4_quality_classifier,
