@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from evidentia import catalogue, catalogue_more
+
+QUERIES = {**catalogue.QUERIES, **catalogue_more.QUERIES}
+SQL = {**catalogue.SQL, **catalogue_more.SQL}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Every question's recall packet."""
+    return catalogue_more.gather(spark, sf_dir)
