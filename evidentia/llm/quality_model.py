@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import fold, materialise
 
@@ -225,7 +226,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     described = materialise(describe(docs), "described")
     model = fit(described, labels)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def good(text: pd.Series) -> pd.Series:
         return pd.Series(model(np.array([statistics(t) for t in text])) >= ACCEPT if len(text) else [], dtype=bool)
 
