@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = "pieces"
-BATCH = 1600
+BATCH = 600
 
 _UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 _P = np.uint64(0x9E3779B97F4A7C15)
