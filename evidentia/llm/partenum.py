@@ -7,10 +7,14 @@ k2 features, so some n2 - k2 parts of such a partition agree. Each choice of n2
 partition is a signature: similar sets share one. A set may leave out up to SPARE signatures without
 any feature, which would otherwise gather unrelated sets; one with more of them emits all.
 
-Equal sets are collapsed first. Rows with equal signatures are then compared with their group's
-smallest id only, and the links found give components. Within a group, pairs of different components
-are compared in a second round, at most GROUP members at a time; larger groups are split by finer
-signatures under the first, and compared whole at the last level. All links are checked on the sets.
+Equal sets are collapsed first. Signatures of a few partitions then find most copies: rows of one
+such signature are compared with its smallest id only, and the links found give components. The full
+signatures follow, each row with its component. Only groups with several components matter: their
+pairs across components are compared, of groups up to GROUP rows at once; larger groups are split by
+finer signatures under the first, and compared whole at the last level. Before sets are fetched, a
+pair must pass a lower bound of its Hamming distance: each set has a parity sketch of about two bits a
+feature, and no more bits of two sketches differ than features of their sets. All links are checked on
+the sets.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than a
 shingle form one shingle; rows without an id link with nothing and have no component; rows that share
@@ -33,6 +37,11 @@ from .common import materialise, settings
 SPARE = 3
 BAND_RATIO = 1.4
 GROUP = 64
+SLICE = 500
+GATHER = 400_000
+EARLY = 3
+#: Rows of one signature that a task holds back while it may still turn out to have one component.
+HELD = 200_000
 #: (parts of a partition, parts that may differ) by level.
 LEVELS = ((3, 1), (6, 3))
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -82,8 +91,8 @@ def _bands(largest: int) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def signatures(sets: list[np.ndarray], percent: int, level: int = 0, salts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(index of set, signature) for all sets; salts are mixed in, one a set."""
+def signatures(sets: list[np.ndarray], percent: int, level: int = 0, salts: np.ndarray | None = None, partitions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of set, signature) for all sets; salts are mixed in, one a set; partitions limits to the first ones."""
     n2, k2 = LEVELS[level]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not len(sizes) or not sizes.max(initial=0):
@@ -126,70 +135,185 @@ def signatures(sets: list[np.ndarray], percent: int, level: int = 0, salts: np.n
     rows, sigs, bare = np.concatenate(rows), np.concatenate(sigs), np.concatenate(bare)
     few = np.bincount(rows[bare], minlength=len(doc)) <= SPARE
     keep = ~(bare & few[rows])
+    if partitions is not None:
+        keep &= np.tile(place, len(sigs) // max(len(place), 1)) < partitions
     return doc[rows[keep]], sigs[keep]
 
 
-def _summaries(width: int):
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def parity_sketch(features: np.ndarray) -> bytes:
+    """Bit i is the parity of the features that fall on it; a power of two of bits, about two a feature."""
+    bits = 64
+    while bits < 2 * len(features):
+        bits *= 2
+    odd = np.bincount((_mix(features ^ np.uint64(77)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the Hamming distance of the sets behind two sketches; the longer is folded onto the shorter."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) if len(a) > len(b) else a
+    return int(np.bitwise_count(folded ^ b).sum())
+
+
+def _summaries(width: int, percent: int):
+    """n_shingles, two sums that stand for the set, parity sketch and early signatures of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        for batch in _slices(batches):
             sets = shingle_sets(batch["text"].to_pylist(), width)
             one = [int(_mix(s).sum(dtype=np.uint64)) for s in sets]
             two = [int(_mix(s ^ _GOLD).sum(dtype=np.uint64)) for s in sets]
-            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two))], ["doc_id", "n_shingles", "one", "two"])
+            row, sig = signatures(sets, percent, partitions=EARLY)
+            order = np.argsort(row, kind="stable")
+            bounds = np.searchsorted(row[order], np.arange(len(sets) + 1))
+            early = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sig[order].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two)), pa.array([parity_sketch(s) for s in sets], pa.binary()), early], ["doc_id", "n_shingles", "one", "two", "sketch", "early"])
 
     return run
 
 
 def _signed_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+        for batch in _slices(batches):
+            ids, labels = batch["doc_id"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
             row, sig = signatures(shingle_sets(batch["text"].to_pylist(), width), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64())], ["sig", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(labels[row], pa.int64())], ["sig", "doc", "label"])
 
     return run
 
 
 def _finer_rows(percent: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, salts = batch["doc"].to_numpy(zero_copy_only=False), batch["sig"].to_numpy(zero_copy_only=False).view(np.uint64)
+        for batch in _slices(batches):
+            ids, labels = batch["doc"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
             sets = [np.array(s, dtype=np.int64).view(np.uint64) for s in batch["shingles"].to_pylist()]
-            row, sig = signatures(sets, percent, level, salts)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64())], ["sig", "doc"])
+            row, sig = signatures(sets, percent, level, batch["sig"].to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(labels[row], pa.int64())], ["sig", "doc", "label"])
 
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig and doc: (sig, a, b, place) for every b beside its group's first, a."""
-    last = first = seen = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, doc = batch["sig"].to_numpy(zero_copy_only=False), batch["doc"].to_numpy(zero_copy_only=False)
-        head = np.ones(len(sig), dtype=bool)
-        head[1:] = sig[1:] != sig[:-1]
-        start = np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))
-        leader, place = doc[start], np.arange(len(sig)) - start
-        if last is not None and sig[0] == last:
-            run = start == 0
-            leader = np.where(run, first, leader)
-            place = np.where(run, place + seen + 1, place)
-        last, first, seen = sig[-1], leader[-1], place[-1]
-        use = (place > 0) & (leader != doc)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[use]), pa.array(leader[use]), pa.array(doc[use]), pa.array(place[use])], ["sig", "a", "b", "place"])
-
-
-def _starred(rows: DataFrame, name: str) -> DataFrame:
-    dealt = rows.repartition("sig").sortWithinPartitions("sig", "doc")
-    return materialise(dealt.mapInArrow(_stars, "sig long, a long, b long, place long"), name)
+def _pairs_across(sig: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of rows of one sig and different labels, for rows sorted by sig."""
+    left, right, at = [], [], np.arange(len(sig))
+    step = 1
+    while True:
+        at = at[at + step < len(sig)]
+        at = at[sig[at] == sig[at + step]]
+        if not len(at):
+            break
+        cross = at[label[at] != label[at + step]]
+        left.append(np.minimum(doc[cross], doc[cross + step]))
+        right.append(np.maximum(doc[cross], doc[cross + step]))
+        step += 1
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new & (a != b)], b[new & (a != b)]
+
+
+def _mixed_groups(last_level: bool, group: int, hold: int):
+    """From rows (sig, doc, label) sorted by sig: pairs (a, b) of small groups with several labels, rows of large ones.
+
+    A group that outgrows what a task holds back is passed on as rows at once, whatever its labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sig", "doc", "label"]
+        held = [np.zeros(0, np.int64)] * 3
+        forced = None
+
+        def settle(last: bool):
+            nonlocal held, forced
+            sig, doc, label = held
+            if not len(sig):
+                return
+            cut = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
+            if not last and len(sig) - cut > hold and not last_level:
+                passing, cut = sig[-1], len(sig)
+            else:
+                passing = None
+            if cut:
+                heads = np.flatnonzero(np.concatenate([[True], sig[1:cut] != sig[: cut - 1]]))
+                sizes = np.diff(np.append(heads, cut))
+                several = np.minimum.reduceat(label[:cut], heads) != np.maximum.reduceat(label[:cut], heads)
+                whole = np.isin(sig[heads], [x for x in (forced, passing) if x is not None])
+                large = (sizes > group) & (not last_level)
+                rows = np.repeat(whole | (several & large), sizes)
+                small = np.repeat(several & ~large & ~whole, sizes)
+                a, b = _pairs_across(sig[:cut][small], doc[:cut][small], label[:cut][small])
+                n, m = int(rows.sum()), len(a)
+                none = lambda k: pa.nulls(k, pa.int64())
+                both = [pa.concat_arrays([pa.array(x[:cut][rows]), none(m)]) for x in held] + [pa.concat_arrays([none(n), pa.array(x)]) for x in (a, b)]
+                if n + m:
+                    yield pa.RecordBatch.from_arrays(both, [*names, "a", "b"])
+            forced = passing if passing is not None else (forced if forced is not None and len(sig) > cut and sig[-1] == forced else None)
+            held = [x[cut:] for x in held]
+
+        waiting: list = []
+        count = 0
+        for batch in batches:
+            waiting.append([batch[n].to_numpy(zero_copy_only=False) for n in names])
+            count += batch.num_rows
+            if count >= GATHER:
+                held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+                waiting, count = [], 0
+                yield from settle(False)
+        if waiting:
+            held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+        yield from settle(True)
 
+    return run
 
-def _set_rows(width: int):
+
+def _mixed(rows: DataFrame, name: str, last_level: bool) -> DataFrame:
+    dealt = rows.repartition("sig").sortWithinPartitions("sig")
+    return materialise(dealt.mapInArrow(_mixed_groups(last_level, GROUP, HELD), "sig long, doc long, label long, a long, b long"), name)
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b): every row of rows(sig, doc) beside its signature's smallest doc."""
+    rows = materialise(rows, "early")
+    first = materialise(rows.groupBy("sig").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leaders")
+    return rows.join(first, "sig").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+
+
+def _may_link(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            least = np.array([least_distance(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)], dtype=np.int64)
+            n = batch["n"].to_numpy(zero_copy_only=False)
+            yield batch.select(["a", "b"]).filter(pa.array(least * (100 + percent) <= (100 - percent) * n))
+
+    return run
+
+
+def _plausible(pairs: DataFrame, summaries: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs whose sizes and sketches allow similarity; nothing similar leaves."""
+    pairs = materialise(pairs, "pairs")
+    side = lambda k, c, n: summaries.select(F.col("rep").alias(k), F.col("sketch").alias(c), F.col("n_shingles").alias(n))
+    j = pairs.join(side("b", "y", "n_b"), "b").join(side("a", "x", "n_a"), "a")
+    j = j.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return materialise(j.select("a", "b", "x", "y", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(_may_link(percent), "a long, b long"), name)
+
+
+def _set_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
             sets = shingle_sets(batch["text"].to_pylist(), width)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "shingles"])
 
@@ -220,52 +344,45 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     return materialise(pairs.join(second, "b").join(first, "a").filter(similar).select("a", "b"), name)
 
 
-def _mixed(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """sig, doc, label of the members, but the first, of groups with members of several components."""
-    late = stars.select("sig", F.col("b").alias("doc"))
-    late = late.join(labels, late["doc"] == labels["id"], "left").select("sig", "doc", F.coalesce("label", "doc").alias("label"))
-    late = materialise(late, "members")
-    per = late.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
-    per = materialise(per.filter("low <> high").select("sig", "members"), "mixed_groups")
-    return materialise(late.join(per, "sig"), "mixed")
-
-
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id per row of docs(doc_id, text); links between representatives of unequal sets)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
-        rows = materialise(docs.mapInArrow(_summaries(width), "doc_id long, n_shingles long, one long, two long"), "summaries")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = materialise(ids.distinct(), "asked")
+        return materialise(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, shingles array<long>"), "sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+
+    def labelled(reps: DataFrame, labels: DataFrame) -> DataFrame:
+        return reps.join(labels, reps["rep"] == labels["id"], "left").select("rep", F.coalesce("label", "rep").alias("label"))
+
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        rows = materialise(docs.mapInArrow(_summaries(width, percent), "doc_id long, n_shingles long, one long, two long, sketch binary, early array<long>"), "summaries")
         own = ["n_shingles", "one", "two"]
         classes = materialise(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
-        reps = materialise(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps")
-        text = docs.join(reps.hint("shuffle_hash"), "doc_id", "left_semi")
-        stars = _starred(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long"), "stars")
-        pairs = materialise(stars.select("a", "b").distinct(), "pairs")
-        asked = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "asked")
-        sets = materialise(docs.join(asked.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, shingles array<long>"), "sets")
-        links = _links(pairs, sets, percent, "links")
-        labels = components(links)
-        for level in range(1, len(LEVELS) + 1):
-            mixed = _mixed(stars, labels)
-            if mixed.isEmpty():
+        is_rep = (rows["doc_id"] == classes["rep"]) & (rows["n_shingles"] == classes["n_shingles"]) & (rows["one"] == classes["one"]) & (rows["two"] == classes["two"])
+        reps = rows.join(classes, is_rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "early")
+        reps = materialise(reps.dropDuplicates(["rep", "n_shingles", "sketch"]), "reps")
+        pairs = _plausible(_stars(reps.select(F.explode("early").alias("sig"), F.col("rep").alias("doc"))), reps, percent, "early_pairs")
+        links = _links(pairs, sets_of(ends(pairs)), percent, "links")
+        told = materialise(labelled(reps, components(links)).select(F.col("rep").alias("doc_id"), "label").distinct(), "told")
+        text = docs.join(told.hint("shuffle_hash"), "doc_id")
+        groups = _mixed(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long"), "mixed", False)
+        near = groups.filter("a IS NOT NULL").select("a", "b")
+        for level in range(1, len(LEVELS)):
+            far = groups.filter("a IS NULL").select("sig", "doc", "label")
+            if far.isEmpty():
                 break
-            near = mixed if level == len(LEVELS) else mixed.filter(F.col("members") <= GROUP)
-            other = near.select("sig", F.col("doc").alias("b"), F.col("label").alias("other"))
-            cross = near.select("sig", F.col("doc").alias("a"), "label").join(other, "sig").filter("a < b AND label <> other").select("a", "b")
-            pairs, stars = cross, None
-            if level < len(LEVELS):
-                far = mixed.filter(F.col("members") > GROUP)
-                if not far.isEmpty():
-                    finer = far.select("sig", "doc").join(sets, "doc").select("sig", "doc", "shingles").mapInArrow(_finer_rows(percent, level), "sig long, doc long")
-                    stars = _starred(finer, "finer_stars")
-                    pairs = pairs.unionByName(stars.select("a", "b"))
-            links = materialise(links.unionByName(_links(materialise(pairs.distinct(), "pairs"), sets, percent, "links")), "all_links")
-            labels = components(links)
-            if stars is None:
-                break
-        known = rows.alias("r").join(classes, own, "left")
-        known = known.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+            finer = far.join(sets_of(far.select(F.col("doc").alias("doc_id"))), "doc").select("sig", "doc", "label", "shingles")
+            groups = _mixed(finer.mapInArrow(_finer_rows(percent, level), "sig long, doc long, label long"), "finer", level + 1 == len(LEVELS))
+            near = near.unionByName(groups.filter("a IS NOT NULL").select("a", "b"))
+        pairs = _plausible(near.distinct(), reps, percent, "late_pairs")
+        links = materialise(links.unionByName(_links(pairs, sets_of(ends(pairs)), percent, "links")), "all_links")
+        labels = components(links)
+        known = rows.join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
         labels = labels.select(F.col("id").alias("rep"), "label")
         out = materialise(known.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "components")
     return out, links
