@@ -8,10 +8,10 @@ partition is a signature: similar sets share one. A set may leave out up to SPAR
 any feature, which would otherwise gather unrelated sets; one with more of them emits all.
 
 Equal sets are collapsed first. Signatures of a few partitions then find most copies: rows of one
-such signature are compared with its smallest id only, and the links found give components. The full
+such signature are compared with its most central one only, and the links found give components. The full
 signatures follow, each row with its component. Only groups with several components matter: their
 pairs across components are compared, of groups up to GROUP rows at once; larger groups are split by
-finer signatures under the first, and compared whole at the last level. Before sets are fetched, a
+finer signatures of their members, and compared whole at the last level. Before sets are fetched, a
 pair must pass a lower bound of its Hamming distance: each set has a parity sketch of about two bits a
 feature, and no more bits of two sketches differ than features of their sets. All links are checked on
 the sets.
@@ -39,7 +39,7 @@ BAND_RATIO = 1.4
 GROUP = 64
 SLICE = 500
 GATHER = 400_000
-EARLY = 3
+EARLY = 8
 #: Rows of one signature that a task holds back while it may still turn out to have one component.
 HELD = 200_000
 #: (parts of a partition, parts that may differ) by level.
@@ -91,8 +91,8 @@ def _bands(largest: int) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def signatures(sets: list[np.ndarray], percent: int, level: int = 0, salts: np.ndarray | None = None, partitions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(index of set, signature) for all sets; salts are mixed in, one a set; partitions limits to the first ones."""
+def signatures(sets: list[np.ndarray], percent: int, level: int = 0, partitions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of set, signature) for all sets; partitions limits to the first ones."""
     n2, k2 = LEVELS[level]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     if not len(sizes) or not sizes.max(initial=0):
@@ -122,8 +122,6 @@ def signatures(sets: list[np.ndarray], percent: int, level: int = 0, salts: np.n
     place = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n1)[:-1]]), n1)
     total, filled = total.reshape(-1, n2), filled.reshape(-1, n2)
     tag = _mix(band[of].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64))
-    if salts is not None:
-        tag ^= _mix(salts[doc][of])
     rows, sigs, bare = [], [], []
     for number, chosen in enumerate(combinations(range(n2), n2 - k2)):
         s = _mix(tag + np.uint64(number))
@@ -192,19 +190,32 @@ def _signed_rows(width: int, percent: int):
     return run
 
 
+FINER = "sig long, doc long, label long, n long, q0 long, q1 long, q2 long, q3 long"
+
+
 def _finer_rows(percent: int, level: int):
+    """Signatures of a finer level; each row has its set's size and 256 bits of parity sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             ids, labels = batch["doc"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
             sets = [np.array(s, dtype=np.int64).view(np.uint64) for s in batch["shingles"].to_pylist()]
-            row, sig = signatures(sets, percent, level, batch["sig"].to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(labels[row], pa.int64())], ["sig", "doc", "label"])
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            odd = [np.packbits((np.bincount((_mix(s) >> np.uint64(40)).astype(np.int64) % 256, minlength=256) & 1).astype(np.uint8)) for s in sets]
+            bits = np.array(odd, dtype=np.uint8).reshape(-1, 32).view(np.int64)
+            row, sig = signatures(sets, percent, level)
+            columns = [sig.view(np.int64), ids[row], labels[row], sizes[row], *[bits[row, i] for i in range(4)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sig", "doc", "label", "n", "q0", "q1", "q2", "q3"])
 
     return run
 
 
-def _pairs_across(sig: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of rows of one sig and different labels, for rows sorted by sig."""
+def _pairs_across(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of rows (sig, doc, label, …) of one sig and different labels, for rows sorted by sig.
+
+    Where rows have a size and a sketch, pairs that these rule out are left out.
+    """
+    sig, doc, label, *more = columns
     left, right, at = [], [], np.arange(len(sig))
     step = 1
     while True:
@@ -212,9 +223,15 @@ def _pairs_across(sig: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[
         at = at[sig[at] == sig[at + step]]
         if not len(at):
             break
-        cross = at[label[at] != label[at + step]]
-        left.append(np.minimum(doc[cross], doc[cross + step]))
-        right.append(np.maximum(doc[cross], doc[cross + step]))
+        x = at[label[at] != label[at + step]]
+        y = x + step
+        if more and len(x):
+            n, bits = more[0], more[1:]
+            apart = sum(np.bitwise_count((q[x] ^ q[y]).view(np.uint64)).astype(np.int64) for q in bits)
+            fits = (apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            x, y = x[fits], y[fits]
+        left.append(np.minimum(doc[x], doc[y]))
+        right.append(np.maximum(doc[x], doc[y]))
         step += 1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -226,27 +243,26 @@ def _pairs_across(sig: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[
     return a[new & (a != b)], b[new & (a != b)]
 
 
-def _mixed_groups(last_level: bool, group: int, hold: int):
-    """From rows (sig, doc, label) sorted by sig: pairs (a, b) of small groups with several labels, rows of large ones.
+def _mixed_groups(percent: int, last_level: bool, group: int, hold: int):
+    """From rows (sig, doc, label, …) sorted by sig: pairs (a, b) of small groups with several labels, (doc, label) of large ones.
 
-    A group that outgrows what a task holds back is passed on as rows at once, whatever its labels.
+    A group that outgrows what a task holds back is passed on as rows at once, whatever its labels. At
+    the last level every group is paired.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["sig", "doc", "label"]
-        held = [np.zeros(0, np.int64)] * 3
+        held: list[np.ndarray] = []
         forced = None
 
         def settle(last: bool):
             nonlocal held, forced
-            sig, doc, label = held
+            sig, doc, label = held[:3]
             if not len(sig):
                 return
             cut = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
+            passing = None
             if not last and len(sig) - cut > hold and not last_level:
                 passing, cut = sig[-1], len(sig)
-            else:
-                passing = None
             if cut:
                 heads = np.flatnonzero(np.concatenate([[True], sig[1:cut] != sig[: cut - 1]]))
                 sizes = np.diff(np.append(heads, cut))
@@ -255,41 +271,51 @@ def _mixed_groups(last_level: bool, group: int, hold: int):
                 large = (sizes > group) & (not last_level)
                 rows = np.repeat(whole | (several & large), sizes)
                 small = np.repeat(several & ~large & ~whole, sizes)
-                a, b = _pairs_across(sig[:cut][small], doc[:cut][small], label[:cut][small])
-                n, m = int(rows.sum()), len(a)
+                a, b = _pairs_across([x[:cut][small] for x in held], percent)
+                far, first = np.unique(doc[:cut][rows], return_index=True)  # a doc once, however many groups it is in
                 none = lambda k: pa.nulls(k, pa.int64())
-                both = [pa.concat_arrays([pa.array(x[:cut][rows]), none(m)]) for x in held] + [pa.concat_arrays([none(n), pa.array(x)]) for x in (a, b)]
-                if n + m:
-                    yield pa.RecordBatch.from_arrays(both, [*names, "a", "b"])
+                both = [pa.concat_arrays([pa.array(x), none(len(a))]) for x in (far, label[:cut][rows][first])] + [pa.concat_arrays([none(len(far)), pa.array(x)]) for x in (a, b)]
+                if len(far) + len(a):
+                    yield pa.RecordBatch.from_arrays(both, ["doc", "label", "a", "b"])
             forced = passing if passing is not None else (forced if forced is not None and len(sig) > cut and sig[-1] == forced else None)
             held = [x[cut:] for x in held]
 
         waiting: list = []
         count = 0
         for batch in batches:
-            waiting.append([batch[n].to_numpy(zero_copy_only=False) for n in names])
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             count += batch.num_rows
             if count >= GATHER:
-                held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+                held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
                 waiting, count = [], 0
                 yield from settle(False)
         if waiting:
-            held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
-        yield from settle(True)
+            held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
+        if held:
+            yield from settle(True)
 
     return run
 
 
-def _mixed(rows: DataFrame, name: str, last_level: bool) -> DataFrame:
+def _mixed(rows: DataFrame, name: str, percent: int, last_level: bool) -> DataFrame:
     dealt = rows.repartition("sig").sortWithinPartitions("sig")
-    return materialise(dealt.mapInArrow(_mixed_groups(last_level, GROUP, HELD), "sig long, doc long, label long, a long, b long"), name)
+    return materialise(dealt.mapInArrow(_mixed_groups(percent, last_level, GROUP, HELD), "doc long, label long, a long, b long"), name)
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b): every row of rows(sig, doc) beside its signature's smallest doc."""
+    """(a, b): every row of rows(sig, doc) beside its signature's most central doc.
+
+    Central is who shares signatures with most: of copies of one text the text itself, from which
+    each copy differs less than from another copy. Ties go to the smallest id.
+    """
     rows = materialise(rows, "early")
-    first = materialise(rows.groupBy("sig").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "leaders")
-    return rows.join(first, "sig").filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    sizes = materialise(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "early_sizes")
+    shared = materialise(rows.join(sizes, "sig"), "shared")
+    central = materialise(shared.groupBy("doc").agg(F.sum("n").alias("met")), "central")
+    first = shared.select("sig", "doc").join(central, "doc").groupBy("sig").agg(F.max(F.struct("met", (-F.col("doc")).alias("last"))).alias("top"))
+    first = materialise(first.select("sig", (-F.col("top.last")).alias("a")), "leaders")
+    pairs = shared.select("sig", "doc").join(first, "sig").filter("doc <> a")
+    return pairs.select("a", F.col("doc").alias("b")).distinct()
 
 
 def _may_link(percent: int):
@@ -370,14 +396,14 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
         links = _links(pairs, sets_of(ends(pairs)), percent, "links")
         told = materialise(labelled(reps, components(links)).select(F.col("rep").alias("doc_id"), "label").distinct(), "told")
         text = docs.join(told.hint("shuffle_hash"), "doc_id")
-        groups = _mixed(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long"), "mixed", False)
+        groups = _mixed(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long"), "mixed", percent, False)
         near = groups.filter("a IS NOT NULL").select("a", "b")
         for level in range(1, len(LEVELS)):
-            far = groups.filter("a IS NULL").select("sig", "doc", "label")
+            far = materialise(groups.filter("a IS NULL").select("doc", "label").distinct(), "far")
             if far.isEmpty():
                 break
-            finer = far.join(sets_of(far.select(F.col("doc").alias("doc_id"))), "doc").select("sig", "doc", "label", "shingles")
-            groups = _mixed(finer.mapInArrow(_finer_rows(percent, level), "sig long, doc long, label long"), "finer", level + 1 == len(LEVELS))
+            finer = far.join(sets_of(far.select(F.col("doc").alias("doc_id"))), "doc").select("doc", "label", "shingles")
+            groups = _mixed(finer.mapInArrow(_finer_rows(percent, level), FINER), "finer", percent, level + 1 == len(LEVELS))
             near = near.unionByName(groups.filter("a IS NOT NULL").select("a", "b"))
         pairs = _plausible(near.distinct(), reps, percent, "late_pairs")
         links = materialise(links.unionByName(_links(pairs, sets_of(ends(pairs)), percent, "links")), "all_links")
