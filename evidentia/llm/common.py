@@ -25,8 +25,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}/{name}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Deletes the scratch tables made inside when it ends, but for those passed to what it yields."""
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(*tables: DataFrame) -> None:
+        kept.update(t._scratch for t in tables)
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        for path in own:
+            if path in kept:
+                if _scopes:
+                    _scopes[-1].append(path)
+            else:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
@@ -56,7 +85,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with settings(spark, **{_CLEAN: "true"}):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def parts(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SPACE, materialise, scratch, settings
+from .common import SPACE, materialise, scratch, settings, temporary
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = {
@@ -113,10 +113,12 @@ def _apart(docs: DataFrame, digest, clash: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' columns; rows repeated under one id leave one."""
-    found = materialise(dedup(docs), "decisions")
     digest = sha256(normalised(docs["text"]))
-    dropped = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
-    dropped = materialise(dropped, "by_id")
+    with temporary(docs.sparkSession) as keep:
+        found = materialise(dedup(docs), "decisions")
+        dropped = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+        dropped = materialise(dropped, "by_id")
+        keep(dropped)
     tagged = docs.withColumn("_digest", digest)
     on = lambda other: tagged["doc_id"].eqNullSafe(other["doc_id"]) & (tagged["_digest"] == other["digest"])
     gone, twice = dropped.filter("NOT any"), dropped.filter("any AND n > 1")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, settings
+from .common import materialise, settings, temporary
 
 SPARE = 3
 BAND_RATIO = 1.4
@@ -385,16 +385,20 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     def labelled(reps: DataFrame, labels: DataFrame) -> DataFrame:
         return reps.join(labels, reps["rep"] == labels["id"], "left").select("rep", F.coalesce("label", "rep").alias("label"))
 
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        rows = materialise(docs.mapInArrow(_summaries(width, percent), "doc_id long, n_shingles long, one long, two long, sketch binary, early array<long>"), "summaries")
-        own = ["n_shingles", "one", "two"]
-        classes = materialise(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
-        is_rep = (rows["doc_id"] == classes["rep"]) & (rows["n_shingles"] == classes["n_shingles"]) & (rows["one"] == classes["one"]) & (rows["two"] == classes["two"])
-        reps = rows.join(classes, is_rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "early")
-        reps = materialise(reps.dropDuplicates(["rep", "n_shingles", "sketch"]), "reps")
-        pairs = _plausible(_stars(reps.select(F.explode("early").alias("sig"), F.col("rep").alias("doc"))), reps, percent, "early_pairs")
-        links = _links(pairs, sets_of(ends(pairs)), percent, "links")
-        told = materialise(labelled(reps, components(links)).select(F.col("rep").alias("doc_id"), "label").distinct(), "told")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), temporary(spark) as keep:
+        with temporary(spark) as keep_early:
+            rows = materialise(docs.mapInArrow(_summaries(width, percent), "doc_id long, n_shingles long, one long, two long, sketch binary, early array<long>"), "summaries")
+            own = ["n_shingles", "one", "two"]
+            classes = materialise(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
+            is_rep = (rows["doc_id"] == classes["rep"]) & (rows["n_shingles"] == classes["n_shingles"]) & (rows["one"] == classes["one"]) & (rows["two"] == classes["two"])
+            reps = rows.join(classes, is_rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "early")
+            early = materialise(reps.dropDuplicates(["rep", "n_shingles", "sketch"]), "reps")
+            reps = materialise(early.drop("early"), "sizes")
+            known = materialise(rows.join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
+            pairs = _plausible(_stars(early.select(F.explode("early").alias("sig"), F.col("rep").alias("doc"))), reps, percent, "early_pairs")
+            links = _links(pairs, sets_of(ends(pairs)), percent, "links")
+            told = materialise(labelled(reps, components(links)).select(F.col("rep").alias("doc_id"), "label").distinct(), "told")
+            keep_early(known, reps, links, told)
         text = docs.join(told.hint("shuffle_hash"), "doc_id")
         groups = _mixed(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long"), "mixed", percent, False)
         near = groups.filter("a IS NOT NULL").select("a", "b")
@@ -407,17 +411,18 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
             near = near.unionByName(groups.filter("a IS NOT NULL").select("a", "b"))
         pairs = _plausible(near.distinct(), reps, percent, "late_pairs")
         links = materialise(links.unionByName(_links(pairs, sets_of(ends(pairs)), percent, "links")), "all_links")
-        labels = components(links)
-        known = rows.join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-        labels = labels.select(F.col("id").alias("rep"), "label")
+        labels = components(links).select(F.col("id").alias("rep"), "label")
         out = materialise(known.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "components")
+        keep(out, links)
     return out, links
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with the smallest id of their component, with docs' columns; rows without an id stay."""
-    found, _ = join(docs, width, percent)
-    gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    with temporary(docs.sparkSession) as keep:
+        found, _ = join(docs, width, percent)
+        gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+        keep(gone)
     return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
