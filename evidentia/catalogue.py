@@ -271,6 +271,25 @@ def _pool(spark, d):
     return turns, asked, meaning, words
 
 
+POOL = 100
+
+
+def _document_pieces(turns):
+    """turn_id, revision, start, embedding of each 500-character piece."""
+    cut = turns.select("turn_id", "revision", F.explode(tx.pieces(F.col("content"))).alias("p"))
+    return cut.select("turn_id", "revision", F.col("p.start").alias("start"), vectors.hashing_embedder()(F.col("p.piece")).alias("embedding"))
+
+
+def _whole_pool(spark, d):
+    """Two ranked lists of document turns for every whole question: POOL turns by words, and POOL by their best piece's cosine."""
+    turns, asked = t.document_turns(spark, d), t.whole_questions(spark, d)
+    words = lexical.search(turns, asked, limit=POOL).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
+    embedded = asked.select("query_id", vectors.hashing_embedder()(F.col("query")).alias("embedding"))
+    hits = vectors.best_groups(_document_pieces(turns), embedded, POOL)
+    meaning = hits.select("query_id", "turn_id", (F.col("place") - 1).alias("rank"), F.round("similarity", 4).alias("similarity"), "start")
+    return turns, asked, meaning, words
+
+
 _W = ranking.WEIGHTS
 
 

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.catalogue import MEMORIES, TURNS, _QUESTIONS, _pool
+from evidentia.catalogue import MEMORIES, TURNS, _QUESTIONS, _whole_pool
 from evidentia.functions import classify, dates, security, text as tx
 from evidentia.operators import evaluate, history, packing, ranking, sharing, state
 from evidentia.plans import typed
@@ -565,9 +565,10 @@ def stream_forget_state(spark, d):
 
 @query("gather")
 def gather(spark, d):
-    """Word and meaning hits of every question, fused, re-ranked and packed."""
-    turns, asked, meaning, words = _pool(spark, d)
-    best = ranking.rerank(ranking.features(asked, meaning, words, turns), 20)
-    item = F.struct(F.lit("document").alias("kind"), F.lit("EPISODE").alias("class"), F.col("scope").alias("scope"), F.lit("").alias("at"), tx.title(F.col("content")).alias("title"), "content", F.lit("document").alias("source_type"), F.col("session_id").alias("source_ref"))
-    items = best.select("query_id", "turn_id", "place").join(turns, "turn_id").select("query_id", item.alias("item"), "place")
-    return packing.pack(items, 6000)
+    """Word and meaning hits of every whole question over the documents, re-ranked and packed by the piece that matched."""
+    turns, asked, meaning, words = _whole_pool(spark, d)
+    best = ranking.rerank(ranking.features(asked, meaning, words, turns), 20).select("query_id", "turn_id", "place")
+    best = best.join(meaning.select("query_id", "turn_id", "start"), ["query_id", "turn_id"], "left").join(turns, "turn_id")
+    piece = F.substring("content", F.coalesce("start", F.lit(0)) + 1, F.lit(500))
+    item = F.struct(F.lit("document").alias("kind"), F.lit("EPISODE").alias("class"), F.col("scope").alias("scope"), F.lit("").alias("at"), tx.title(F.col("content")).alias("title"), piece.alias("content"), F.lit("document").alias("source_type"), F.col("session_id").alias("source_ref"))
+    return packing.pack(best.select("query_id", item.alias("item"), "place"), 6000)

@@ -87,6 +87,62 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 256) -
     return out.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
+def best_groups(vectors: DataFrame, queries: DataFrame, k: int | None = None, *, block: int = 256) -> DataFrame:
+    """query_id, turn_id, revision, start, similarity: the best piece of each turn, exactly; with k, of the k best turns, and place.
+
+    vectors(turn_id, revision, start, embedding) are scanned like those of top_k. Every batch keeps the
+    best piece of each of its turns, and with k only its own k best turns: a turn among the k best of all
+    is among those of the batch that holds its best piece. Similarities are rounded to nine places; ties
+    go to the lower revision, then start, then turn.
+    """
+    kinds = [queries.schema["query_id"].dataType.simpleString()] + [vectors.schema[c].dataType.simpleString() for c in ("turn_id", "revision", "start")]
+    schema = "query_id {}, turn_id {}, revision {}, start {}, similarity double".format(*kinds)
+    pieces = vectors.select("turn_id", "revision", "start", "embedding")
+    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
+    out, batch = None, []
+
+    def scan(block_rows: list) -> DataFrame:
+        ids = [r["query_id"] for r in block_rows]
+        q = np.array([r["embedding"] for r in block_rows], dtype=np.float64)
+        if len(q):
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame) or not ids:
+                    continue
+                frame = frame.sort_values(["turn_id", "revision", "start"], kind="stable").reset_index(drop=True)
+                v = np.array(frame["embedding"].tolist(), dtype=np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                turn, revision, start = (frame[c].to_numpy() for c in ("turn_id", "revision", "start"))
+                first = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]]))
+                group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(turn))))
+                for i, row in enumerate(np.round(q @ v.T, 9)):
+                    best = np.maximum.reduceat(row, first)
+                    at = np.flatnonzero(row == best[group])
+                    at = at[np.concatenate([[True], group[at[1:]] != group[at[:-1]]])]  # the first of a turn's ties
+                    if k is not None and len(at) > k:
+                        at = at[row[at] >= np.partition(row[at], -k)[-k]]
+                        at = at[np.lexsort((start[at], revision[at], -row[at]))] if len(at) > k else at
+                        # ties beyond the k-th are told apart by the turn, which a stable sort keeps in order
+                        at = at[:k]
+                    yield pd.DataFrame({"query_id": ids[i], "turn_id": turn[at], "revision": revision[at], "start": start[at], "similarity": row[at]})
+
+        return pieces.mapInPandas(run, schema)
+
+    for r in rows:
+        batch.append(r)
+        if len(batch) == block:
+            out, batch = (scan(batch) if out is None else out.unionByName(scan(batch))), []
+    if batch or out is None:
+        out = scan(batch) if out is None else out.unionByName(scan(batch))
+    best = best_piece(out)
+    if k is None:
+        return best
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "revision", "start", "turn_id")
+    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
 def best_piece(hits: DataFrame) -> DataFrame:
     """Of hits(query_id, turn_id, revision, start, similarity): the best piece of each turn."""
     order = Window.partitionBy("query_id", "turn_id").orderBy(F.desc("similarity"), "revision", "start")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import long_query
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
+def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id and text: each benchmark item as it is; one of over 1000 characters keeps both ends."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long_query(F.col("text")).alias("query"))
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as curated memories: two clocks, keyed facts, and every third superseding the customer's previous one."""
     prev = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
