@@ -243,6 +243,24 @@ def best_piece_per_turn(spark, d):
     return vectors.best_piece(hits).select("query_id", "turn_id", "start")
 
 
+def _asked_vectors(v):
+    """Every row whose id is divisible by 50 as a question."""
+    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("cosine_topk_whole")
+def cosine_topk_whole(spark, d):
+    v = t.read(spark, d, "embeddings")
+    return vectors.top_k(v, _asked_vectors(v), 20).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
+
+
+@query("best_piece_per_turn_whole")
+def best_piece_per_turn_whole(spark, d):
+    v = t.read(spark, d, "embeddings")
+    pieces = v.select(F.expr("vec_id div 4").alias("turn_id"), F.expr("vec_id div 4").alias("revision"), (F.col("vec_id") % 4 * 500).alias("start"), "embedding")
+    return vectors.best_groups(pieces, _asked_vectors(v)).select("query_id", "turn_id", "start")
+
+
 _LISTS = """l AS (SELECT o_custkey % 40 AS query_id, 0 AS list_no, o_orderkey % 300 AS turn_id, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY max(o_totalprice) DESC, o_orderkey % 300) - 1 AS rank FROM orders GROUP BY 1, 2, 3
   UNION ALL SELECT o_custkey % 40, 1, o_orderkey % 300, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY max(o_orderdate) DESC, o_orderkey % 300) - 1 FROM orders GROUP BY 1, 2, 3)"""
 
@@ -327,6 +345,14 @@ def session_ranking(spark, d):
     return ranking.session_ranking(hits).select("query_id", "session_id", "place")
 
 
+@query("session_ranking_whole")
+def session_ranking_whole(spark, d):
+    v = t.read(spark, d, "embeddings")
+    pieces = v.select((F.col("vec_id") % 90).alias("turn_id"), F.lit(0).alias("revision"), F.lit(0).alias("start"), "embedding")
+    hits = vectors.best_groups(pieces, _asked_vectors(v)).select("query_id", F.col("turn_id").alias("session_id"), "similarity")
+    return ranking.session_ranking(hits).select("query_id", "session_id", "place")
+
+
 @query("episode_lift", """WITH s AS (SELECT event_type AS query_id, user_id AS episode, event_id AS turn_id, value AS score FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, episode ORDER BY score DESC, turn_id) AS n FROM s)
 SELECT query_id, episode, turn_id, round(lift, 4) AS lift FROM (SELECT *, sum(score) FILTER (n <= 2) OVER (PARTITION BY query_id, episode) AS lift FROM r) WHERE n <= 3""")
 def episode_lift(spark, d):

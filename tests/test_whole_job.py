@@ -62,3 +62,23 @@ def test_gather_meaning_list_is_the_cosine_of_embedded_pieces(spark, small):
     rows = meaning.filter("query_id = 41").orderBy("rank").collect()
     assert len(rows) == 100 and [r.turn_id for r in rows[:10]] == [f"document-{13 * i}" for i in range(10)] and rows[0].similarity == 1.0
     assert words.filter("query_id = 41").count() == 10
+
+
+def test_vector_searches_ask_every_fiftieth_row(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(13000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = np.array([v for _, v in rows], dtype=np.float32).astype(np.float64)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    asked = list(range(0, 13000, 50))  # 260: more than a block
+    sim = np.round(e[asked] @ e.T, 9)
+    got = {}
+    for r in QUERIES["cosine_topk_whole"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.vec_id))
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: list(np.lexsort((np.arange(13000), -sim[i]))[:20]) for i, q in enumerate(asked)}
+    best = QUERIES["best_piece_per_turn_whole"](spark, str(tmp_path))
+    assert best.count() == 260 * 3250
+    starts = sim.reshape(260, 3250, 4).argmax(2) * 500
+    assert all(r.start == starts[r.query_id // 50, r.turn_id] for r in best.filter("turn_id % 97 = 0").collect())
+    for r in QUERIES["session_ranking_whole"](spark, str(tmp_path)).filter("place = 1").collect():
+        assert r.session_id == int(sim[r.query_id // 50].argmax()) % 90
