@@ -464,6 +464,19 @@ def label_regions(spark, d):
     return graph.regions(nodes, graph.view_edges(_edges(spark, d)), rounds=2)
 
 
+@query("label_regions_whole")
+def label_regions_whole(spark, d):
+    nodes = t.read(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    links = graph.view_edges(_edges(spark, d))
+    return graph.merge_small(graph.regions(nodes, links), links)
+
+
+@query("region_topics_whole")
+def region_topics_whole(spark, d):
+    terms = t.engrams(spark, d).select(F.col("engram_id").alias("node"), F.explode("terms").alias("term"))
+    return graph.region_topics(label_regions_whole(spark, d), terms).withColumn("score", F.round("score", 6))
+
+
 @query("region_topics", f"""WITH {ENGRAMS}, n AS (SELECT scope AS label, term, count(*) AS n FROM wd WHERE len(term) > 1 AND NOT regexp_matches(term, '[0-9]') GROUP BY ALL HAVING count(*) > 1), df AS (SELECT term, count(*) AS df FROM wd GROUP BY 1)
 SELECT label, term, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, term) AS place FROM (SELECT label, term, n * ln((SELECT count(*) FROM eng)::DOUBLE / df) AS score FROM n JOIN df USING (term))) WHERE place <= 3""")
 def region_topics(spark, d):

@@ -104,14 +104,54 @@ def view_edges(edges: DataFrame, per_source: int = 3) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Read from a checkpoint where a folder is set, so that rounds do not nest their plans."""
+    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if shared else df.localCheckpoint()
+
+
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+
+
+def _winners(both: DataFrame, label: DataFrame) -> DataFrame:
+    """node, won: the label with most weight among a node's neighbours, ties to the larger."""
+    votes = both.join(label, both["b"] == label["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
+    best = votes.groupBy("a").agg(F.max(F.struct(F.round("w", 9).alias("w"), "label")).alias("best"))
+    return best.select(F.col("a").alias("node"), F.col("best.label").alias("won"))
+
+
 def regions(nodes: DataFrame, links: DataFrame, *, rounds: int = 12) -> DataFrame:
-    """node, label by synchronous label propagation over links(a, b, weight): the label with most weight, ties to the larger."""
-    both = links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    """node, label by synchronous label propagation over links(a, b, weight): the label with most weight, ties to the larger.
+
+    Ends where nothing changes, or after `rounds`.
+    """
+    both = _kept(_both_ways(links))
     label = nodes.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
-        votes = both.join(label, both["b"] == label["node"]).groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct(F.round("w", 9).alias("w"), "label")).alias("best")).select(F.col("a").alias("node"), F.col("best.label").alias("won"))
-        label = label.join(best, "node", "left").select("node", F.coalesce("won", "label").alias("label"))
+        step = _kept(label.join(_winners(both, label), "node", "left").select("node", "label", F.coalesce("won", "label").alias("new")))
+        label = step.select("node", F.col("new").alias("label"))
+        if step.filter("new <> label").isEmpty():
+            break
+    return label
+
+
+def merge_small(labels: DataFrame, links: DataFrame, *, largest: int = 12, rounds: int = 6) -> DataFrame:
+    """node, label: nodes outside the `largest` regions join the one of these that they are most linked to, round by round.
+
+    Regions of one size go by their smallest node; ties between votes go to the larger label.
+    """
+    both, label = _kept(_both_ways(links)), _kept(labels.select("node", "label"))
+    size = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    top = _kept(size.orderBy(F.desc("n"), "first").limit(largest).select("label"))
+    for _ in range(rounds):
+        won = _winners(both, label.join(F.broadcast(top), "label", "left_semi"))
+        inside = F.broadcast(top.select("label", F.lit(True).alias("inside")))
+        step = label.join(inside, "label", "left").join(won, "node", "left")
+        step = _kept(step.select("node", "label", F.when(F.col("inside"), F.col("label")).otherwise(F.coalesce("won", "label")).alias("new")))
+        label = step.select("node", F.col("new").alias("label"))
+        if step.filter("new <> label").isEmpty():
+            break
     return label
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import vectors
+from evidentia.operators import graph, vectors
 from evidentia.queries import QUERIES
 
 WORDS = "amber birch cedar delta ember fjord grove heath islet juniper karst lagoon maple".split()
@@ -82,3 +82,36 @@ def test_vector_searches_ask_every_fiftieth_row(spark, tmp_path):
     assert all(r.start == starts[r.query_id // 50, r.turn_id] for r in best.filter("turn_id % 97 = 0").collect())
     for r in QUERIES["session_ranking_whole"](spark, str(tmp_path)).filter("place = 1").collect():
         assert r.session_id == int(sim[r.query_id // 50].argmax()) % 90
+
+
+def test_regions_reach_their_fixed_point_and_small_ones_join(spark):
+    # a chain takes many rounds: each node goes with its heavier, higher neighbour
+    chain = [(i, i + 1, 1.0 + i) for i in range(9)]
+    nodes = spark.createDataFrame([(i,) for i in range(10)], "node long")
+    links = spark.createDataFrame(chain, "a long, b long, weight double")
+    label = {i: i for i in range(10)}
+    for _ in range(12):
+        new = {}
+        for n in label:
+            votes = {}
+            for a, b, w in chain:
+                for x, y in ((a, b), (b, a)):
+                    if x == n:
+                        votes[label[y]] = votes.get(label[y], 0) + w
+            new[n] = max(votes.items(), key=lambda v: (v[1], v[0]))[0]
+        label, old = new, label
+        if label == old:
+            break
+    got = graph.regions(nodes, links)
+    assert {r.node: r.label for r in got.collect()} == label
+    assert {r.node: r.label for r in graph.regions(nodes, links, rounds=2).collect()} != label
+    # 13 regions of sizes 15 to 3: all but the 12 largest join over two rounds
+    labels = [(100 * k + i, 100 * k) for k in range(13) for i in range(15 - k)]
+    ties = [(1200, 300, 1.0), (1200, 400, 2.0), (1201, 1200, 5.0)]
+    merged = {r.node: r.label for r in graph.merge_small(spark.createDataFrame(labels, "node long, label long"), spark.createDataFrame(ties, "a long, b long, weight double")).collect()}
+    assert merged == {**dict(labels), 1200: 400, 1201: 400}
+
+
+def test_region_topics_name_the_regions_themselves(spark):
+    rows = {r.label for r in QUERIES["region_topics_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows and rows <= {r.label for r in QUERIES["label_regions_whole"](spark, "/root/testdata/sf0.001").collect()}
