@@ -115,6 +115,11 @@ def secret_kinds(spark, d):
     return t.read(spark, d, "documents").select("doc_id", F.array_join(F.filter(security.secret_kinds(F.col("text")), lambda k: F.array_contains(names, k)), ",").alias("kinds"))
 
 
+@query("secret_kinds_whole")
+def secret_kinds_whole(spark, d):
+    return t.read(spark, d, "documents").select("doc_id", F.array_join(security.secret_kinds(F.col("text")), ",").alias("kinds"))
+
+
 @query("redaction")
 def redaction(spark, d):
     docs = t.read(spark, d, "documents").select("doc_id", "text", security.redact(F.col("text")).alias("clean"))

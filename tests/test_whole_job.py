@@ -1,9 +1,12 @@
 """Queries that do the whole job where the ones with SQL hold a smaller one; small cases and brute force."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evidentia.functions import security
 from evidentia.operators import graph, vectors
 from evidentia.queries import QUERIES
 
@@ -115,3 +118,22 @@ def test_regions_reach_their_fixed_point_and_small_ones_join(spark):
 def test_region_topics_name_the_regions_themselves(spark):
     rows = {r.label for r in QUERIES["region_topics_whole"](spark, "/root/testdata/sf0.001").collect()}
     assert rows and rows <= {r.label for r in QUERIES["label_regions_whole"](spark, "/root/testdata/sf0.001").collect()}
+
+
+SAID = [
+    "nothing to hide", "password: hunter2!", "token=abcdef123456", 'secret = "a b c"', "the password is stored", "the pin is 4711", "비밀번호는 ab12!",
+    "id 900101-1234567.", "id 1900101-1234567", "card 4111 1111 1111 1111", "card 4111 1111 1111 1112", "sk-ant-abcdefghijklmnop1234", "mypassword: x1", "postgres://me:pw@host/db", "token: str", "비밀번호: ab12",
+]
+
+
+def luhn(card):
+    n = [int(x) for x in re.sub("[ -]", "", card)][::-1]
+    return sum(n[::2] + [x * 2 - 9 * (x > 4) for x in n[1::2]]) % 10 == 0
+
+
+def test_secret_kinds_are_those_of_python(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(SAID)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [name for name, p, _ in security.RULES if re.search(p, s)] + ["card"] * any(map(luhn, re.findall(security.CARD, s))) for i, s in enumerate(SAID)}
+    got = {r.doc_id: [k for k in r.kinds.split(",") if k] for r in QUERIES["secret_kinds_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {k for x in got.values() for k in x} >= {"quoted_value", "named_value", "password", "password_said", "password_said_ko", "id_number", "card"}
