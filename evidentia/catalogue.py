@@ -225,6 +225,18 @@ def word_search_bm25(spark, d):
     return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
+@query("word_search_turns_whole")
+def word_search_turns_whole(spark, d):
+    found = lexical.search(t.turns(spark, d), t.whole_questions(spark, d), limit=20)
+    return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
+
+
+@query("word_search_bm25_whole")
+def word_search_bm25_whole(spark, d):
+    found = lexical.search(t.document_turns(spark, d), t.whole_questions(spark, d), limit=20)
+    return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
+
+
 @query("cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity,
   round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s9 FROM embeddings q JOIN embeddings v ON q.vec_id < 5)
 SELECT query_id, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s9 DESC, vec_id) AS place FROM s) WHERE place <= 20""")
@@ -336,6 +348,13 @@ def rerank_linear(spark, d):
     return out.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
+@query("rerank_linear_whole")
+def rerank_linear_whole(spark, d):
+    turns, asked, meaning, words = _whole_pool(spark, d)
+    out = ranking.rerank(ranking.features(asked, meaning, words, turns), 15)
+    return out.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
+
+
 @query("session_ranking", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id % 90 AS session_id, max(round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9)) AS best FROM embeddings q JOIN embeddings v ON q.vec_id < 5 GROUP BY ALL)
 SELECT query_id, session_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, session_id) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM s) WHERE place <= greatest(16, ceil(1.5 * sqrt(n)))""")
 def session_ranking(spark, d):

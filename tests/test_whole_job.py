@@ -137,3 +137,15 @@ def test_secret_kinds_are_those_of_python(spark, tmp_path):
     got = {r.doc_id: [k for k in r.kinds.split(",") if k] for r in QUERIES["secret_kinds_whole"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {k for x in got.values() for k in x} >= {"quoted_value", "named_value", "password", "password_said", "password_said_ko", "id_number", "card"}
+
+
+@pytest.mark.parametrize("name", ["word_search_bm25_whole", "rerank_linear_whole"])
+def test_words_after_the_eighth_are_searched(spark, small, name):
+    rows = QUERIES[name](spark, small).filter("query_id = 1 AND place = 1").collect()
+    assert [r.turn_id for r in rows] == ["document-500"]
+
+
+def test_turns_are_searched_by_words_after_the_eighth(spark, small):
+    turns = [(1, 0, "user", "unrelated talk"), (1, 1, "assistant", "the zenith of it"), (2, 0, "user", "more talk")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{small}/conversations.parquet")
+    assert [r.turn_id for r in QUERIES["word_search_turns_whole"](spark, small).filter("query_id = 1").collect()] == ["1-1"]
