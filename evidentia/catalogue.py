@@ -463,6 +463,13 @@ def activation_2hop(spark, d):
     return graph.activate(start, _edges(spark, d), hops=2, fanout=5, max_nodes=40).select("query_id", "engram_id", F.round("activation", 6).alias("activation"))
 
 
+@query("activation_2hop_whole")
+def activation_2hop_whole(spark, d):
+    asked = spark.sql("SELECT * FROM VALUES (0, array('small', 'ring', 'economy')), (1, array('red', 'widget', 'small')) v(query_id, terms)")
+    start = graph.seeds(t.engrams(spark, d), asked, limit=12)
+    return graph.activate(start, _edges(spark, d), hops=2, fanout=12, max_nodes=40).select("query_id", "engram_id", F.round("activation", 6).alias("activation"))
+
+
 @query("view_edges_topk", f"""WITH {ENGRAMS}, c AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, evidence_count DESC, target) AS n FROM edges WHERE relation = 'SHARED_CUE') WHERE n <= 3
   UNION ALL SELECT source, target, weight FROM edges WHERE relation <> 'SHARED_CUE')
 SELECT least(source, target) AS a, greatest(source, target) AS b, round(max(weight), 6) AS weight FROM c WHERE source <> target GROUP BY 1, 2""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import security
 from evidentia.operators import graph, vectors
 from evidentia.queries import QUERIES
+from evidentia.sources import tables
 
 WORDS = "amber birch cedar delta ember fjord grove heath islet juniper karst lagoon maple".split()
 
@@ -149,3 +150,18 @@ def test_turns_are_searched_by_words_after_the_eighth(spark, small):
     turns = [(1, 0, "user", "unrelated talk"), (1, 1, "assistant", "the zenith of it"), (2, 0, "user", "more talk")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{small}/conversations.parquet")
     assert [r.turn_id for r in QUERIES["word_search_turns_whole"](spark, small).filter("query_id = 1").collect()] == ["1-1"]
+
+
+def test_activation_follows_the_sixth_to_twelfth_edge(spark, tmp_path):
+    # the seed has seven later engrams of one scope that share two terms with it and not its query word
+    rows = [(1, "small zeta yota", "b", "kind", 10)] + [(i, "zeta yota", "b", f"own{i}", 10) for i in range(2, 9)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.engram_id for r in QUERIES["activation_2hop_whole"](spark, str(tmp_path)).filter("query_id = 0").collect()}
+    edges = graph.auto_links(tables.engrams(spark, str(tmp_path)))
+    assert edges.filter("source = 1").count() == 8
+    one = graph.activate(spark.createDataFrame([(0, 1, 1.0)], "query_id int, engram_id long, activation double"), edges, hops=1, fanout=12)
+    assert {r.engram_id for r in one.collect()} == got == set(range(1, 9))
+    direct = {r.engram_id: r.activation for r in one.collect()}
+    whole = {r.engram_id: r.activation for r in QUERIES["activation_2hop_whole"](spark, str(tmp_path)).filter("query_id = 0").collect()}
+    seed = graph.seeds(tables.engrams(spark, str(tmp_path)), spark.sql("SELECT 0 AS query_id, array('small', 'ring', 'economy') AS terms")).first().activation
+    assert all(whole[i] >= round(seed * direct[i], 6) - 1e-6 for i in range(2, 9))
