@@ -1,30 +1,34 @@
 r"""N-gram Jaccard join by PartEnum signatures, and its connected components.
 
 A document is the set of its word shingles. Sets of one size band, with those just below it, form an
-instance with a bound k on the Hamming distance of similar sets. The feature domain is dealt into n1
-partitions of n2 parts; as at most k features differ, at least 1 + SPARE partitions differ in at most
-k2 features, so some n2 - k2 parts of such a partition agree. Each choice of n2 - k2 parts of a
-partition is a signature: similar sets share one. A set may leave out up to SPARE signatures without
-any feature, which would otherwise gather unrelated sets; one with more of them emits all.
-
-Equal sets are collapsed first. Signatures of a few partitions then find most copies: rows of one
-such signature are compared with its most central one only, and the links found give components. The full
-signatures follow, each row with its component. Only groups with several components matter: their
-pairs across components are compared, of groups up to GROUP rows at once; larger groups are split by
-finer signatures of their members, and compared whole at the last level. Before sets are fetched, a
-pair must pass a lower bound of its Hamming distance: each set has a parity sketch of about two bits a
-feature, and no more bits of two sketches differ than features of their sets. All links are checked on
-the sets.
+instance. Its feature domain is dealt into partitions of two parts, and the subsets of one part are
+enumerated: more parts than the instance's similar sets can differ in, so similar sets agree in one.
+A signature is a part's number and the sum of its features. A set of which similar sets differ in at
+most k features emits its first k + 1 parts that have a feature: of a similar pair, take the one whose
+emitted parts end first; at most k of its k + 1 parts differ, so one agrees, and the other set emits it
+too. A set with too few such parts (parts are so many that this is rare) emits all, empty ones too.
+
+Equal sets are collapsed first. A few signatures then find most copies: rows of one such signature are
+compared with its most central one only, and the links found give components. All signatures follow,
+as (signature, component), each once a batch. Only signatures of several components matter: the rows
+behind them are named again, compared with their signature's most central one, and components grow.
+Of what still has several components, every row that is not of a signature's largest component is
+compared with all its other rows, in blocks: rows of the large component pass by and are held by no task.
+Only pairs that two lower bounds of the Hamming distance allow leave a task: each set has a parity
+sketch of about two bits a feature, and no more bits of two sketches differ than features of their
+sets. All links are checked on the sets.
+
+Shingles are compared by 64-bit hashes, equal sets by their size and two 64-bit sums.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer words than a
-shingle form one shingle; rows without an id link with nothing and have no component; rows that share
-an id are one document for linking; an empty table gives an empty result.
+shingle form one shingle; rows without an id link with nothing and have no component; of rows that
+share an id each is linked by its own text; very long texts are used whole; of extra columns, whatever
+their names, join reads none and keep_one hands on all; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +38,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, settings, temporary
 
-SPARE = 3
-BAND_RATIO = 1.4
-GROUP = 64
+BAND_RATIO = 1.5
 SLICE = 500
-GATHER = 400_000
-EARLY = 8
-#: Rows of one signature that a task holds back while it may still turn out to have one component.
-HELD = 200_000
-#: (parts of a partition, parts that may differ) by level.
-LEVELS = ((3, 1), (6, 3))
+#: Signatures of a set that look for copies first.
+EARLY = 16
+#: Rows of a block that is compared with the other rows of its signature.
+BLOCK = 2048
+#: Rows that a task takes at once, and pairs that it compares at once.
+GATHER = 100_000
+PAIRS = 1_000_000
+#: Bytes of a sketch that travels with signatures; longer ones are folded.
+CARRIED = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,51 +96,54 @@ def _bands(largest: int) -> np.ndarray:
     return np.array(ends, dtype=np.int64)
 
 
-def signatures(sets: list[np.ndarray], percent: int, level: int = 0, partitions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(index of set, signature) for all sets; partitions limits to the first ones."""
-    n2, k2 = LEVELS[level]
+def signatures(sets: list[np.ndarray], percent: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of set, signature) for all sets, in order of sets; first limits them to so many of each set and instance."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if not len(sizes) or not sizes.max(initial=0):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if not sizes.max(initial=0):
+        return none
     ends = _bands(int(sizes.max()) * 2)
     own = np.searchsorted(ends, sizes)
-    partner = sizes * 100 // percent
-    up = np.flatnonzero((sizes > 0) & (partner > ends[own]))
+    up = np.flatnonzero((sizes > 0) & (sizes * 100 // percent > ends[own]))
     doc = np.concatenate([np.flatnonzero(sizes > 0), up])
     band = np.concatenate([own[sizes > 0], own[up] + 1])
-    k = (100 - percent) * 2 * ends[band] // (100 + percent)
-    doc, band, k = doc[k > 0], band[k > 0], k[k > 0]  # with k = 0 only equal sets are similar
+    k = (100 - percent) * (sizes[doc] + np.minimum(sizes[doc] * 100 // percent, ends[band])) // (100 + percent)
+    some = k > 0  # with k = 0 only equal sets are similar
+    doc, band, k = doc[some], band[some], k[some]
     if not len(doc):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n1 = k // (k2 + 1) + 1 + SPARE
+        return none
+    most = (100 - percent) * 2 * ends // (100 + percent) + 1
+    bare = most * np.exp(-ends / most)
+    parts = (most + 4 + np.ceil(bare + 3 * np.sqrt(bare)).astype(np.int64)) // 2 * 2
+    n = parts[band]
     count = sizes[doc]
     flat = np.concatenate([sets[i] for i in doc])
     row = np.repeat(np.arange(len(doc)), count)
-    dealt = _mix(flat + np.repeat(band.astype(np.uint64) + np.uint64(1000 * (level + 1)), count) * _GOLD)
-    cells = (dealt >> np.uint64(8)) % np.repeat((n1 * n2).astype(np.uint64), count)
-    offset = np.concatenate([[0], np.cumsum(n1 * n2)])
-    cell = offset[row] + cells.astype(np.int64)
-    total = np.zeros(offset[-1], np.uint64)
-    np.add.at(total, cell, _mix(flat ^ _GOLD))
-    filled = np.bincount(cell, minlength=offset[-1])
-    of = np.repeat(np.arange(len(doc)), n1)  # a row for each partition
-    place = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n1)[:-1]]), n1)
-    total, filled = total.reshape(-1, n2), filled.reshape(-1, n2)
-    tag = _mix(band[of].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64))
-    rows, sigs, bare = [], [], []
-    for number, chosen in enumerate(combinations(range(n2), n2 - k2)):
-        s = _mix(tag + np.uint64(number))
-        for c in chosen:
-            s = _mix(s * _GOLD + total[:, c])
-        rows.append(of)
-        sigs.append(s)
-        bare.append(filled[:, list(chosen)].sum(1) == 0)
-    rows, sigs, bare = np.concatenate(rows), np.concatenate(sigs), np.concatenate(bare)
-    few = np.bincount(rows[bare], minlength=len(doc)) <= SPARE
-    keep = ~(bare & few[rows])
-    if partitions is not None:
-        keep &= np.tile(place, len(sigs) // max(len(place), 1)) < partitions
-    return doc[rows[keep]], sigs[keep]
+    dealt = _mix(flat + np.repeat(band.astype(np.uint64) + np.uint64(1000), count) * _GOLD)
+    offset = np.concatenate([[0], np.cumsum(n)])
+    cell = offset[row] + ((dealt >> np.uint64(8)) % np.repeat(n.astype(np.uint64), count)).astype(np.int64)
+    order = np.argsort(cell)
+    cell = cell[order]
+    heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    filled = cell[heads]
+    total = np.add.reduceat(_mix(flat[order] ^ _GOLD), heads)
+    of = np.repeat(np.arange(len(doc)), n)[filled]
+    at = np.searchsorted(of, np.arange(len(doc) + 1))
+    rank = np.arange(len(of)) - at[of]
+    have = np.diff(at)
+    few = np.flatnonzero(have <= k)
+    if len(few):  # these emit their empty parts as well
+        missing = np.setdiff1d(np.concatenate([np.arange(offset[i], offset[i + 1]) for i in few]), filled, assume_unique=True)
+        of = np.concatenate([of, np.repeat(np.arange(len(doc)), n)[missing]])
+        rank = np.concatenate([rank, np.zeros(len(missing), np.int64)])
+        filled, total = np.concatenate([filled, missing]), np.concatenate([total, np.zeros(len(missing), np.uint64)])
+    wanted = k + 1 if first is None else np.minimum(k + 1, first)
+    keep = rank < wanted[of]
+    of, filled, total = of[keep], filled[keep], total[keep]
+    place = (filled - offset[of]).astype(np.uint64)
+    sig = _mix(_mix(band[of].astype(np.uint64) * np.uint64(1 << 32) + place) * _GOLD + total)
+    order = np.argsort(doc[of], kind="stable")
+    return doc[of][order], sig[order]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,159 +170,200 @@ def least_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded ^ b).sum())
 
 
+def _signed(x) -> np.ndarray:
+    return np.array(x, dtype=np.uint64).view(np.int64)
+
+
+def _folded(sketch: bytes) -> bytes:
+    if len(sketch) <= CARRIED:
+        return sketch
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint64).reshape(-1, CARRIED // 8), axis=0).tobytes()
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        folded = pa.array([_folded(x) for x in batch["sketch"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["rep"], batch["n_shingles"], folded], ["rep", "n_shingles", "carried"])
+
+
 def _summaries(width: int, percent: int):
     """n_shingles, two sums that stand for the set, parity sketch and early signatures of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
         for batch in _slices(batches):
             sets = shingle_sets(batch["text"].to_pylist(), width)
             one = [int(_mix(s).sum(dtype=np.uint64)) for s in sets]
             two = [int(_mix(s ^ _GOLD).sum(dtype=np.uint64)) for s in sets]
-            row, sig = signatures(sets, percent, partitions=EARLY)
-            order = np.argsort(row, kind="stable")
-            bounds = np.searchsorted(row[order], np.arange(len(sets) + 1))
-            early = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(one)), pa.array(signed(two)), pa.array([parity_sketch(s) for s in sets], pa.binary()), early], ["doc_id", "n_shingles", "one", "two", "sketch", "early"])
+            row, sig = signatures(sets, percent, EARLY)
+            bounds = np.searchsorted(row, np.arange(len(sets) + 1))
+            early = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sig.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(one)), pa.array(_signed(two)), pa.array([parity_sketch(s) for s in sets], pa.binary()), early], ["doc_id", "row", "n_shingles", "one", "two", "sketch", "early"])
 
     return run
 
 
-def _signed_rows(width: int, percent: int):
+def _signature_labels(width: int, percent: int):
+    """(sig, label): the components behind each signature, each once a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            ids, labels = batch["doc_id"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
+            labels = batch["label"].to_numpy(zero_copy_only=False)
             row, sig = signatures(shingle_sets(batch["text"].to_pylist(), width), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(labels[row], pa.int64())], ["sig", "doc", "label"])
+            own, sig = labels[row], sig.view(np.int64)
+            values, times = np.unique(labels, return_counts=True)
+            often = np.flatnonzero(np.isin(own, values[times > 1]))
+            order = often[np.lexsort((own[often], sig[often]))]
+            keep = np.ones(len(sig), dtype=bool)
+            keep[order[1:]] = (sig[order[1:]] != sig[order[:-1]]) | (own[order[1:]] != own[order[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(own[keep], pa.int64())], ["sig", "label"])
 
     return run
 
 
-FINER = "sig long, doc long, label long, n long, q0 long, q1 long, q2 long, q3 long"
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, label) sorted by both, the distinct ones whose sig has several labels."""
+    sig, label, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether its sig had another label before
+    for batch in _with_end(batches):
+        if batch is None:
+            if len(sig) and met:
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(label)], ["sig", "label"])
+            return
+        s = np.concatenate([sig, batch["sig"].to_numpy(zero_copy_only=False)])
+        x = np.concatenate([label, batch["label"].to_numpy(zero_copy_only=False)])
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (s[1:] != s[:-1]) | (x[1:] != x[:-1])
+        s, x = s[new], x[new]
+        as_before = np.zeros(len(s), dtype=bool)
+        as_before[1:] = s[1:] == s[:-1]
+        as_before[:1] |= met and len(sig) > 0
+        out = as_before[:-1] | (s[1:] == s[:-1])
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(s[:-1][out]), pa.array(x[:-1][out])], ["sig", "label"])
+        sig, label, met = s[-1:], x[-1:], bool(as_before[-1]) if len(s) else False
+
+
+def _with_end(batches):
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
-def _finer_rows(percent: int, level: int):
-    """Signatures of a finer level; each row has its set's size and 256 bits of parity sketch."""
-
+def _signed_rows(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            ids, labels = batch["doc"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
-            sets = [np.array(s, dtype=np.int64).view(np.uint64) for s in batch["shingles"].to_pylist()]
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            odd = [np.packbits((np.bincount((_mix(s) >> np.uint64(40)).astype(np.int64) % 256, minlength=256) & 1).astype(np.uint8)) for s in sets]
-            bits = np.array(odd, dtype=np.uint8).reshape(-1, 32).view(np.int64)
-            row, sig = signatures(sets, percent, level)
-            columns = [sig.view(np.int64), ids[row], labels[row], sizes[row], *[bits[row, i] for i in range(4)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["sig", "doc", "label", "n", "q0", "q1", "q2", "q3"])
+            ids, labels = batch["doc_id"].to_numpy(zero_copy_only=False), batch["label"].to_numpy(zero_copy_only=False)
+            row, sig = signatures(shingle_sets(batch["text"].to_pylist(), width), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids[row], pa.int64()), pa.array(labels[row], pa.int64())], ["sig", "doc", "label"])
 
     return run
 
 
-def _pairs_across(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of rows (sig, doc, label, …) of one sig and different labels, for rows sorted by sig.
+def _least_distances(x: np.ndarray, y: np.ndarray, width: np.ndarray, where: np.ndarray, stacks: dict[int, np.ndarray]) -> np.ndarray:
+    """least_distance of rows x and y, whose sketches are rows `where` of the stack of their width in words."""
+    out = np.zeros(len(x), dtype=np.int64)
+    both = width[x] * 10_000 + width[y]
+    for pair in np.unique(both):
+        own = np.flatnonzero(both == pair)
+        a, b = stacks[pair // 10_000][where[x[own]]], stacks[pair % 10_000][where[y[own]]]
+        if a.shape[1] < b.shape[1]:
+            a, b = b, a
+        if a.shape[1] > b.shape[1]:
+            a = np.bitwise_xor.reduce(a.reshape(len(a), -1, b.shape[1]), axis=1)
+        out[own] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
 
-    Where rows have a size and a sketch, pairs that these rule out are left out.
+
+def _compared(percent: int):
+    """From blocks (key, doc, label, n, sketch, left, right, minor), sorted by key: pairs (a, b) that may link.
+
+    Rows that are left meet all of their block that are right and have another label; two minor rows
+    meet once.
     """
-    sig, doc, label, *more = columns
-    left, right, at = [], [], np.arange(len(sig))
-    step = 1
-    while True:
-        at = at[at + step < len(sig)]
-        at = at[sig[at] == sig[at + step]]
-        if not len(at):
-            break
-        x = at[label[at] != label[at + step]]
-        y = x + step
-        if more and len(x):
-            n, bits = more[0], more[1:]
-            apart = sum(np.bitwise_count((q[x] ^ q[y]).view(np.uint64)).astype(np.int64) for q in bits)
-            fits = (apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+
+    def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "doc", "label", "n", "left", "right", "minor")}
+        sketches = rows["sketch"].to_pylist()
+        width = np.array([len(s) // 8 for s in sketches], dtype=np.int64)
+        where, stacks = np.zeros(len(width), dtype=np.int64), {}
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            where[own] = np.arange(len(own))
+            stacks[int(w)] = np.frombuffer(b"".join([sketches[i] for i in own]), dtype=np.uint64).reshape(len(own), w)
+        key, doc, label, n, minor = col["key"], col["doc"], col["label"], col["n"], col["minor"].astype(bool)
+        left, right = np.flatnonzero(col["left"]), np.flatnonzero(col["right"])
+        begin, end = np.searchsorted(key[right], key[left]), np.searchsorted(key[right], key[left], side="right")
+        upto = np.cumsum(end - begin)
+        done, found = 0, []
+        while done < len(left):
+            stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + PAIRS, side="right")))
+            sizes = (end - begin)[done:stop]
+            x = np.repeat(left[done:stop], sizes)
+            y = right[np.repeat(begin[done:stop] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            fits = (label[x] != label[y]) & (~minor[y] | (doc[x] < doc[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             x, y = x[fits], y[fits]
-        left.append(np.minimum(doc[x], doc[y]))
-        right.append(np.maximum(doc[x], doc[y]))
-        step += 1
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new & (a != b)], b[new & (a != b)]
-
-
-def _mixed_groups(percent: int, last_level: bool, group: int, hold: int):
-    """From rows (sig, doc, label, …) sorted by sig: pairs (a, b) of small groups with several labels, (doc, label) of large ones.
-
-    A group that outgrows what a task holds back is passed on as rows at once, whatever its labels. At
-    the last level every group is paired.
-    """
+            near = _least_distances(x, y, width, where, stacks) * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            found.append(np.stack([np.minimum(doc[x[near]], doc[y[near]]), np.maximum(doc[x[near]], doc[y[near]])]))
+            done = stop
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        forced = None
-
-        def settle(last: bool):
-            nonlocal held, forced
-            sig, doc, label = held[:3]
-            if not len(sig):
-                return
-            cut = len(sig) if last else int(np.searchsorted(sig, sig[-1]))
-            passing = None
-            if not last and len(sig) - cut > hold and not last_level:
-                passing, cut = sig[-1], len(sig)
-            if cut:
-                heads = np.flatnonzero(np.concatenate([[True], sig[1:cut] != sig[: cut - 1]]))
-                sizes = np.diff(np.append(heads, cut))
-                several = np.minimum.reduceat(label[:cut], heads) != np.maximum.reduceat(label[:cut], heads)
-                whole = np.isin(sig[heads], [x for x in (forced, passing) if x is not None])
-                large = (sizes > group) & (not last_level)
-                rows = np.repeat(whole | (several & large), sizes)
-                small = np.repeat(several & ~large & ~whole, sizes)
-                a, b = _pairs_across([x[:cut][small] for x in held], percent)
-                far, first = np.unique(doc[:cut][rows], return_index=True)  # a doc once, however many groups it is in
-                none = lambda k: pa.nulls(k, pa.int64())
-                both = [pa.concat_arrays([pa.array(x), none(len(a))]) for x in (far, label[:cut][rows][first])] + [pa.concat_arrays([none(len(far)), pa.array(x)]) for x in (a, b)]
-                if len(far) + len(a):
-                    yield pa.RecordBatch.from_arrays(both, ["doc", "label", "a", "b"])
-            forced = passing if passing is not None else (forced if forced is not None and len(sig) > cut and sig[-1] == forced else None)
-            held = [x[cut:] for x in held]
-
-        waiting: list = []
+        held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
-            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            held.append(batch)
             count += batch.num_rows
             if count >= GATHER:
-                held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
-                waiting, count = [], 0
-                yield from settle(False)
-        if waiting:
-            held = [np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True)]
+                rows = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(rows["key"].to_numpy(), rows["key"][-1].as_py()))
+                if cut:
+                    yield from block(rows.slice(0, cut))
+                held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
         if held:
-            yield from settle(True)
+            yield from block(pa.Table.from_batches(held))
 
     return run
 
 
-def _mixed(rows: DataFrame, name: str, percent: int, last_level: bool) -> DataFrame:
-    dealt = rows.repartition("sig").sortWithinPartitions("sig")
-    return materialise(dealt.mapInArrow(_mixed_groups(percent, last_level, GROUP, HELD), "doc long, label long, a long, b long"), name)
+def _blocks(rows: DataFrame, summaries: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) among rows(sig, doc, label): rows of other labels meet every row of their signature.
+
+    Both sides are dealt into blocks by hash, so a task holds about 2 * BLOCK rows, however many a signature has.
+    """
+    counted = materialise(rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")), "label_counts")
+    stats = counted.groupBy("sig").agg(F.sum("c").alias("g"), F.max(F.struct("c", "label"))["label"].alias("major"), F.max("c").alias("m"))
+    stats = stats.filter("g > m").select("sig", "major", F.ceil((F.col("g") - F.col("m")) / BLOCK).alias("ys"), F.ceil(F.col("g") / BLOCK).alias("gs"))
+    stats = materialise(stats, "signature_counts")
+    dealt = rows.join(stats, "sig").withColumn("minor", F.col("label") != F.col("major"))
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(1)), "ys")).withColumn("j", F.pmod(F.xxhash64("doc", F.lit(2)), "gs"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: F.struct(i.alias("i"), F.col("j").alias("j")))
+    more = F.transform(F.filter(F.sequence(F.lit(0), F.col("gs") - 1), lambda j: j != F.col("j")), lambda j: F.struct(F.col("i").alias("i"), j.alias("j")))
+    dealt = dealt.withColumn("cell", F.explode(F.when(F.col("minor"), F.concat(cells, more)).otherwise(cells)))
+    dealt = dealt.select(
+        F.when((F.col("ys") == 1) & (F.col("gs") == 1), F.col("sig")).otherwise(F.xxhash64("sig", "cell.i", "cell.j")).alias("key"),
+        "doc",
+        "label",
+        (F.col("minor") & (F.col("i") == F.col("cell.i"))).alias("left"),
+        (F.col("j") == F.col("cell.j")).alias("right"),
+        "minor",
+    )
+    carried = summaries.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "carried")
+    dealt = dealt.join(carried, "doc").select("key", "doc", "label", "n", F.col("carried").alias("sketch"), "left", "right", "minor")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(percent), "a long, b long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b): every row of rows(sig, doc) beside its signature's most central doc.
+    """(a, b): every row of rows(sig, doc, label) beside its signature's most central doc, where labels differ.
 
     Central is who shares signatures with most: of copies of one text the text itself, from which
     each copy differs less than from another copy. Ties go to the smallest id.
     """
-    rows = materialise(rows, "early")
-    sizes = materialise(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "early_sizes")
+    sizes = materialise(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes_of_sigs")
     shared = materialise(rows.join(sizes, "sig"), "shared")
     central = materialise(shared.groupBy("doc").agg(F.sum("n").alias("met")), "central")
-    first = shared.select("sig", "doc").join(central, "doc").groupBy("sig").agg(F.max(F.struct("met", (-F.col("doc")).alias("last"))).alias("top"))
-    first = materialise(first.select("sig", (-F.col("top.last")).alias("a")), "leaders")
-    pairs = shared.select("sig", "doc").join(first, "sig").filter("doc <> a")
+    first = shared.select("sig", "doc", "label").join(central, "doc").groupBy("sig").agg(F.max(F.struct("met", (-F.col("doc")).alias("last"), "label")).alias("top"))
+    first = materialise(first.select("sig", (-F.col("top.last")).alias("a"), F.col("top.label").alias("its")), "leaders")
+    pairs = shared.select("sig", "doc", "label").join(first, "sig").filter("doc <> a AND label <> its")
     return pairs.select("a", F.col("doc").alias("b")).distinct()
 
 
@@ -370,63 +419,110 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     return materialise(pairs.join(second, "b").join(first, "a").filter(similar).select("a", "b"), name)
 
 
+def _relabelled(told: DataFrame, links: DataFrame) -> DataFrame:
+    """told(doc, label) after links(a, b) have joined components."""
+    at = lambda k: told.select(F.col("doc").alias(k), F.col("label").alias("label_" + k))
+    edges = links.join(at("a"), "a").join(at("b"), "b").filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    edges = materialise(edges, "edges")
+    if edges.isEmpty():
+        return told
+    moved = components(edges).select(F.col("id").alias("label"), F.col("label").alias("top"))
+    return materialise(told.join(moved, "label", "left").select("doc", F.coalesce("top", "label").alias("label")), "told")
+
+
+def _mixed_only(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """rows(sig, doc) with the labels of told, of signatures with several labels."""
+    rows = materialise(rows.select("sig", "doc").join(told, "doc"), "labelled")
+    several = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+    return materialise(rows.join(several, "sig", "left_semi"), "mixed_rows")
+
+
 def join(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, component_id per row of docs(doc_id, text); links between representatives of unequal sets)."""
+    """(doc_id, n_shingles, component_id, row per row of docs(doc_id, text); links between representatives of unequal sets).
+
+    row is a hash of the text, which tells rows of one id apart; while ids with several texts are
+    linked, each of their texts has an id of its own, and links name it.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    several = materialise(texts.filter("low <> high").select("doc_id"), "ids_with_several_texts")
+    if several.isEmpty():
+        return _join(docs, width, percent)
+    told = docs.join(several.withColumn("more", F.lit(True)), "doc_id", "left").withColumn("own", F.when(F.col("more"), F.xxhash64("doc_id", "row")).otherwise(F.col("doc_id")))
+    found, links = _join(told.select(F.col("own").alias("doc_id"), "row", "text"), width, percent)
+    names = materialise(told.select("own", "row", "doc_id").distinct(), "names")
+    same = found["doc_id"].eqNullSafe(names["own"]) & (found["row"] == names["row"])
+    found = materialise(found.join(names, same).select(names["doc_id"], "n_shingles", "component_id", found["row"]), "named")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"), "row"), links
+
+
+def _join(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = materialise(ids.distinct(), "asked")
         return materialise(docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_rows(width), "doc long, shingles array<long>"), "sets")
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-
-    def labelled(reps: DataFrame, labels: DataFrame) -> DataFrame:
-        return reps.join(labels, reps["rep"] == labels["id"], "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    def checked(pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+        pairs = _plausible(pairs, reps, percent, "plausible")
+        ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+        return _links(pairs, sets_of(ends), percent, name)
 
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), temporary(spark) as keep:
         with temporary(spark) as keep_early:
-            rows = materialise(docs.mapInArrow(_summaries(width, percent), "doc_id long, n_shingles long, one long, two long, sketch binary, early array<long>"), "summaries")
+            rows = materialise(docs.mapInArrow(_summaries(width, percent), "doc_id long, row long, n_shingles long, one long, two long, sketch binary, early array<long>"), "summaries")
             own = ["n_shingles", "one", "two"]
             classes = materialise(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*own).agg(F.min("doc_id").alias("rep")), "classes")
             is_rep = (rows["doc_id"] == classes["rep"]) & (rows["n_shingles"] == classes["n_shingles"]) & (rows["one"] == classes["one"]) & (rows["two"] == classes["two"])
-            reps = rows.join(classes, is_rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "early")
-            early = materialise(reps.dropDuplicates(["rep", "n_shingles", "sketch"]), "reps")
-            reps = materialise(early.drop("early"), "sizes")
-            known = materialise(rows.join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
-            pairs = _plausible(_stars(early.select(F.explode("early").alias("sig"), F.col("rep").alias("doc"))), reps, percent, "early_pairs")
-            links = _links(pairs, sets_of(ends(pairs)), percent, "links")
-            told = materialise(labelled(reps, components(links)).select(F.col("rep").alias("doc_id"), "label").distinct(), "told")
+            found = rows.join(classes, is_rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "early")
+            found = materialise(found.dropDuplicates(["rep", "n_shingles", "sketch"]), "found")
+            reps = materialise(found.select("rep", "n_shingles", "sketch"), "reps")
+            known = materialise(rows.join(classes, own, "left").select("doc_id", "row", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "known")
+            early = materialise(found.select(F.explode("early").alias("sig"), F.col("rep").alias("doc"), F.col("rep").alias("label")), "early")
+            links = checked(_stars(early), reps, "links")
+            told = _relabelled(materialise(reps.select(F.col("rep").alias("doc"), F.col("rep").alias("label")).distinct(), "alone"), links)
             keep_early(known, reps, links, told)
-        text = docs.join(told.hint("shuffle_hash"), "doc_id")
-        groups = _mixed(text.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long"), "mixed", percent, False)
-        near = groups.filter("a IS NOT NULL").select("a", "b")
-        for level in range(1, len(LEVELS)):
-            far = materialise(groups.filter("a IS NULL").select("doc", "label").distinct(), "far")
-            if far.isEmpty():
-                break
-            finer = far.join(sets_of(far.select(F.col("doc").alias("doc_id"))), "doc").select("doc", "label", "shingles")
-            groups = _mixed(finer.mapInArrow(_finer_rows(percent, level), FINER), "finer", percent, level + 1 == len(LEVELS))
-            near = near.unionByName(groups.filter("a IS NOT NULL").select("a", "b"))
-        pairs = _plausible(near.distinct(), reps, percent, "late_pairs")
-        links = materialise(links.unionByName(_links(pairs, sets_of(ends(pairs)), percent, "links")), "all_links")
-        labels = components(links).select(F.col("id").alias("rep"), "label")
-        out = materialise(known.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "components")
+        with temporary(spark) as keep_signed:
+            labelled = docs.select("doc_id", "text").join(told.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id")
+            pairs = labelled.mapInArrow(_signature_labels(width, percent), "sig long, label long")
+            mixed = materialise(pairs.repartition("sig").sortWithinPartitions("sig", "label").mapInArrow(_several, "sig long, label long"), "mixed")
+            concerned = materialise(told.join(mixed.select("label").distinct(), "label", "left_semi").select(F.col("doc").alias("doc_id"), "label"), "concerned")
+            again = docs.select("doc_id", "text").join(concerned.hint("shuffle_hash"), "doc_id")
+            signed = again.mapInArrow(_signed_rows(width, percent), "sig long, doc long, label long").join(mixed, ["sig", "label"], "left_semi")
+            signed = materialise(signed, "signed")
+            keep_signed(signed)
+        with temporary(spark) as keep_late:
+            more = checked(_stars(signed), reps, "star_links")
+            told = _relabelled(told, more)
+            rest = _mixed_only(signed, told)
+            carried = reps.join(rest.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
+            carried = materialise(carried.select("rep", "n_shingles", "sketch").mapInArrow(_carried, "rep long, n_shingles long, carried binary"), "carried")
+            late = materialise(_blocks(rest, carried, percent).distinct(), "late")
+            last = checked(late, reps, "late_links")
+            told = _relabelled(told, last)
+            links = materialise(links.unionByName(more).unionByName(last), "all_links")
+            keep_late(told, links)
+        labels = told.select(F.col("doc").alias("rep"), "label")
+        out = materialise(known.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"), "row"), "components")
         keep(out, links)
     return out, links
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs with the smallest id of their component, with docs' columns; rows without an id stay."""
+    """The rows of docs with the smallest id of their component, with docs' columns; rows without an id stay.
+
+    Where rows of one id have different texts, each is judged by its own text's component.
+    """
     with temporary(docs.sparkSession) as keep:
-        found, _ = join(docs, width, percent)
-        gone = materialise(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+        found = join(docs, width, percent)[0]
+        gone = materialise(found.filter("component_id <> doc_id").select("doc_id", "row").distinct(), "gone")
         keep(gone)
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["doc_id"], "left_anti")
+    same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["row"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def op6_ngram_jaccard(spark, sf_dir):
     from .common import table
 
-    return join(table(spark, sf_dir, "documents"))[0]
+    return join(table(spark, sf_dir, "documents"))[0].drop("row")

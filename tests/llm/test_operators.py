@@ -126,10 +126,10 @@ def _brute(rows, width, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "percent", "group", "held"), [(4, 85, 64, 200_000), (5, 80, 2, 3)])
-def test_partenum_against_brute_force(spark, monkeypatch, width, percent, group, held):
-    monkeypatch.setattr(partenum, "GROUP", group)
-    monkeypatch.setattr(partenum, "HELD", held)
+@pytest.mark.parametrize(("width", "percent", "block", "gather", "pairs"), [(4, 85, 2048, 100_000, 1_000_000), (5, 80, 2, 3, 4)])
+def test_partenum_against_brute_force(spark, monkeypatch, width, percent, block, gather, pairs):
+    for name, value in {"BLOCK": block, "GATHER": gather, "PAIRS": pairs}.items():
+        monkeypatch.setattr(partenum, name, value)
     rng = random.Random(width)
     base = [[f"w{rng.randint(0, 300)}" for _ in range(rng.choice([3, 8, 14, 40, 90]))] for _ in range(14)]
     rows = []
@@ -143,6 +143,71 @@ def test_partenum_against_brute_force(spark, monkeypatch, width, percent, group,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _brute(rows, width, percent)
 
 
+def _similar(rng, size, percent):
+    """Two sets on either side of the limit, near it."""
+    pool = rng.choice(2**60, size=3 * size + 4, replace=False).astype(np.uint64)
+    x = pool[:size]
+    gone = int(rng.integers(0, size * (100 - percent) // 100 + 2))
+    new = int(rng.integers(0, size * (100 - percent) // 100 + 2))
+    return np.sort(x), np.sort(np.concatenate([x[gone:], pool[size : size + new]]))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_share_a_signature(percent):
+    rng = np.random.default_rng(percent)
+    met = 0
+    for size in [*range(1, 40), 60, 100, 150, 151, 300, 700, 2000] * 12:
+        x, y = _similar(rng, size, percent)
+        common = len(np.intersect1d(x, y))
+        if len(y) and 100 * common >= percent * (len(x) + len(y) - common) and (len(x) != common or len(y) != common):
+            row, sig = partenum.signatures([x, y], percent)
+            assert set(sig[row == 0]) & set(sig[row == 1]), (size, len(y), common)
+            met += 1
+    assert met > 100
+
+
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(3)
+    for size in [1, 5, 40, 130, 900, 5000]:
+        x, y = _similar(rng, size, 70)
+        least = partenum.least_distance(partenum.parity_sketch(x), partenum.parity_sketch(y))
+        folded = partenum.least_distance(partenum._folded(partenum.parity_sketch(x)), partenum._folded(partenum.parity_sketch(y)))
+        assert folded <= least <= len(np.setxor1d(x, y))
+
+
+def test_signatures_of_several_components():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(40), rng.randrange(4)) for _ in range(90))
+    want = {(s, x) for s, x in rows if len({b for a, b in rows if a == s}) > 1}
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], ["sig", "label"]) for i in range(0, 90, size)]
+        got = [r for b in partenum._several(iter(batches)) for r in zip(b["sig"].to_pylist(), b["label"].to_pylist())]
+        assert sorted(got) == sorted(want)
+
+
+def test_partenum_hot_group(spark):
+    """A family whose members differ from the text they were made from by more or less than the limit, and a passage that many share."""
+    rng = random.Random(6)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(260):
+        words = list(base) if k % 4 else passage + [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(10, 60))]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    got, _ = partenum.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _brute(rows, 4, 85)
+
+
+def test_keep_one_judges_rows_of_one_id_by_their_text(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(3, text), (5, text + " end"), (5, " ".join(f"v{i}" for i in range(80))), (6, text)]
+    left = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text[:2]) for r in left.collect()) == [(3, "w0"), (5, "v0")]
+
+
 def test_partenum_odd_rows(spark, odd, none):
     rows = partenum.join(odd)[0].collect()
     assert len(rows) == odd.count()
