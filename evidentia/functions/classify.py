@@ -105,12 +105,15 @@ def ungrounded_numbers(answer: Column, evidence: Column) -> Column:
 
 
 def missing_preconditions(plans: DataFrame, events: DataFrame) -> DataFrame:
-    """plans(plan_id, phrase) whose exact phrase occurs in no event's text of the plan's scope.
+    """plans(plan_id, phrase) whose phrase occurs in no event's object_text, both reduced to lower-case words and single spaces.
 
-    Phrases meet events by a word that both have, not all pairs.
+    A phrase may be inside a longer word; one without a word is missing nowhere. Phrases meet events
+    by their first three characters (or fewer, if shorter), not all pairs.
     """
-    from evidentia.functions.text import tokens
-
-    first = plans.withColumn("_word", F.try_element_at(tokens(F.col("phrase")), F.lit(1)))
-    words = events.select("object_text", F.explode(F.array_distinct(tokens(F.col("object_text")))).alias("_word"))
-    return plans.join(first.join(words, "_word").filter(F.contains(F.lower("object_text"), F.lower("phrase"))).select("plan_id").distinct(), "plan_id", "left_anti")
+    plain = lambda c: F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), 0), " ")
+    asked = plans.select("plan_id", plain(F.col("phrase")).alias("wanted")).filter("wanted <> ''").withColumn("gram", F.left("wanted", F.lit(3)))
+    said = events.select(plain(F.col("object_text")).alias("said")).distinct()
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("said"), F.lit(1))), lambda i: F.substring(F.col("said"), i, F.lit(n)))
+    met = said.select("said", F.explode(F.array_distinct(F.concat(*[grams(n) for n in (1, 2, 3)]))).alias("gram"))
+    found = asked.join(met, "gram").filter(F.contains("said", "wanted")).select("plan_id").distinct()
+    return plans.join(asked.select("plan_id"), "plan_id", "left_semi").join(found, "plan_id", "left_anti")

@@ -47,9 +47,11 @@ def recall_scores(memories: DataFrame, query_text: str) -> DataFrame:
 
 def recent(scored: DataFrame, limit: int) -> DataFrame:
     """The newest memories, of the named ones if there are any."""
-    some = F.max(F.col("named") > 0).over(Window.partitionBy())
-    pool = scored.withColumn("_any", some).filter(~F.col("_any") | (F.col("named") > 0)).drop("_any")
-    return pool.orderBy(F.desc("effective_at"), F.desc("memory_id")).limit(limit)
+    newest = [F.desc("effective_at"), F.desc("memory_id")]
+    first = lambda rows, named: rows.orderBy(*newest).limit(limit).withColumn("_named", F.lit(named))
+    both = first(scored.filter("named > 0"), True).unionByName(first(scored, False))  # at most twice the limit
+    pool = both.withColumn("_any", F.max("_named").over(Window.partitionBy())).filter("_named = _any").drop("_any", "_named")
+    return pool.orderBy(*newest).limit(limit)
 
 
 def meaning_fallback(scored: DataFrame, floor: float = 0.2, margin: float = 0.1) -> DataFrame:

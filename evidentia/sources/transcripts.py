@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.security import redact, redaction_count
@@ -13,21 +17,36 @@ LINE = "value string, path string, offset long"
 
 
 def lines(spark: SparkSession, path: str, *, stream: bool = False, **options) -> DataFrame:
-    """value, path, offset of text lines below path; as a stream its checkpoint holds what was read.
+    """value, path, offset of complete text lines below path; offset is a line's first byte in its file.
 
-    The offset orders lines inside a file. Of a growing file the stream sees whole files, so turns carry
-    ids that make a second reading harmless.
+    A last line without a line feed is still being written and left for later. As a stream, its
+    checkpoint holds which files were read; a stream sees whole files, and since offsets depend on the
+    file alone, turns read again carry the ids that they had.
     """
-    reader = (spark.readStream if stream else spark.read).options(recursiveFileLookup="true", pathGlobFilter="*.jsonl", **options)
-    rows = (reader.schema("value string") if stream else reader).format("text").load(path)
-    return rows.select("value", F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("offset"))
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl", **options}
+    if stream:
+        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").options(**options).load(path)
+        return files.select("path", "content").mapInPandas(_split_files, "value string, path string, offset long")
+    rows = spark.read.options(**options, lineSep="\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
+    before = Window.partitionBy("path").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("length", F.octet_length("value") + 1).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return placed.filter(F.col("offset") + F.col("length") <= F.col("size")).select("value", "path", F.col("offset").cast("long").alias("offset"))
+
+
+def _split_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, content in zip(frame["path"], frame["content"], strict=True):
+            whole = content.split(b"\n")[:-1]
+            starts = accumulate((len(x) + 1 for x in whole), initial=0)
+            yield pd.DataFrame({"value": [x.decode("utf-8", "replace") for x in whole], "path": path, "offset": [at for at, _ in zip(starts, whole)]}, columns=["value", "path", "offset"]).astype({"offset": "int64"})
 
 
 def _texts(content: Column) -> Column:
-    """Text of a content field that is a string or an array of blocks; other blocks leave."""
+    """Text of a content field that is a string or an array of blocks; other blocks leave. A text that only starts like an array is a text."""
     blocks = F.from_json(content, _BLOCKS)
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"].isin("text", "input_text", "output_text")), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    return F.when(F.left(content, F.lit(1)) == "[", joined).otherwise(content)
+    is_array = (F.left(content, F.lit(1)) == "[") & blocks.isNotNull() & ((F.size(blocks) == 0) | F.exists(blocks, lambda b: b["type"].isNotNull()))
+    return F.when(is_array, joined).otherwise(content)
 
 
 def _get(path: str) -> Column:
@@ -62,8 +81,6 @@ def format_c(rows: DataFrame) -> DataFrame:
 
 def format_d(rows: DataFrame) -> DataFrame:
     """Lines whose only time is inside the user's text, carried on to the replies; user text is what user_query wraps."""
-    from pyspark.sql import Window
-
     text = _texts(_get("$.message.content"))
     stamp = r"<timestamp>\s*\w+, (\w{3} \d{1,2}, \d{4}, \d{1,2}:\d{2} [AP]M) \(UTC([+-]\d{1,2})?(?::(\d{2}))?\)\s*</timestamp>"
     found = rows.withColumn("text", text).withColumn("role", _get("$.role")).filter("role IN ('user', 'assistant') AND text IS NOT NULL")
@@ -114,7 +131,8 @@ def workspace(spark: SparkSession, root: str, most_bytes: int = 2 << 20) -> Data
     files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.{" + ",".join(CODE_SUFFIXES) + "}").load(root)
     parts = F.split("path", "/")
     keep = (F.col("length") <= most_bytes) & ~F.arrays_overlap(parts, F.array(*map(F.lit, EXCLUDED)))
-    return files.filter(keep).filter(F.instr(F.hex("content"), "00") % 2 != 1).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    text = ~F.contains(F.decode("content", "ISO-8859-1"), F.lit("\0"))
+    return files.filter(keep).filter(text).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
 
 
 def documents(spark: SparkSession, root: str, most_bytes: int = 2 << 20, seen: DataFrame | None = None) -> DataFrame:

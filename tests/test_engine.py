@@ -23,7 +23,11 @@ def test_redaction(spark):
     assert "hunter2" not in clean and "sk-ant" not in clean and "1111 1111 1111 1111" not in clean and "1111 1112" in clean and "a b c" not in clean
     assert one(spark, security.redact(F.col("t")), t="the password is stored in the vault") == "the password is stored in the vault"
     assert one(spark, security.redact(F.col("t")), t="url postgres://me:pw@host/db") == "url postgres://me:[REDACTED]@host/db"
-    assert security.looks_random("aB3xK9mQ2zR7wL5pT8vN") and not security.looks_random("CamelCaseNamesAreWords12Here")
+    tokens = lambda t: one(spark, security.random_tokens(F.col("t")), t=t)
+    assert tokens("see aB3xK9mQ2zR7wL5pT8vN, CamelCaseNamesAreWords12Here") == ["aB3xK9mQ2zR7wL5pT8vN"]
+    assert tokens("123e4567-e89b-12d3-a456-426614174000 " + "ab12" * 10 + " short1A") == []
+    assert one(spark, security.redact(F.col("t")), t="see aB3xK9mQ2zR7wL5pT8vN!") == "see [REDACTED_SECRET]!"
+    assert one(spark, security.redact(F.col("t")), t="id 9-4111111111111111 card 4111111111111111") == "id 9-4111111111111111 card [REDACTED_CARD]"
 
 
 def test_sealed_lines(spark):
@@ -36,6 +40,8 @@ def test_sealed_lines(spark):
 def test_sections():
     got = tx.sections_of("intro\n# A\ntext\n```\n# not a heading\n```\n## B\nmore\n# C\n" + "x\n\n" * 3)
     assert [h for h, _ in got] == ["", "A", "A > B", "C"]
+    assert [h for h, _ in tx.sections_of("## X\na\n## Y\nb")] == ["X", "Y"]
+    assert [h for h, _ in tx.sections_of("# A\na\n### B\nb\n### D ##\nd\n## E\ne")] == ["A", "A > B", "A > D", "A > E"]
     assert all(len(b) <= 20 for _, b in tx.sections_of("# A\n" + "word word\n\n" * 30, 20))
 
 
@@ -137,7 +143,7 @@ def test_transcript_formats(spark, tmp_path):
     d = [{"role": "user", "message": {"content": [{"type": "text", "text": "<timestamp>Sunday, Oct 18, 2026, 2:46 PM (UTC+9)</timestamp><user_query> ask </user_query>"}]}}, {"role": "assistant", "message": {"content": [{"type": "text", "text": "answer"}]}}]
     folder = tmp_path / "d"
     folder.mkdir()
-    (folder / "s2.jsonl").write_text("\n".join(map(json.dumps, d)))
+    (folder / "s2.jsonl").write_text("\n".join(map(json.dumps, d)) + "\n")
     got = transcripts.format_d(transcripts.lines(spark, str(folder))).orderBy("source_ordinal").collect()
     assert [(r.role, r.content) for r in got] == [("user", "ask"), ("assistant", "answer")] and got[1].said_at.startswith("2026-10-18T05:46")
 
@@ -155,3 +161,48 @@ def test_around_window(spark):
     assert one(spark, turns.around_window(F.col("w")), w="someday") is None
     w = one(spark, turns.around_window(F.col("w")), w="2024-01-10")
     assert str(w.since)[:10] == "2024-01-03" and str(w.until)[:10] == "2024-01-18"
+
+
+def test_lines_have_byte_offsets_and_are_complete(spark, tmp_path):
+    (tmp_path / "f.jsonl").write_bytes("é1\r\n\nlast\ntorn".encode())
+    (tmp_path / "g.jsonl").write_text("x\n" * 50)
+    want = {("f.jsonl", 0), ("f.jsonl", 5), ("f.jsonl", 6)} | {("g.jsonl", 2 * i) for i in range(50)}
+    for size in ("7", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = {(r.path.rsplit("/", 1)[1], r.offset) for r in transcripts.lines(spark, str(tmp_path)).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    stream = transcripts.lines(spark, str(tmp_path), stream=True).writeStream.format("memory").queryName("seen_lines").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert {(r.path.rsplit("/", 1)[1], r.offset) for r in spark.table("seen_lines").collect()} == want
+
+
+def test_a_text_may_start_like_an_array(spark, tmp_path):
+    said = ["[ok] please do it", "[1]", [{"type": "text", "text": "[x]"}], [{"type": "image"}], "[INST] {"]
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps({"type": "user", "uuid": str(i), "message": {"content": c}}) + "\n" for i, c in enumerate(said)))
+    got = {r.record_id: r.content for r in transcripts.format_b(transcripts.lines(spark, str(tmp_path))).collect()}
+    assert got == {"0": "[ok] please do it", "1": "[1]", "2": "[x]", "3": "", "4": "[INST] {"}
+
+
+def test_workspace_leaves_files_with_nul(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes(b"x = 1")
+    (tmp_path / "b.py").write_bytes(bytes([0x10, 0x01, 0x00]) + b"x")
+    (tmp_path / "c.py").write_bytes(b"p0p0" + bytes([0x50, 0x05]))
+    assert sorted(r.path.rsplit("/", 1)[1] for r in transcripts.workspace(spark, str(tmp_path)).collect()) == ["a.py", "c.py"]
+
+
+def test_preconditions_are_contained_phrases(spark):
+    plans = spark.createDataFrame([(1, "cat"), (2, "Dog, house"), (3, "!!"), (4, "Engineer Manager"), (5, "x")], "plan_id int, phrase string")
+    events = spark.createDataFrame([("Concatenate the dog-house",), (None,), ("Engineer",)], "object_text string")
+    assert sorted(r.plan_id for r in classify.missing_preconditions(plans, events).collect()) == [4, 5]
+
+
+def test_stem(spark):
+    words = "running graduated boxes cats bake king used loves".split()
+    assert one(spark, F.array_join(F.transform(F.split("t", " "), tx.stem), " "), t=" ".join(words)) == "runn graduat box cats bake king used lov"
+
+
+def test_recent_prefers_named(spark):
+    rows = spark.createDataFrame([(i, i, int(i in (2, 3))) for i in range(9)], "memory_id int, effective_at int, named int")
+    assert [r.memory_id for r in memories.recent(rows, 3).collect()] == [3, 2]
+    assert [r.memory_id for r in memories.recent(rows.filter("named = 0"), 3).collect()] == [8, 7, 6]
