@@ -43,7 +43,7 @@ SLICE = 500
 #: Signatures of a set that look for copies first.
 EARLY = 16
 #: Rows of a block that is compared with the other rows of its signature.
-BLOCK = 2048
+BLOCK = 512
 #: Rows that a task takes at once, and pairs that it compares at once.
 GATHER = 100_000
 PAIRS = 1_000_000
