@@ -10,14 +10,17 @@ inclusion score. All variates are hashes of the row's key, the sample's number a
 they depend neither on the run nor on what else is in a batch.
 
 No piece has a space after another character or a line feed, so the lattice is a chain of small
-lattices of units between such places; those of distinct units are built once a batch.
+lattices of units between such places; those of distinct units are built once for SHARED rows.
 
 Spaces are marked as U+2581 and a first one is added; characters without a piece, and U+2581 itself,
 are written as bytes, so decoding gives every text back exactly.
 
 Defined cases: null text counts as empty; an empty text has one segmentation, without pieces; texts
 with fewer segmentations than asked give all they have, with inclusion 1; rows that repeat a key and
-a text give the same samples; an empty table gives an empty result.
+a text give the same samples; of equal bounds (none in practice) the earliest sample's and then the
+earliest place's is opened; very long texts are segmented whole; extra columns are not read and may have
+any name; an empty table gives an empty result. Weights are a prior on rank since a BPE model's own
+scores are merge ranks, not log-probabilities.
 """
 
 from __future__ import annotations
@@ -34,7 +37,10 @@ from pyspark.sql import DataFrame
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = "pieces"
-BATCH = 600
+#: Rows that are sampled at once, rows that share the lattices of their units, rows whose units are encoded at once.
+BATCH = 300
+SHARED = 1200
+ENCODED = 300
 
 _UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -127,34 +133,40 @@ class Lattice:
         src, piece, length = np.concatenate(src), np.concatenate(piece), np.concatenate(length)
         points = np.where(points == 0xD800, np.uint64(0x2581), points)
         n_bytes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        # by distance of their source to the end, so that edges of one distance are neighbours
         order = np.argsort(src * 32 + length, kind="stable")
+        distance = remaining[src[order]]
+        order = order[np.argsort(distance.astype(np.uint16) if distance.max(initial=0) < 65536 else distance, kind="stable")]
         self.src, self.piece, self.length = src[order], piece[order], length[order]
         self.n_tokens = np.where(self.piece < 0, n_bytes[self.src], 1)
         self.last = remaining[self.src] == self.length
         self.points = points
         weight = np.where(self.piece >= 0, vocab.logp[self.piece], n_bytes[self.src] * vocab.byte_logp)
         degree = np.bincount(self.src, minlength=c)
-        self.first = np.concatenate([[0], np.cumsum(degree)])
+        heads = np.flatnonzero(np.concatenate([[True], self.src[1:] != self.src[:-1]])) if c else np.zeros(0, np.int64)
+        self.first = np.zeros(c, dtype=np.int64)
+        self.first[self.src[heads]] = heads
         self.weight, self.degree = weight, degree
         target = np.where(self.last, c, self.src + self.length)
         beta = np.zeros(c + 1)
         self.target = target
         self.levels = []  # edges by distance of their source to the end: positions, first of each source
         far = int(remaining.max(initial=0))
-        distance = remaining[self.src].astype(np.uint16 if far < 65536 else np.int64)
-        level = np.argsort(distance, kind="stable")
-        bounds = np.searchsorted(distance[level], np.arange(1, far + 2))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            edges = level[a:b]
-            s = self.src[edges]
-            heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            beta[s[heads]] = np.logaddexp.reduceat(weight[edges] + beta[target[edges]], heads)
-            self.levels.append((edges, heads))
+        bounds = np.searchsorted(remaining[self.src[heads]], np.arange(1, far + 2))
+        ends = np.append(heads, len(self.src))
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if x < y:
+                edges = slice(ends[x], ends[y])
+                own = heads[x:y] - ends[x]
+                beta[self.src[heads[x:y]]] = np.logaddexp.reduceat(weight[edges] + beta[target[edges]], own)
+                self.levels.append((edges, own))
         self.q = weight + beta[target] - beta[self.src]
         p = np.exp(self.q)
-        total = np.cumsum(p)
-        before = np.concatenate([[0.0], total])[self.first[:-1]]
-        self.upto = total - before[self.src]
+        self.upto = p.copy()  # summed within each source on its own, so it does not depend on other units
+        place = np.arange(len(p)) - self.first[self.src]
+        for k in range(1, int(degree.max(initial=1))):
+            later = np.flatnonzero(place == k)
+            self.upto[later] += self.upto[later - 1]
         self.left = np.log(np.maximum(1.0 - p, 0.0), out=np.full(len(p), -np.inf), where=(degree[self.src] > 1) & (p < 1.0))
 
     def best(self) -> np.ndarray:
@@ -163,14 +175,15 @@ class Lattice:
         for edges, heads in self.levels:
             value = self.weight[edges] + most[self.target[edges]]
             top = np.maximum.reduceat(value, heads)
-            most[self.src[edges[heads]]] = top
-            is_top = edges[value == np.repeat(top, np.diff(np.append(heads, len(edges))))][::-1]
+            most[self.src[edges][heads]] = top
+            is_top = edges.start + np.flatnonzero(value == np.repeat(top, np.diff(np.append(heads, len(value)))))[::-1]
             best[self.src[is_top]] = is_top
         return best
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, by its share of the node's mass."""
-        edge, final = self.first[node].copy(), self.first[node + 1] - 1
+        edge = self.first[node]
+        final = edge + self.degree[node] - 1
         more = np.flatnonzero((self.upto[edge] < u) & (edge < final))
         while len(more):
             edge[more] += 1
@@ -185,27 +198,51 @@ def _uniform(seed: np.ndarray, sample: int, place: np.ndarray, kind: int) -> np.
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class Batch:
-    """The unit chains of several texts over one lattice."""
+class Units:
+    """The chains of units of several texts, and the lattices of the distinct ones."""
 
     def __init__(self, texts: list[str | None], vocab: Vocabulary):
-        index: dict[str, int] = {}
-        chains = []
-        for text in texts:
-            text = text or ""
-            if "▁" in text:
-                text = text.replace("▁", "\ud800")
-            units = _UNIT.findall("▁" + text.replace(" ", "▁")) if text else []
-            chains.append([index.setdefault(u, len(index)) for u in units])
         self.vocab = vocab
-        self.lattice = Lattice(list(index), vocab) if index else None
-        self.n_units = np.array([len(x) for x in chains], dtype=np.int64)
-        self.unit = np.fromiter((u for x in chains for u in x), dtype=np.int64, count=int(self.n_units.sum()))
-        self.doc = np.repeat(np.arange(len(texts)), self.n_units)
-        sizes = np.array([len(u) for u in index], dtype=np.int64)[self.unit] if index else np.zeros(0, np.int64)
+        chunks, counts, odd = [], [], any("▁" in text for text in texts if text)
+        for at in range(0, len(texts), ENCODED):
+            flat: list[str] = []
+            for text in texts[at : at + ENCODED]:
+                if odd and text:
+                    text = text.replace("▁", "\ud800")
+                found = _UNIT.findall("▁" + text.replace(" ", "▁")) if text else []
+                flat += found
+                counts.append(len(found))
+            chunks.append(pa.array([u.encode("utf-8", "surrogatepass") for u in flat], pa.binary()) if odd else pa.array(flat, pa.string()))
+        coded = pa.chunked_array(chunks or [pa.array([], pa.string())]).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        distinct = coded.dictionary.to_pylist()
+        if odd:
+            distinct = [u.decode("utf-8", "surrogatepass") for u in distinct]
+        self.lattice = Lattice(distinct, vocab) if distinct else None
+        self.n_units = np.array(counts, dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.n_units)])
+        self.unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.sizes = np.array([len(u) for u in distinct], dtype=np.int64)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places from each start to its end."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class Batch:
+    """The unit chains of texts `first` to `last` of several."""
+
+    def __init__(self, units: Units, first: int, last: int):
+        self.vocab, self.lattice = units.vocab, units.lattice
+        self.n_units = units.n_units[first:last]
+        self.unit = units.unit[units.begin[first] : units.begin[last]]
+        self.doc = np.repeat(np.arange(last - first), self.n_units)
+        sizes = units.sizes[self.unit]
         self.base = np.cumsum(sizes) - sizes  # place of a unit in the batch's characters
         self.n = int(sizes.sum())
-        per_doc = np.bincount(self.doc, weights=sizes, minlength=len(texts)).astype(np.int64)
+        per_doc = np.bincount(self.doc, weights=sizes, minlength=last - first).astype(np.int64)
         self.doc_start = np.cumsum(per_doc) - per_doc
         self.doc_end = self.doc_start + per_doc
 
@@ -259,7 +296,7 @@ class Batch:
             phi = before + lat.left[edge[new]] if self.n else np.zeros(0)
             top = bound[of[new]]
             u = _uniform(seeds[of[new]], number, own_place(at[new]), 1) if self.n else np.zeros(0)
-            pools.append({"g": phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u)), "at": at[new], "before": before, "doc": of[new], "path": path.copy(), "gone": {}})
+            pools.append({"g": phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u)), "at": at[new], "before": before, "doc": of[new], "path": out[-1][0], "gone": np.zeros(0, np.int64)})
             # open the largest bound
             best = np.full(docs, -np.inf)
             best_pool, best_row = np.full(docs, -1), np.full(docs, -1)
@@ -283,40 +320,51 @@ class Batch:
     def _open(self, pools, path, from_place, seeds, number, bound, have, best_pool, best_row):
         """Set path to each doc's opened branch up to its node; return the nodes to walk on from."""
         lat = self.lattice
-        docs = np.flatnonzero(have)
-        starts = []
-        for d in docs.tolist():
-            pool, row = pools[best_pool[d]], best_row[d]
-            at = int(pool["at"][row])
-            if best_pool[d] != number - 1:
-                path[self.doc_start[d] : self.doc_end[d]] = pool["path"][self.doc_start[d] : self.doc_end[d]]
-            taken = int(pool["path"][at])
-            node = int(lat.src[taken])
-            gone = pool["gone"].setdefault(int(row), {taken})
-            edges = [e for e in range(lat.first[node], lat.first[node + 1]) if e not in gone]
-            mass = np.exp(lat.q[edges])
-            u = float(_uniform(seeds[d : d + 1], number, np.array([at - self.doc_start[d]]), 2)[0]) * mass.sum()
-            chosen = edges[min(int(np.searchsorted(np.cumsum(mass), u)), len(edges) - 1)]
-            gone.add(chosen)
-            rest = mass.sum() - np.exp(lat.q[chosen])
-            if len(edges) > 1 and rest > 0:
-                phi, u = float(pool["before"][row] + np.log(rest)), float(_uniform(seeds[d : d + 1], number, np.array([at - self.doc_start[d]]), 3)[0])
-                pool["g"][row] = phi - np.log(np.exp(min(phi - bound[d], 700.0)) - np.log(u))
-            else:
-                pool["g"][row] = -np.inf
-            path[at : self.doc_end[d]] = -1
+        after = np.full(len(self.n_units), self.n + 1, dtype=np.int64)
+        nodes, stops = [], []
+        for i, pool in enumerate(pools):
+            docs = np.flatnonzero(have & (best_pool == i))
+            if not len(docs):
+                continue
+            row = best_row[docs]
+            at = pool["at"][row]
+            taken = pool["path"][at]
+            node = lat.src[taken]
+            if i != number - 1:
+                own = _ranges(self.doc_start[docs], self.doc_end[docs])
+                path[own] = pool["path"][own]
+            # the edges of each node, one row a doc; those taken before have no mass
+            first, degree = lat.first[node], lat.degree[node]
+            column = np.arange(int(degree.max()))
+            edges = first[:, None] + np.minimum(column, degree[:, None] - 1)
+            codes = row[:, None] * len(lat.src) + edges
+            gone = (edges == taken[:, None]) | np.isin(codes, pool["gone"])
+            free = (column < degree[:, None]) & ~gone
+            mass = np.where(free, np.exp(lat.q[edges]), 0.0)
+            upto = np.cumsum(mass, axis=1)
+            whole, own_place = upto[:, -1], at - self.doc_start[docs]
+            pick = np.argmax(upto >= (_uniform(seeds[docs], number, own_place, 2) * whole)[:, None], axis=1)
+            each = np.arange(len(docs))
+            chosen = edges[each, pick]
+            pool["gone"] = np.concatenate([pool["gone"], codes[each, pick]])
+            rest = whole - mass[each, pick]
+            some = (free.sum(1) > 1) & (rest > 0)
+            left = np.full(len(docs), -np.inf)
+            phi = pool["before"][row[some]] + np.log(rest[some])
+            u = _uniform(seeds[docs[some]], number, own_place[some], 3)
+            left[some] = phi - np.log(np.exp(np.minimum(phi - bound[docs[some]], 700.0)) - np.log(u))
+            pool["g"][row] = left
+            path[_ranges(at, self.doc_end[docs])] = -1
             path[at] = chosen
-            stop = at + int(lat.length[chosen])
-            from_place[d] = at + 1
-            starts.append((d, -1 if lat.last[chosen] else node + int(lat.length[chosen]), stop))
-        self_docs = np.zeros(len(self.n_units), dtype=np.int64) + self.n + 1
-        if starts:
-            d, node, stop = (np.array(x, dtype=np.int64) for x in zip(*starts, strict=True))
-            self_docs[d] = stop
-            inner = node >= 0
-            later = self.base >= self_docs[self.doc]
-            return np.concatenate([node[inner], lat.start[self.unit[later]]]), np.concatenate([stop[inner], self.base[later]])
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            stop = at + lat.length[chosen]
+            from_place[docs], after[docs] = at + 1, stop
+            inner = ~lat.last[chosen]
+            nodes.append((node + lat.length[chosen])[inner])
+            stops.append(stop[inner])
+        later = self.base >= after[self.doc]
+        nodes.append(lat.start[self.unit[later]] if self.n else np.zeros(0, np.int64))
+        stops.append(self.base[later])
+        return np.concatenate(nodes), np.concatenate(stops)
 
     def tokens(self, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All token ids along the path, and where each text's begin (and the last ends)."""
@@ -341,22 +389,24 @@ def row_seeds(keys: list, seed: str) -> np.ndarray:
 
 def encode_best(texts: list[str | None], vocab: Vocabulary) -> list[np.ndarray]:
     """The segmentation of largest weight of each text."""
-    batch = Batch(texts, vocab)
+    batch = Batch(Units(texts, vocab), 0, len(texts))
     ids, bounds = batch.tokens(batch.best())
     return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def sample(texts: list[str | None], keys: list, vocab: Vocabulary, count: int = SAMPLES, seed: str = SEED) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(row, sample from 1, ids, log-probability, perturbed log-probability, inclusion score)."""
-    batch = Batch(texts, vocab)
-    drawn = batch.samples(row_seeds(keys, seed), count)
-    kappa = np.where(drawn[-1][1], drawn[-1][3], -np.inf)
-    for number, (path, have, logp, bound) in enumerate(drawn[:-1], 1):
-        ids, bounds = batch.tokens(path)
-        with np.errstate(over="ignore"):
-            score = np.where(np.isinf(kappa), 1.0, -np.expm1(-np.exp(np.minimum(logp - kappa, 700))))
-        for d in np.flatnonzero(have).tolist():
-            yield d, number, ids[bounds[d] : bounds[d + 1]], round(float(logp[d]), 6), round(float(bound[d]), 6), round(float(score[d]), 9)
+    units, seeds = Units(texts, vocab), row_seeds(keys, seed)
+    for at in range(0, len(texts), BATCH):
+        batch = Batch(units, at, min(at + BATCH, len(texts)))
+        drawn = batch.samples(seeds[at : at + BATCH], count)
+        kappa = np.where(drawn[-1][1], drawn[-1][3], -np.inf)
+        for number, (path, have, logp, bound) in enumerate(drawn[:-1], 1):
+            ids, bounds = batch.tokens(path)
+            with np.errstate(over="ignore"):
+                score = np.where(np.isinf(kappa), 1.0, -np.expm1(-np.exp(np.minimum(logp - kappa, 700))))
+            for d in np.flatnonzero(have).tolist():
+                yield at + d, number, ids[bounds[d] : bounds[d + 1]], round(float(logp[d]), 6), round(float(bound[d]), 6), round(float(score[d]), 9)
 
 
 def read_model(path: str = MODEL) -> Vocabulary:
@@ -366,8 +416,8 @@ def read_model(path: str = MODEL) -> Vocabulary:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            yield batch.slice(at, BATCH)
+        for at in range(0, batch.num_rows, SHARED):
+            yield batch.slice(at, SHARED)
 
 
 def encode(docs: DataFrame, model: str = MODEL, count: int = SAMPLES, seed: str = SEED, key: str = "doc_id") -> DataFrame:

@@ -312,3 +312,38 @@ def test_folds(spark):
     ids = spark.range(50)
     got = {r.id: r.f for r in ids.select("id", fold(ids["id"], 4).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 4 for i in range(50)}
+
+
+def _segmentations(text, vocab):
+    """All segmentations of a short text with their weights, by plain recursion."""
+    pieces_of = {vocab.strings[i].decode(): i for i in range(len(vocab.strings)) if vocab.logp[i] < 0}
+    text = " " + text
+
+    def rest(at):
+        if at == len(text):
+            yield (), 0.0
+        for end in range(at + 1, len(text) + 1):
+            if text[at:end] in pieces_of:
+                own = pieces_of[text[at:end]]
+                for ids, logp in rest(end):
+                    yield (own, *ids), vocab.logp[own] + logp
+
+    return dict(rest(0))
+
+
+@pytest.mark.parametrize("text", ["a", "then", "on it", "in an"])
+def test_pieces_against_all_segmentations(text):
+    vocab = pieces.read_model()
+    every = _segmentations(text, vocab)
+    whole = np.logaddexp.reduce(list(every.values()))
+    count = len(every) + 3
+    rows = list(pieces.sample([text, "other words", text], [5, 6, 7], vocab, count))
+    for d in (0, 2):
+        own = [(tuple(ids.tolist()), logp, bound, score) for row, _, ids, logp, bound, score in rows if row == d]
+        assert {ids for ids, *_ in own} == set(every)  # all of them, each once
+        assert all(abs(logp - (every[ids] - whole)) < 1e-5 and score == 1.0 for ids, logp, _, score in own)
+        assert [b for *_, b, _ in own] == sorted((b for *_, b, _ in own), reverse=True)
+    best = tuple(pieces.encode_best([text], vocab)[0].tolist())
+    assert every[best] == max(every.values())
+    alone = [(ids.tobytes(), b) for row, _, ids, _, b, _ in pieces.sample([text], [5], vocab, count)]
+    assert alone == [(ids.tobytes(), b) for row, _, ids, _, b, _ in rows if row == 0]  # whatever else is in a batch
