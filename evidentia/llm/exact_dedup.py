@@ -1,13 +1,17 @@
 """Exact deduplication with keyed streaming state.
 
-Every row becomes a small intake record: digest of the normalised text, its id, its locator (a row
-number that is fixed once the intake is written) and its length. A structured stream reads the
-intake and keeps, per digest and without expiry, the smallest (id, locator) and the count in RocksDB
-state. Digests that were hit more than once send the full bytes of their rows through a comparison;
-rows whose bytes differ from their group's form groups of their own.
+A store is a folder with the content of every row taken in so far (normalised text, digest, id), the
+state and the groups. Each intake appends its rows to the content; a row's locator is its intake's
+number and its place there. A structured stream reads digests, ids and locators of new content and
+keeps per digest, in RocksDB and without expiry, the smallest (id, locator), the oldest locator and the count.
+
+Where a digest that rows of this intake have was seen more than once, the hit rows and the oldest row are
+fetched from the content by their locators, and their full bytes are compared, in each task first. Rows of
+digests whose bytes differ form groups by the text itself.
 
 Defined cases: null text counts as empty; a null id sorts first; of rows that repeat an id and a
-text exactly one stays; an empty table gives an empty result.
+text exactly one stays; very long texts are compared whole; extra columns are not read by dedup and kept by
+keep_first, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import SPACE, materialise, scratch, settings, temporary
+from .common import SPACE, fresh, materialise, scratch, settings, temporary
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = {
@@ -36,79 +40,105 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def keyed_state(intake: DataFrame) -> DataFrame:
-    """The stateful operator on a stream of (digest, doc_id, locator): per digest its first row and count."""
-    return intake.groupBy("digest").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size")
-    )
-
-
-def drain(spark: SparkSession, path: str, schema, **limits: str) -> DataFrame:
-    """Run all intake files below path through keyed_state and return digest, first, group_size."""
-    out, state = scratch(spark, "groups"), scratch(spark, "state")
-    done = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        done.append(number)
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    with settings(spark, **_STATE):
-        stream = keyed_state(spark.readStream.schema(schema).options(**limits).parquet(path))
-        shape = stream.schema
-        query = stream.writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start()
-        query.awaitTermination()
-    if not done:
-        return spark.createDataFrame([], shape)
-    groups = spark.read.schema(StructType([*shape.fields, StructField("batch", IntegerType())])).parquet(out)
-    if limits:  # several batches: the state's last word on a digest counts
-        groups = groups.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("x")).select("digest", "x.*")
-        return materialise(groups, "groups")
-    return groups.drop("batch")
-
-
-def dedup(docs: DataFrame, digest=sha256, **limits: str) -> DataFrame:
-    """doc_id, locator, keep_id, group_size, kept, digest for every row of docs(doc_id, text).
-
-    digest may be any function of the normalised text; rows that only share it are told apart.
-    limits: reader options of the intake stream, such as maxFilesPerTrigger.
+CONTENT = "intake int, at long, digest string, doc_id {id}, body string"
+_LOCATOR = ("intake", "at")
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", *_LOCATOR)).alias("first")
+
+
+def keyed_state(rows: DataFrame) -> DataFrame:
+    """The stateful operator on a stream of (intake, at, digest, doc_id): per digest its first and oldest row and its count."""
+    return rows.groupBy("digest").agg(_first(), F.min(F.struct(*_LOCATOR)).alias("oldest"), F.count(F.lit(1)).alias("group_size"))
+
+
+class Store:
+    """The folder of a deduplication that goes on from intake to intake."""
+
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
+        self.spark, self.path, self.content_schema = spark, path.rstrip("/"), CONTENT.format(id=id_type)
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _folders(self, name: str) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not self.fs.exists(at):
+            return []
+        return sorted(int(f.getPath().getName().partition("=")[2]) for f in self.fs.listStatus(at) if "=" in f.getPath().getName())
+
+    def add(self, docs: DataFrame, digest) -> int:
+        """Append docs(doc_id, text) to the content; the number of this intake."""
+        number = len(self._folders("content"))
+        body = normalised(docs["text"])
+        rows = docs.select(F.lit(number).alias("intake"), F.monotonically_increasing_id().alias("at"), digest(body).alias("digest"), "doc_id", body.alias("body"))
+        rows.write.parquet(f"{self.path}/content/number={number}")
+        return number
+
+    def content(self) -> DataFrame:
+        return self.spark.read.schema(self.content_schema).parquet(*[f"{self.path}/content/number={n}" for n in self._folders("content")])
+
+    def advance(self, **limits: str) -> None:
+        """Take all new content through the state; each batch's changed groups become a part of the groups."""
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.path}/groups/batch={number}")
+
+        with settings(self.spark, **_STATE):
+            rows = self.spark.readStream.schema(self.content_schema).options(**limits, recursiveFileLookup="true").parquet(f"{self.path}/content").select(*_LOCATOR, "digest", "doc_id")
+            stream = keyed_state(rows)
+            self.shape = stream.schema
+            stream.writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+
+    def groups(self) -> DataFrame:
+        """The state's last word on every digest."""
+        batches = self._folders("groups")
+        if not batches:
+            return self.spark.createDataFrame([], self.shape)
+        shape = StructType([*self.shape.fields, StructField("batch", IntegerType())])
+        rows = self.spark.read.schema(shape).option("basePath", f"{self.path}/groups").parquet(*[f"{self.path}/groups/batch={n}" for n in batches])
+        if len(batches) == 1:
+            return rows.drop("batch")
+        return materialise(rows.groupBy("digest").agg(F.max_by(F.struct("first", "oldest", "group_size"), "batch").alias("x")).select("digest", "x.*"), "groups")
+
+    def clashes(self, number: int, groups: DataFrame) -> DataFrame | None:
+        """Digests with rows of different bytes, of this intake and earlier ones; None if there are none."""
+        rows = self.content().filter(F.col("intake") == number).select(*_LOCATOR, "digest")
+        several = groups.filter("group_size > 1")
+        hits = rows.join(several.select("digest", "oldest"), "digest")
+        fetch = hits.select("intake", "at").unionByName(hits.select("oldest.intake", "oldest.at")).distinct()
+        with settings(self.spark, spark__sql__autoBroadcastJoinThreshold="-1"):  # one plan at every size
+            fetched = self.content().join(materialise(fetch, "hits"), [*_LOCATOR], "left_semi")
+            met = fetched.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+            met.filter("low <> high").select("digest").write.parquet(f"{self.path}/clashes/number={number}")
+        found = self.spark.read.schema("digest string").parquet(*[f"{self.path}/clashes/number={n}" for n in self._folders("clashes")])
+        return None if found.isEmpty() else found.distinct()
+
+
+def dedup(docs: DataFrame, digest=sha256, store: str | None = None, **limits: str) -> DataFrame:
+    """doc_id, intake, at, keep_id, group_size, kept, digest for every row of docs(doc_id, text).
+
+    store: a folder that keeps content and state from call to call; rows are judged beside all that were
+    taken in before them. Without it a scratch folder is used once. digest may be any function of the
+    normalised text; rows that only share it are told apart. limits: reader options of the stream, such
+    as maxFilesPerTrigger.
     """
     spark = docs.sparkSession
-    intake = docs.select(digest(normalised(docs["text"])).alias("digest"), "doc_id", F.monotonically_increasing_id().alias("locator"))
-    path = scratch(spark, "intake")
-    intake.write.parquet(path)
-    intake = spark.read.schema(intake.schema).parquet(path)
-    groups = drain(spark, path, intake.schema, **limits)
-    several = materialise(groups.filter("group_size > 1").select("digest"), "several")
-    clash = _clashes(docs, digest, several)
-    out = intake.join(groups, "digest").select(
-        "doc_id", "locator", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest"
-    )
+    held = Store(spark, store or scratch(spark, "store"), docs.schema["doc_id"].dataType.simpleString())
+    number = held.add(docs.select("doc_id", "text"), digest)
+    held.advance(**limits)
+    groups = held.groups()
+    clash = held.clashes(number, groups)
+    out = held.content().filter(F.col("intake") == number).drop("body").join(groups.drop("oldest"), "digest")
+    out = _decided(out)
     if clash is not None:
-        out = out.join(clash.select("digest"), "digest", "left_anti").unionByName(_apart(docs, digest, clash))
+        rows = materialise(held.content().join(clash, "digest", "left_semi"), "apart")
+        sizes = materialise(rows.groupBy("body").agg(_first(), F.count(F.lit(1)).alias("group_size")), "apart_groups")
+        out = out.join(clash, "digest", "left_anti").unionByName(_decided(rows.filter(F.col("intake") == number).join(sizes, "body")))
     return out
 
 
-def _clashes(docs: DataFrame, digest, several: DataFrame) -> DataFrame | None:
-    """Digests whose rows differ in some byte; full bytes of every hit are compared, in each task first."""
-    text = normalised(docs["text"])
-    hits = docs.select(digest(text).alias("digest"), text.alias("body")).join(several, "digest")
-    with settings(docs.sparkSession, spark__sql__autoBroadcastJoinThreshold="-1"):  # one plan at every size
-        hits = materialise(hits, "hits")
-    clash = hits.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest")
-    clash = materialise(clash, "clash")
-    return None if clash.isEmpty() else clash
-
-
-def _apart(docs: DataFrame, digest, clash: DataFrame) -> DataFrame:
-    """Groups by the text itself, for the rows of clashing digests."""
-    text = normalised(docs["text"])
-    rows = docs.select(digest(text).alias("digest"), "doc_id", F.monotonically_increasing_id().alias("locator"), text.alias("body"))
-    rows = materialise(rows.join(clash, "digest", "left_semi"), "apart")
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "locator")).alias("first")
-    groups = materialise(rows.groupBy("body").agg(first, F.count(F.lit(1)).alias("group_size")), "apart_groups")
-    return rows.join(groups, "body").select(
-        "doc_id", "locator", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("first.locator")).alias("kept"), "digest"
-    )
+def _decided(rows: DataFrame) -> DataFrame:
+    kept = (F.col("intake") == F.col("first.intake")) & (F.col("at") == F.col("first.at"))
+    return rows.select("doc_id", *_LOCATOR, F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "digest")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -119,12 +149,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
         dropped = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
         dropped = materialise(dropped, "by_id")
         keep(dropped)
-    tagged = docs.withColumn("_digest", digest)
-    on = lambda other: tagged["doc_id"].eqNullSafe(other["doc_id"]) & (tagged["_digest"] == other["digest"])
+    own = fresh(docs, "_digest")[0]
+    tagged = docs.withColumn(own, digest)
+    on = lambda other: tagged["doc_id"].eqNullSafe(other["doc_id"]) & (tagged[own] == other["digest"])
     gone, twice = dropped.filter("NOT any"), dropped.filter("any AND n > 1")
     out = tagged.join(gone.hint("shuffle_hash"), on(gone), "left_anti")
     if not twice.isEmpty():
-        once = tagged.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "_digest"])
+        once = tagged.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", own])
         out = out.join(twice, on(twice), "left_anti").unionByName(once)
     return out.select(*docs.columns)
 

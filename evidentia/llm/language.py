@@ -2,16 +2,18 @@ r"""Language identification with a convolutional network over bytes.
 
 Bytes are embedded, filters of several widths slide over windows of WINDOW bytes, each filter keeps
 its maximum over the window, and a softmax over languages follows. Training is in numpy (Adam) on
-windows of a bounded sample of labelled documents: about SAMPLE_PER_LANGUAGE documents a language,
-chosen by hash, with up to WINDOWS_PER_DOC windows each, spread over the whole text.
+all windows of a bounded sample of labelled documents: about SAMPLE_PER_LANGUAGE documents a
+language, chosen by hash within the language.
 All windows of a whole text are scored and their log-probabilities averaged by length.
 
 For scoring, embedding and filters are folded into tables by byte and byte pair: a filter's response
 is a sum of table rows, which is the same number as the convolution.
 
 Defined cases: text that is null or has no letter gives und with score 0; rows without a language
-teach nothing; without any labelled row every text is und; at most MAX_LANGUAGES languages, those of
-most documents, are learned; an empty table gives an empty result.
+teach nothing; without any labelled row every text is und; every language with a labelled text that
+has a letter is learned; repeated rows are sampled and predicted each; of equal probabilities the first
+language in code point order is predicted; very long texts are read whole; extra columns are not read;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from .common import fold
 FOLDS = 4
 HELD_OUT = 2
 SAMPLE_PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
-WINDOWS_PER_DOC = 3
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -134,27 +134,17 @@ class Network:
 
 def _sample_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = []
-        for lang, text in zip(frame["lang"], frame["text"], strict=True):
-            if text and _LETTER.search(text):
-                data = text.encode()
-                step = max(1, (len(data) - WINDOW) // max(1, WINDOWS_PER_DOC - 1))
-                starts = sorted({min(i * step, max(0, len(data) - WINDOW)) for i in range(WINDOWS_PER_DOC)})
-                rows += [(lang, data[at : at + WINDOW].ljust(WINDOW, b"\0")) for at in starts]
+        rows = [(lang, row.tobytes()) for lang, text in zip(frame["lang"], frame["text"], strict=True) if text and _LETTER.search(text) for row in windows(text.encode())]
         yield pd.DataFrame(rows, columns=["lang", "data"])
 
 
 def fit(docs: DataFrame) -> Network | None:
     """Learn from docs(doc_id, text, lang) whose fold is not HELD_OUT."""
     rows = docs.filter((fold(docs["doc_id"], FOLDS) != HELD_OUT) & docs["lang"].isNotNull() & docs["text"].isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))).otherwise(share)
+    share = rows.groupBy("lang").agg((F.lit(float(SAMPLE_PER_LANGUAGE)) / F.count(F.lit(1))).alias("share"))
     key = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.filter(key < share).select("lang", "text").mapInPandas(_sample_windows, "lang string, data binary").toPandas()
+    sampled = rows.withColumn("key", key).join(share, "lang").filter("key < share").select("lang", "text")
+    got = sampled.mapInPandas(_sample_windows, "lang string, data binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "data"], kind="stable")

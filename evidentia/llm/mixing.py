@@ -6,8 +6,9 @@ document its place in the source's stream. A source's budget is cut exactly at t
 as many whole epochs as the budget holds.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; rows that
-share an id and a size are interchangeable; a source without words gets target 0; an empty table
-gives an empty result.
+share an id and a size are interchangeable; a source without words gets target 0; very long
+texts are counted whole and cut like others; extra columns are not read by mix and kept by mixed_rows,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, fresh, materialise
 
 #: Hex digits of the key that name a range: 16**3 ranges a source.
 RANGE_DIGITS = 3
@@ -83,13 +84,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, each as many times as the mix takes it, with docs' columns.
 
     A document that a cut goes through is taken whole. Rows that share an id appear equally often.
+    Documents without words take no part of a budget and leave.
     """
     found = mix(docs, **options)
+    own, often, copy = fresh(docs, "_id", "_times", "_copy")
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    times = found.groupBy(F.col("doc_id").alias("_id")).agg(F.ceil(F.sum(times) / F.count(F.lit(1))).cast("int").alias("_times"))
-    times = materialise(times.filter("_times > 0"), "times").hint("shuffle_hash")
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    times = found.groupBy(F.col("doc_id").alias(own)).agg(F.ceil(F.sum(times) / F.count(F.lit(1))).cast("int").alias(often))
+    times = materialise(times.filter(F.col(often) > 0), "times").hint("shuffle_hash")
+    rows = docs.join(times, docs["doc_id"].eqNullSafe(times[own]))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*[docs[c] for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir):

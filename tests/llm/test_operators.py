@@ -51,7 +51,7 @@ def test_mixing_meets_targets(spark):
 
 def test_exact_dedup(spark, odd, none):
     rows = exact_dedup.dedup(odd).collect()
-    by = {(r.doc_id, r.locator): r for r in rows}
+    by = {(r.doc_id, r.at): r for r in rows}
     assert len(by) == odd.count()
     kept = collections.Counter(r.doc_id for r in rows if r.kept)
     assert kept[1] == 0 or kept[2] == 0  # null and empty are equal; white space is not empty
@@ -79,6 +79,34 @@ def test_exact_dedup_in_several_batches(spark):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {i: (i % 7, 6 if i % 7 < 5 else 5) for i in range(40)}
 
 
+def test_exact_dedup_goes_on_from_intake_to_intake(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store = "file://" + str(tmp_path / "store")
+    rows = lambda found: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()}
+    take = lambda pairs, **more: rows(exact_dedup.dedup(spark.createDataFrame(pairs, "doc_id long, text string"), store=store, **more))
+    weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)  # noqa: E731  16 digests
+    one = [(i, f"text {i % 30}") for i in range(10, 50)]
+    two = [(i, f"text  {i % 40}") for i in [*range(4), *range(50, 80)]]
+    seen: dict = {}
+    for part in (one, two, [(100, "text 1"), (101, "new")]):
+        got = take(part, digest=weak)
+        for i, text in part:
+            seen.setdefault(" ".join(text.split()), []).append(i)
+        want = {i: (min(ids), len(ids), i == min(ids)) for ids in seen.values() for i in ids}
+        assert got == {i: want[i] for i, _ in part}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_digest", "_copy", "_id", "_times", "__copy", "row", "label", "sig"]
+    rows = [(i, "same text here" if i < 3 else f"word{i} " * (i + 1), "s", *[f"{n}{i}" for n in names]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for got in (exact_dedup.keep_first(docs), mixing.mixed_rows(docs), partenum.keep_one(docs)):
+        assert got.columns == docs.columns
+        found = got.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
 def test_quality_model(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(9, None)], "doc_id long, quality int")
     rows = quality_model.classify(odd, labels).collect()
