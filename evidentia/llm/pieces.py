@@ -39,7 +39,7 @@ SAMPLES = 2
 SEED = "pieces"
 #: Rows that are sampled at once, rows that share the lattices of their units, rows whose units are encoded at once.
 BATCH = 300
-SHARED = 1200
+SHARED = 300
 ENCODED = 300
 
 _UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
