@@ -375,3 +375,162 @@ def test_pieces_against_all_segmentations(text):
     assert every[best] == max(every.values())
     alone = [(ids.tobytes(), b) for row, _, ids, _, b, _ in pieces.sample([text], [5], vocab, count)]
     assert alone == [(ids.tobytes(), b) for row, _, ids, _, b, _ in rows if row == 0]  # whatever else is in a batch
+
+
+def _rules(rows, word_limit, noise, char_limit):
+    """Base counts, distances and verdicts of rows(doc_id, lang, text), plainly."""
+    import math
+    import re
+
+    out, hists = {}, {}
+    for i, lang, text in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0d]+", text)
+        windows = collections.Counter(zip(words, words[1:], words[2:]))
+        covered = {j + k for j, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+        chars = collections.Counter()
+        for c in text:
+            chars[next((k for k, p in quality_rules.CHAR_CLASSES.items() if re.fullmatch(p, c)), " ")] += 1
+        common = collections.Counter(w.lower() if w.lower() in quality_rules.BINS else " " for w in words)
+        hists[i] = chars, common
+        failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+        out[i] = [len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed]
+    refs = {}
+    for i, lang, _ in rows:
+        if lang is not None and not out[i][5]:
+            for ref, own in zip(refs.setdefault(lang, (collections.Counter(), collections.Counter())), hists[i]):
+                ref.update(own)
+
+    def distance(p, q):
+        n, m, total = sum(p.values()), sum(q.values()), 0.0
+        for k in set(p) | set(q):
+            a, b = p[k] / n, q[k] / m
+            total += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x > 0) / 2
+        return math.sqrt(max(total, 0.0))
+
+    for i, lang, _ in rows:
+        ref = refs.get(lang)
+        if out[i][5] or ref is None or sum(ref[1].values()) < quality_rules.MIN_REFERENCE_WORDS:
+            out[i] += [not out[i][5], None, None]
+        else:
+            c, w = distance(hists[i][0], ref[0]), distance(hists[i][1], ref[1])
+            out[i] += [c <= char_limit and w <= word_limit + noise / math.sqrt(out[i][0]), c, w]
+    return out
+
+
+def test_quality_rules_against_brute_force(spark):
+    rng = random.Random(12)
+    lists = {k: v.split() for k, v in quality_rules.COMMON_WORDS.items()}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(["en", "de", "xx", None])
+        words = rng.choices(lists.get(lang, ["qua", "bo"]), k=rng.randint(20, 140)) + [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 200))]
+        rng.shuffle(words)
+        if i % 9 == 0:
+            words = [w + "$$#" for w in words]
+        if i % 11 == 0:
+            lang = "de" if lang == "en" else "en"
+        if i % 13 == 0:
+            words = words[:30] * 4
+        rows.append((i, lang, "".join(w + rng.choice([" ", "\n", "  ", " \t"]) for w in words)))
+    rows += [(900, "en", None), (901, "en", "É" * 40), (902, "zz", "one\n\none\n")]
+    want = _rules(rows, quality_rules.WORD_LIMIT, quality_rules.WORD_NOISE, quality_rules.CHAR_LIMIT)
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    verdicts = collections.Counter()
+    for i, (*base, failed, kept, c, w) in want.items():
+        r = got[i]
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept] == [*base, failed, kept], i
+        assert (r.char_distance is None) == (c is None) and (c is None or abs(r.char_distance - c) < 1e-9 and abs(r.word_distance - w) < 1e-9)
+        verdicts[failed, kept] += 1
+    assert len(verdicts) == 3
+
+
+def _ppm(train, texts, order=4):
+    """log10 probability of each text by escape C with exclusion, from plain dictionaries of the training texts."""
+    import math
+
+    body = lambda t: b"\n" * order + b" ".join((t or "").encode().lower().split()) + b"\n"
+    seen = collections.defaultdict(collections.Counter)
+    for t in train:
+        data = body(t)
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                seen[data[i - k : i]][data[i]] += 1
+    out = []
+    for t in texts:
+        data, total = body(t), 0.0
+        for i in range(order, len(data)):
+            excluded: set = set()
+            for k in range(order, -1, -1):
+                left = {s: n for s, n in seen[data[i - k : i]].items() if s not in excluded}
+                if not left:
+                    continue
+                whole = sum(left.values()) + len(left)
+                if data[i] in left:
+                    total += math.log10(left[data[i]] / whole)
+                    break
+                total += math.log10(len(left) / whole)
+                excluded |= set(left)
+            else:
+                total -= math.log10(max(1, 256 - len(excluded)))
+        out.append(total)
+    return out
+
+
+def test_ppm_against_brute_force(spark):
+    import math
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["ab", "abc", "Bc", "cab", "z" * rng.randint(1, 3), "é"], k=rng.randint(0, 12)))) for i in range(60)] + [(60, None), (61, "new§ words"), (7, "ab abc")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = [t for i, t in rows if not held(i)]
+    counts = collections.Counter(w for t in train for w in [*(t or "").lower().split(), None])
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((i, held(i), round(s, 6), round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*(t or "").lower().split(), None]), 6)) for (i, t), s in zip(rows, _ppm(train, [t for _, t in rows])))
+    got = ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.held_out, round(r.score, 6), round(r.base_score, 6)) for r in got) == want
+    assert {r.train_tokens for r in got} == {n}
+
+
+def test_language_tables_are_the_convolution():
+    net = language.Network(["a", "b", "c"])
+    rng = np.random.default_rng(1)
+    net.p = {k: (v + rng.standard_normal(v.shape) * 0.1).astype(np.float32) for k, v in net.p.items()}
+    net._fold()
+    data = rng.integers(0, 256, (9, language.WINDOW)).astype(np.uint8)
+    assert np.allclose(net.log_probabilities(data), net._forward(data)[0], atol=1e-3)
+
+
+def test_quality_model_learns_and_sums_are_whole(spark):
+    rng = random.Random(3)
+    text = lambda good: " ".join(rng.choice(GOOD.split()) + ("" if good else rng.choice("#$%") * 3) for _ in range(rng.randint(20, 60)))
+    truth = {i: rng.random() < 0.6 for i in range(400)}
+    docs = spark.createDataFrame([(i, text(g)) for i, g in truth.items()], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in truth.items()], "doc_id long, quality int")
+    got = quality_model.classify(docs, labels).collect()
+    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.held_out]) > 0.97
+    described = quality_model.describe(docs).toPandas().merge(labels.toPandas(), on="doc_id")
+    described = described[described["fold"] != quality_model.HELD_OUT]
+    x = np.array(described["stats"].tolist())
+    kernel = quality_model.Kernel(x.mean(0), np.sqrt(np.maximum(x.var(0), 1e-6)))
+    f = kernel(x)
+    weights = quality_model.solve(f.T @ f, f.T @ described["quality"].to_numpy(float), len(x))
+    model = quality_model.fit(quality_model.describe(docs), labels)
+    assert np.allclose(kernel(x) @ weights, model.kernel(x) @ model.weights, atol=1e-5)
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from evidentia.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in queries.SQL.items():
+        want = con.sql(sql).df()
+        got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+        plain = lambda df: sorted(repr([None if x is None or x is pd.NA or x != x else round(float(x), 4) if isinstance(x, (int, float, np.number)) else str(x) for x in row]) for row in df.itertuples(index=False, name=None))
+        assert plain(got) == plain(want), name
