@@ -196,7 +196,7 @@ def bag_of_words(spark, d):
 
 # ---- search ----------------------------------------------------------------------------------
 
-_QUESTIONS = """q AS (SELECT item_id AS query_id, list_aggregate(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 8), 'string_agg', ' ') AS query FROM benchmark)"""
+_QUESTIONS = """q AS (SELECT item_id AS query_id, CASE WHEN len(text) > 1000 THEN text[:500] || ' ' || text[-500:] ELSE text END AS query FROM benchmark)"""
 _BM25 = """w AS (SELECT turn_id, unnest(regexp_extract_all(lower(strip_accents(content)), '[\\p{L}\\p{N}]+')) AS term FROM turns),
 n AS (SELECT turn_id, len(regexp_extract_all(lower(strip_accents(content)), '[\\p{L}\\p{N}]+')) AS len FROM turns),
 post AS (SELECT turn_id, term, count(*) AS tf FROM w GROUP BY ALL),
@@ -225,49 +225,22 @@ def word_search_bm25(spark, d):
     return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
-@query("word_search_turns_whole")
-def word_search_turns_whole(spark, d):
-    found = lexical.search(t.turns(spark, d), t.whole_questions(spark, d), limit=20)
-    return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
-
-
-@query("word_search_bm25_whole")
-def word_search_bm25_whole(spark, d):
-    found = lexical.search(t.document_turns(spark, d), t.whole_questions(spark, d), limit=20)
-    return found.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
+def _asked_vectors(v):
+    """Every row whose id is divisible by 50 as a question."""
+    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("cosine_topk", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity,
-  round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s9 FROM embeddings q JOIN embeddings v ON q.vec_id < 5)
+  round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s9 FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0)
 SELECT query_id, vec_id, similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s9 DESC, vec_id) AS place FROM s) WHERE place <= 20""")
 def cosine_topk(spark, d):
     v = t.read(spark, d, "embeddings")
-    q = v.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
-    return vectors.top_k(v, q, 20).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
+    return vectors.top_k(v, _asked_vectors(v), 20).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
 
 
-@query("best_piece_per_turn", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id // 4 AS turn_id, v.vec_id % 4 * 500 AS start, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id < 5)
+@query("best_piece_per_turn", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id // 4 AS turn_id, v.vec_id % 4 * 500 AS start, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0)
 SELECT query_id, turn_id, start FROM (SELECT *, row_number() OVER (PARTITION BY query_id, turn_id ORDER BY similarity DESC, start) AS n FROM s) WHERE n = 1""")
 def best_piece_per_turn(spark, d):
-    v = t.read(spark, d, "embeddings")
-    q = F.broadcast(v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))  # five rows by definition
-    hits = v.join(q, F.lit(True)).select("query_id", F.expr("vec_id div 4").alias("turn_id"), F.expr("vec_id div 4").alias("revision"), (F.col("vec_id") % 4 * 500).alias("start"), F.round(vectors.cosine(F.col("embedding"), F.col("asked")), 9).alias("similarity"))
-    return vectors.best_piece(hits).select("query_id", "turn_id", "start")
-
-
-def _asked_vectors(v):
-    """Every row whose id is divisible by 50 as a question."""
-    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-@query("cosine_topk_whole")
-def cosine_topk_whole(spark, d):
-    v = t.read(spark, d, "embeddings")
-    return vectors.top_k(v, _asked_vectors(v), 20).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "place")
-
-
-@query("best_piece_per_turn_whole")
-def best_piece_per_turn_whole(spark, d):
     v = t.read(spark, d, "embeddings")
     pieces = v.select(F.expr("vec_id div 4").alias("turn_id"), F.expr("vec_id div 4").alias("revision"), (F.col("vec_id") % 4 * 500).alias("start"), "embedding")
     return vectors.best_groups(pieces, _asked_vectors(v)).select("query_id", "turn_id", "start")
@@ -312,7 +285,7 @@ def _document_pieces(turns):
 
 def _whole_pool(spark, d):
     """Two ranked lists of document turns for every whole question: POOL turns by words, and POOL by their best piece's cosine."""
-    turns, asked = t.document_turns(spark, d), t.whole_questions(spark, d)
+    turns, asked = t.document_turns(spark, d), t.questions(spark, d)
     words = lexical.search(turns, asked, limit=POOL).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
     embedded = asked.select("query_id", vectors.hashing_embedder()(F.col("query")).alias("embedding"))
     hits = vectors.best_groups(_document_pieces(turns), embedded, POOL)
@@ -323,7 +296,7 @@ def _whole_pool(spark, d):
 _W = ranking.WEIGHTS
 
 
-@query("rerank_linear", f"""WITH {DOC_TURNS}, {_QUESTIONS}, {_BM25},
+@query("rerank_formula", f"""WITH {DOC_TURNS}, {_QUESTIONS}, {_BM25},
 words_l AS (SELECT query_id, turn_id, place - 1 AS w_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), revision DESC, turn_id) AS place FROM s JOIN turns USING (turn_id)) WHERE place <= 20),
 sim AS (SELECT turn_id, revision % 40 AS query_id, round(revision % 97 / 97.0::DOUBLE, 6) AS similarity FROM turns WHERE revision % 40 % 2 = 0),
 mean_l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, turn_id) - 1 AS m_rank FROM sim JOIN (SELECT query_id FROM q) USING (query_id)) WHERE m_rank < 20),
@@ -342,30 +315,22 @@ feat AS (SELECT p2.*, coalesce(60.0 / (60 + m_rank), 0) AS meaning, coalesce(60.
   ln(count(*) OVER (PARTITION BY query_id, session_id)) AS session_hits, max(coalesce(similarity, 0)) OVER (PARTITION BY query_id, session_id) AS session_best FROM p2 LEFT JOIN tot USING (query_id) LEFT JOIN fr USING (query_id, turn_id)),
 sc AS (SELECT *, {_W["meaning"]}::DOUBLE * meaning + {_W["words"]}::DOUBLE * words + {_W["similarity"]}::DOUBLE * sim0 + {_W["both"]}::DOUBLE * both_l + {_W["overlap"]}::DOUBLE * overlap + {_W["rare_overlap"]}::DOUBLE * rare_overlap + {_W["prefix_overlap"]}::DOUBLE * prefix_overlap + {_W["session_hits"]}::DOUBLE * session_hits + {_W["session_best"]}::DOUBLE * session_best AS score2 FROM feat)
 SELECT query_id, turn_id, round(score2, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score2, 9) DESC, m_rank NULLS LAST, w_rank NULLS LAST, turn_id) AS place FROM sc) WHERE place <= 15""")
-def rerank_linear(spark, d):
+def rerank_formula(spark, d):
     turns, asked, meaning, words = _pool(spark, d)
     out = ranking.rerank(ranking.features(asked, meaning, words, turns), 15)
     return out.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
-@query("rerank_linear_whole")
-def rerank_linear_whole(spark, d):
+@query("rerank_linear")
+def rerank_linear(spark, d):
     turns, asked, meaning, words = _whole_pool(spark, d)
     out = ranking.rerank(ranking.features(asked, meaning, words, turns), 15)
     return out.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
-@query("session_ranking", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id % 90 AS session_id, max(round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9)) AS best FROM embeddings q JOIN embeddings v ON q.vec_id < 5 GROUP BY ALL)
+@query("session_ranking", """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id % 90 AS session_id, max(round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9)) AS best FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 GROUP BY ALL)
 SELECT query_id, session_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, session_id) AS place, count(*) OVER (PARTITION BY query_id) AS n FROM s) WHERE place <= greatest(16, ceil(1.5 * sqrt(n)))""")
 def session_ranking(spark, d):
-    v = t.read(spark, d, "embeddings")
-    q = F.broadcast(v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")))  # five rows by definition
-    hits = v.join(q, F.lit(True)).select("query_id", (F.col("vec_id") % 90).alias("session_id"), F.round(vectors.cosine(F.col("embedding"), F.col("asked")), 9).alias("similarity"))
-    return ranking.session_ranking(hits).select("query_id", "session_id", "place")
-
-
-@query("session_ranking_whole")
-def session_ranking_whole(spark, d):
     v = t.read(spark, d, "embeddings")
     pieces = v.select((F.col("vec_id") % 90).alias("turn_id"), F.lit(0).alias("revision"), F.lit(0).alias("start"), "embedding")
     hits = vectors.best_groups(pieces, _asked_vectors(v)).select("query_id", F.col("turn_id").alias("session_id"), "similarity")
@@ -449,7 +414,7 @@ def edges_upsert(spark, d):
 @query("activation_2hop", f"""WITH {ENGRAMS}, q AS (SELECT * FROM (VALUES (0, 'small'), (0, 'ring'), (0, 'economy'), (1, 'red'), (1, 'widget'), (1, 'small')) v(query_id, term)),
 hit AS (SELECT query_id, engram_id, least(1.0, 0.55 + count(*) / sqrt((3.0::DOUBLE * max(len(terms))))) AS a FROM q JOIN wd USING (term) JOIN eng USING (engram_id) GROUP BY ALL),
 s0 AS (SELECT query_id, engram_id, a FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, engram_id) AS n FROM hit) WHERE n <= 12),
-fan AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target, relation) AS n FROM edges) WHERE n <= 5),
+fan AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target, relation) AS n FROM edges) WHERE n <= 12),
 g1 AS (SELECT query_id, target AS engram_id, 1 - product(1 - a * weight * 0.65::DOUBLE) AS a FROM s0 JOIN fan ON fan.source = s0.engram_id GROUP BY ALL),
 m1 AS (SELECT coalesce(s.query_id, g.query_id) AS query_id, coalesce(s.engram_id, g.engram_id) AS engram_id, greatest(coalesce(s.a, 0), coalesce(g.a, 0)) AS a, g.a IS NOT NULL AS touched FROM s0 s FULL JOIN g1 g ON s.query_id = g.query_id AND s.engram_id = g.engram_id),
 s1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(a, 12) DESC, engram_id) AS n FROM m1) WHERE n <= 40),
@@ -457,14 +422,6 @@ g2 AS (SELECT query_id, target AS engram_id, 1 - product(1 - a * weight * 0.4225
 m2 AS (SELECT coalesce(s.query_id, g.query_id) AS query_id, coalesce(s.engram_id, g.engram_id) AS engram_id, greatest(coalesce(s.a, 0), coalesce(g.a, 0)) AS a FROM s1 s FULL JOIN g2 g ON s.query_id = g.query_id AND s.engram_id = g.engram_id)
 SELECT query_id, engram_id, round(a, 6) AS activation FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(a, 12) DESC, engram_id) AS n FROM m2) WHERE n <= 40""")
 def activation_2hop(spark, d):
-    engrams = t.engrams(spark, d)
-    asked = spark.sql("SELECT * FROM VALUES (0, array('small', 'ring', 'economy')), (1, array('red', 'widget', 'small')) v(query_id, terms)")
-    start = graph.seeds(engrams, asked, limit=12)
-    return graph.activate(start, _edges(spark, d), hops=2, fanout=5, max_nodes=40).select("query_id", "engram_id", F.round("activation", 6).alias("activation"))
-
-
-@query("activation_2hop_whole")
-def activation_2hop_whole(spark, d):
     asked = spark.sql("SELECT * FROM VALUES (0, array('small', 'ring', 'economy')), (1, array('red', 'widget', 'small')) v(query_id, terms)")
     start = graph.seeds(t.engrams(spark, d), asked, limit=12)
     return graph.activate(start, _edges(spark, d), hops=2, fanout=12, max_nodes=40).select("query_id", "engram_id", F.round("activation", 6).alias("activation"))
@@ -477,35 +434,35 @@ def view_edges_topk(spark, d):
     return graph.view_edges(_edges(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-_ROUND = """l{n} AS (SELECT nodes.node, coalesce(w.label, l.label) AS label FROM nodes JOIN l{p} l USING (node) LEFT JOIN (SELECT a AS node, max({{'w': w, 'label': label}}).label AS label FROM (SELECT a, label, round(sum(weight), 9) AS w FROM both_ JOIN l{p} ON b = node GROUP BY ALL) GROUP BY a) w USING (node))"""
+_ROUND = """l{n} AS MATERIALIZED (SELECT nodes.node, coalesce(w.label, l.label) AS label FROM nodes JOIN l{p} l USING (node) LEFT JOIN (SELECT a AS node, max({{'w': w, 'label': label}}).label AS label FROM (SELECT a, label, round(sum(weight), 9) AS w FROM both_ JOIN l{p} ON b = node GROUP BY ALL) GROUP BY a) w USING (node))"""
 
 
 @query("label_regions", f"""WITH {ENGRAMS}, c AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, evidence_count DESC, target) AS n FROM edges WHERE relation = 'SHARED_CUE') WHERE n <= 3
   UNION ALL SELECT source, target, weight FROM edges WHERE relation <> 'SHARED_CUE'),
 v AS (SELECT least(source, target) AS a, greatest(source, target) AS b, max(weight) AS weight FROM c WHERE source <> target GROUP BY 1, 2),
-both_ AS (SELECT * FROM v UNION ALL SELECT b, a, weight FROM v), nodes AS (SELECT p_partkey AS node FROM part), l0 AS (SELECT node, node AS label FROM nodes),
-{_ROUND.format(n=1, p=0)}, {_ROUND.format(n=2, p=1)} SELECT node, label FROM l2""")
+both_ AS MATERIALIZED (SELECT * FROM v UNION ALL SELECT b, a, weight FROM v), nodes AS (SELECT p_partkey AS node FROM part), l0 AS (SELECT node, node AS label FROM nodes),
+{', '.join(_ROUND.format(n=n, p=n - 1) for n in range(1, 13))} SELECT node, label FROM l12""")
 def label_regions(spark, d):
     nodes = t.read(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    return graph.regions(nodes, graph.view_edges(_edges(spark, d)), rounds=2)
+    return graph.regions(nodes, graph.view_edges(_edges(spark, d)))
 
 
-@query("label_regions_whole")
-def label_regions_whole(spark, d):
+@query("merged_regions")
+def merged_regions(spark, d):
     nodes = t.read(spark, d, "part").select(F.col("p_partkey").alias("node"))
     links = graph.view_edges(_edges(spark, d))
     return graph.merge_small(graph.regions(nodes, links), links)
 
 
-@query("region_topics_whole")
-def region_topics_whole(spark, d):
+@query("region_topics")
+def region_topics(spark, d):
     terms = t.engrams(spark, d).select(F.col("engram_id").alias("node"), F.explode("terms").alias("term"))
-    return graph.region_topics(label_regions_whole(spark, d), terms).withColumn("score", F.round("score", 6))
+    return graph.region_topics(merged_regions(spark, d), terms).withColumn("score", F.round("score", 6))
 
 
-@query("region_topics", f"""WITH {ENGRAMS}, n AS (SELECT scope AS label, term, count(*) AS n FROM wd WHERE len(term) > 1 AND NOT regexp_matches(term, '[0-9]') GROUP BY ALL HAVING count(*) > 1), df AS (SELECT term, count(*) AS df FROM wd GROUP BY 1)
+@query("scope_topics", f"""WITH {ENGRAMS}, n AS (SELECT scope AS label, term, count(*) AS n FROM wd WHERE len(term) > 1 AND NOT regexp_matches(term, '[0-9]') GROUP BY ALL HAVING count(*) > 1), df AS (SELECT term, count(*) AS df FROM wd GROUP BY 1)
 SELECT label, term, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, term) AS place FROM (SELECT label, term, n * ln((SELECT count(*) FROM eng)::DOUBLE / df) AS score FROM n JOIN df USING (term))) WHERE place <= 3""")
-def region_topics(spark, d):
+def scope_topics(spark, d):
     e = t.engrams(spark, d)
     terms = e.select(F.col("engram_id").alias("node"), F.explode("terms").alias("term"))
     return graph.region_topics(e.select(F.col("engram_id").alias("node"), F.col("scope").alias("label")), terms).withColumn("score", F.round("score", 6))

@@ -109,14 +109,14 @@ def docs_replaced(spark, d):
 _PLAIN = [(n, p) for n, p, _ in security.RULES if "(?!" not in p and "(?=" not in p and "(?<" not in p and "\\2" not in p]
 
 
-@query("secret_kinds", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in _PLAIN) + ") AS kinds FROM documents")
-def secret_kinds(spark, d):
+@query("secret_kinds_plain", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}' END" for n, p in _PLAIN) + ") AS kinds FROM documents")
+def secret_kinds_plain(spark, d):
     names = F.array(*[F.lit(n) for n, _ in _PLAIN])
     return t.read(spark, d, "documents").select("doc_id", F.array_join(F.filter(security.secret_kinds(F.col("text")), lambda k: F.array_contains(names, k)), ",").alias("kinds"))
 
 
-@query("secret_kinds_whole")
-def secret_kinds_whole(spark, d):
+@query("secret_kinds")
+def secret_kinds(spark, d):
     return t.read(spark, d, "documents").select("doc_id", F.array_join(security.secret_kinds(F.col("text")), ",").alias("kinds"))
 
 

@@ -38,12 +38,6 @@ def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and text: the first eight words of each benchmark item."""
-    words = F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 1, 8)
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
-
-
-def whole_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id and text: each benchmark item as it is; one of over 1000 characters keeps both ends."""
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long_query(F.col("text")).alias("query"))
 

@@ -77,14 +77,14 @@ def test_vector_searches_ask_every_fiftieth_row(spark, tmp_path):
     asked = list(range(0, 13000, 50))  # 260: more than a block
     sim = np.round(e[asked] @ e.T, 9)
     got = {}
-    for r in QUERIES["cosine_topk_whole"](spark, str(tmp_path)).collect():
+    for r in QUERIES["cosine_topk"](spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, []).append((r.place, r.vec_id))
     assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {q: list(np.lexsort((np.arange(13000), -sim[i]))[:20]) for i, q in enumerate(asked)}
-    best = QUERIES["best_piece_per_turn_whole"](spark, str(tmp_path))
+    best = QUERIES["best_piece_per_turn"](spark, str(tmp_path))
     assert best.count() == 260 * 3250
     starts = sim.reshape(260, 3250, 4).argmax(2) * 500
     assert all(r.start == starts[r.query_id // 50, r.turn_id] for r in best.filter("turn_id % 97 = 0").collect())
-    for r in QUERIES["session_ranking_whole"](spark, str(tmp_path)).filter("place = 1").collect():
+    for r in QUERIES["session_ranking"](spark, str(tmp_path)).filter("place = 1").collect():
         assert r.session_id == int(sim[r.query_id // 50].argmax()) % 90
 
 
@@ -117,8 +117,8 @@ def test_regions_reach_their_fixed_point_and_small_ones_join(spark):
 
 
 def test_region_topics_name_the_regions_themselves(spark):
-    rows = {r.label for r in QUERIES["region_topics_whole"](spark, "/root/testdata/sf0.001").collect()}
-    assert rows and rows <= {r.label for r in QUERIES["label_regions_whole"](spark, "/root/testdata/sf0.001").collect()}
+    rows = {r.label for r in QUERIES["region_topics"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows and rows <= {r.label for r in QUERIES["merged_regions"](spark, "/root/testdata/sf0.001").collect()}
 
 
 SAID = [
@@ -135,12 +135,12 @@ def luhn(card):
 def test_secret_kinds_are_those_of_python(spark, tmp_path):
     spark.createDataFrame(list(enumerate(SAID)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {i: [name for name, p, _ in security.RULES if re.search(p, s)] + ["card"] * any(map(luhn, re.findall(security.CARD, s))) for i, s in enumerate(SAID)}
-    got = {r.doc_id: [k for k in r.kinds.split(",") if k] for r in QUERIES["secret_kinds_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: [k for k in r.kinds.split(",") if k] for r in QUERIES["secret_kinds"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {k for x in got.values() for k in x} >= {"quoted_value", "named_value", "password", "password_said", "password_said_ko", "id_number", "card"}
 
 
-@pytest.mark.parametrize("name", ["word_search_bm25_whole", "rerank_linear_whole"])
+@pytest.mark.parametrize("name", ["word_search_bm25", "rerank_linear"])
 def test_words_after_the_eighth_are_searched(spark, small, name):
     rows = QUERIES[name](spark, small).filter("query_id = 1 AND place = 1").collect()
     assert [r.turn_id for r in rows] == ["document-500"]
@@ -149,19 +149,19 @@ def test_words_after_the_eighth_are_searched(spark, small, name):
 def test_turns_are_searched_by_words_after_the_eighth(spark, small):
     turns = [(1, 0, "user", "unrelated talk"), (1, 1, "assistant", "the zenith of it"), (2, 0, "user", "more talk")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{small}/conversations.parquet")
-    assert [r.turn_id for r in QUERIES["word_search_turns_whole"](spark, small).filter("query_id = 1").collect()] == ["1-1"]
+    assert [r.turn_id for r in QUERIES["word_search_turns"](spark, small).filter("query_id = 1").collect()] == ["1-1"]
 
 
 def test_activation_follows_the_sixth_to_twelfth_edge(spark, tmp_path):
     # the seed has seven later engrams of one scope that share two terms with it and not its query word
     rows = [(1, "small zeta yota", "b", "kind", 10)] + [(i, "zeta yota", "b", f"own{i}", 10) for i in range(2, 9)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    got = {r.engram_id for r in QUERIES["activation_2hop_whole"](spark, str(tmp_path)).filter("query_id = 0").collect()}
+    got = {r.engram_id for r in QUERIES["activation_2hop"](spark, str(tmp_path)).filter("query_id = 0").collect()}
     edges = graph.auto_links(tables.engrams(spark, str(tmp_path)))
     assert edges.filter("source = 1").count() == 8
     one = graph.activate(spark.createDataFrame([(0, 1, 1.0)], "query_id int, engram_id long, activation double"), edges, hops=1, fanout=12)
     assert {r.engram_id for r in one.collect()} == got == set(range(1, 9))
     direct = {r.engram_id: r.activation for r in one.collect()}
-    whole = {r.engram_id: r.activation for r in QUERIES["activation_2hop_whole"](spark, str(tmp_path)).filter("query_id = 0").collect()}
+    whole = {r.engram_id: r.activation for r in QUERIES["activation_2hop"](spark, str(tmp_path)).filter("query_id = 0").collect()}
     seed = graph.seeds(tables.engrams(spark, str(tmp_path)), spark.sql("SELECT 0 AS query_id, array('small', 'ring', 'economy') AS terms")).first().activation
     assert all(whole[i] >= round(seed * direct[i], 6) - 1e-6 for i in range(2, 9))
