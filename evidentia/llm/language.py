@@ -141,9 +141,12 @@ def _sample_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame) -> Network | None:
     """Learn from docs(doc_id, text, lang) whose fold is not HELD_OUT."""
     rows = docs.filter((fold(docs["doc_id"], FOLDS) != HELD_OUT) & docs["lang"].isNotNull() & docs["text"].isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(SAMPLE_PER_LANGUAGE)) / F.count(F.lit(1))).alias("share"))
+    sizes = rows.groupBy("lang").count().collect()  # one row for each class of the model
+    if not sizes:
+        return None
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))])
     key = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    sampled = rows.withColumn("key", key).join(share, "lang").filter("key < share").select("lang", "text")
+    sampled = rows.filter(key < F.element_at(share, F.col("lang"))).select("lang", "text")
     got = sampled.mapInPandas(_sample_windows, "lang string, data binary").toPandas()
     if got.empty:
         return None
