@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from evidentia.functions import classify, dates, security, text as tx
 from evidentia.operators import evaluate, history, packing, ranking, sharing, state
 from evidentia.plans import typed
 from evidentia.sources import tables as t
+from evidentia.sources.scratch import shared_dir
 from evidentia.streaming import flows
 
 QUERIES: dict = {}
@@ -523,10 +524,7 @@ def question_halves(spark, d):
 
 def _stage(spark: SparkSession, rows: DataFrame, name: str) -> tuple[str, str]:
     """A folder with the rows as stream input, and one for a checkpoint."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evidentia-")
-    import uuid
-
-    path = f"{base}/streams/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/in")
     return f"{path}/in", path
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.sources.scratch import kept
+
 SHARED, NEXT, EXPLICIT = "SHARED_CUE", "TEMPORAL", "EXPLICIT"
 DECAY = 0.65
 
@@ -88,8 +90,8 @@ def activate(start: DataFrame, edges: DataFrame, *, hops: int = 2, fanout: int =
         )
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("activation", 12)), "engram_id")
         merged = merged.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_nodes).drop("_n")
-        if hop < hops and merged.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            merged = merged.checkpoint()
+        if hop < hops:
+            merged = kept(merged)
         state, frontier = merged.drop("touched"), merged.filter("touched").drop("touched")
     return state
 
@@ -104,12 +106,6 @@ def view_edges(edges: DataFrame, per_source: int = 3) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Read from a checkpoint where a folder is set, so that rounds do not nest their plans."""
-    shared = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if shared else df.localCheckpoint()
-
-
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b", "weight").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
@@ -126,10 +122,10 @@ def regions(nodes: DataFrame, links: DataFrame, *, rounds: int = 12) -> DataFram
 
     Ends where nothing changes, or after `rounds`.
     """
-    both = _kept(_both_ways(links))
+    both = kept(_both_ways(links))
     label = nodes.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
-        step = _kept(label.join(_winners(both, label), "node", "left").select("node", "label", F.coalesce("won", "label").alias("new")))
+        step = kept(label.join(_winners(both, label), "node", "left").select("node", "label", F.coalesce("won", "label").alias("new")))
         label = step.select("node", F.col("new").alias("label"))
         if step.filter("new <> label").isEmpty():
             break
@@ -141,14 +137,14 @@ def merge_small(labels: DataFrame, links: DataFrame, *, largest: int = 12, round
 
     Regions of one size go by their smallest node; ties between votes go to the larger label.
     """
-    both, label = _kept(_both_ways(links)), _kept(labels.select("node", "label"))
+    both, label = kept(_both_ways(links)), kept(labels.select("node", "label"))
     size = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    top = _kept(size.orderBy(F.desc("n"), "first").limit(largest).select("label"))
+    top = kept(size.orderBy(F.desc("n"), "first").limit(largest).select("label"))
     for _ in range(rounds):
         won = _winners(both, label.join(F.broadcast(top), "label", "left_semi"))
         inside = F.broadcast(top.select("label", F.lit(True).alias("inside")))
         step = label.join(inside, "label", "left").join(won, "node", "left")
-        step = _kept(step.select("node", "label", F.when(F.col("inside"), F.col("label")).otherwise(F.coalesce("won", "label")).alias("new")))
+        step = kept(step.select("node", "label", F.when(F.col("inside"), F.col("label")).otherwise(F.coalesce("won", "label")).alias("new")))
         label = step.select("node", F.col("new").alias("label"))
         if step.filter("new <> label").isEmpty():
             break
