@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.vectors import cosine
+
 
 def summary(results: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """By type and overall, for results(query_id, type, relevant, found, first_rank, tokens)."""
@@ -88,3 +90,40 @@ def fit_weights(features: DataFrame, names: list[str], *, steps: int = 400, rate
         w = w + rate * (np.nan_to_num(grad) / total - decay * w)
     diffs.unpersist()
     return dict(zip(names, w.tolist(), strict=True))
+
+
+def cue_coverage(cues: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query_id, coverage: mean over cues(query_id, cue_id, v) of the best cosine with one of the question's seeds(query_id, v).
+
+    A question without seeds has coverage 0.
+    """
+    near = cues.join(seeds.select("query_id", F.col("v").alias("_s")), "query_id", "left").groupBy("query_id", "cue_id").agg(F.max(cosine(F.col("v"), F.col("_s"))).alias("best"))
+    return near.groupBy("query_id").agg(F.avg(F.coalesce("best", F.lit(0.0))).alias("coverage"))
+
+
+def threshold_sweep(results: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, vague_hit5, exact_hit5, control_false for results(style, expected, coverage, hit5, answered).
+
+    expected: the question has an answer. Below the threshold a question counts as unanswered; each row
+    meets the thresholds in place, and a group without rows has rate 0.
+    """
+    rows = results.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+    passed = F.col("coverage") >= F.col("threshold")
+    rate = lambda group, test: F.coalesce(F.avg(F.when(group, (passed & test).cast("double"))), F.lit(0.0))
+    styled = lambda s: F.col("expected") & (F.col("style") == s)
+    return rows.groupBy("threshold").agg(
+        rate(styled("VAGUE"), F.col("hit5")).alias("vague_hit5"), rate(styled("EXACT"), F.col("hit5")).alias("exact_hit5"), rate(~F.col("expected"), F.col("answered")).alias("control_false")
+    )
+
+
+def separation(results: DataFrame) -> DataFrame:
+    """Least, largest and mean coverage of vague, exact and control questions."""
+    group = F.when(~F.col("expected"), "control").otherwise(F.lower("style")).alias("style")
+    return results.groupBy(group).agg(F.round(F.min("coverage"), 4).alias("least"), F.round(F.max("coverage"), 4).alias("most"), F.round(F.avg("coverage"), 4).alias("mean"))
+
+
+def index_quality(expected: DataFrame, returned: DataFrame) -> DataFrame:
+    """entity_key, expected, returned, recall, precision for both tables (entity_key, memory_id)."""
+    both = expected.select("entity_key", "memory_id", F.lit(1).alias("e")).distinct().join(returned.select("entity_key", "memory_id", F.lit(1).alias("r")).distinct(), ["entity_key", "memory_id"], "full_outer")
+    out = both.groupBy("entity_key").agg(F.count("e").alias("expected"), F.count("r").alias("returned"), F.count(F.col("e") + F.col("r")).alias("hit")).filter("expected > 0")
+    return out.select("entity_key", "expected", "returned", (F.col("hit") / F.col("expected")).alias("recall"), (F.col("hit") / F.greatest("returned", F.lit(1))).alias("precision"))

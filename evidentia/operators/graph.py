@@ -159,3 +159,21 @@ def region_topics(labels: DataFrame, terms: DataFrame, top: int = 3) -> DataFram
     scored = local.join(df, "term").crossJoin(n).withColumn("score", F.col("n") * F.log(F.col("all_nodes") / F.col("df")))
     order = Window.partitionBy("label").orderBy(F.desc(F.round("score", 9)), "term")
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select("label", "term", "score", "place")
+
+
+def view_nodes(engrams: DataFrame, turns: DataFrame, memories: DataFrame, limit: int | None = None) -> DataFrame:
+    """id, kind, scope, at, role, text of engrams(engram_id, source_kind, source_id, scope, happened_at), with what they stand for.
+
+    Each source table is joined by its own kind of engram only; an engram without its source has no text.
+    """
+    said = turns.select(F.lit("CONVERSATION").alias("source_kind"), F.col("turn_id").alias("source_id"), "role", F.col("content").alias("text"))
+    kept_ = memories.select(F.lit("LOCAL_MEMORY").alias("source_kind"), F.col("memory_id").cast("string").alias("source_id"), F.lit("").alias("role"), F.concat("title", F.lit(": "), "content").alias("text"))
+    out = engrams.filter("source_kind <> 'DEVELOPMENT_EVENT'").join(said.unionByName(kept_), ["source_kind", "source_id"], "left")
+    text = F.substring(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), 1, 160)
+    out = out.select(F.col("engram_id").alias("id"), F.col("source_kind").alias("kind"), "scope", F.col("happened_at").alias("at"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    return out if limit is None else out.orderBy(F.desc("at"), "id").limit(limit)
+
+
+def largest_regions(labels: DataFrame, top: int = 12) -> DataFrame:
+    """label, n of the regions with most nodes; of one size, that of the smallest node first."""
+    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("_first")).orderBy(F.desc("n"), "_first").limit(top).drop("_first")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import query_terms, tokens
+from evidentia.functions.text import query_terms, stem, tokens
 
 K1, B = 1.2, 0.75
 
@@ -44,3 +44,32 @@ def search(turns: DataFrame, queries: DataFrame, *, limit: int = 100, post: Data
     newest = [F.desc(c) for c in ("happened_at", "revision") if c in turns.columns]
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9), *newest, "turn_id")
     return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+
+
+#: Words without weight in the stemmed scoring.
+FUNCTION_WORDS = (
+    "a an the i my me you your to of in on for and or is was were did do does have has had "
+    "what how many much when which who where with at by from that this it be am are"
+).split()
+
+
+def stemmed_tokens(text: Column) -> Column:
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(FUNCTION_WORDS))
+    return F.transform(words, stem)
+
+
+def stemmed_scores(docs: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score of docs(doc_id, text) that share a stem with queries(query_id, query); idf is ln(1 + (n - df + 0.5) / (df + 0.5)).
+
+    Sizes and frequencies are of all docs; only the terms asked for meet postings.
+    """
+    words = docs.select("doc_id", stemmed_tokens(F.col("text")).alias("w"))
+    sizes = words.select("doc_id", F.size("w").alias("size"))
+    whole = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.greatest(F.avg("size"), F.lit(1e-9)).alias("mean"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(stemmed_tokens(F.col("query")))).alias("term"))
+    post = words.select("doc_id", F.size("w").alias("size"), F.explode("w").alias("term")).groupBy("term", "doc_id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hit = asked.join(post, "term").join(df, "term").join(F.broadcast(whole))  # one row of totals
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

@@ -104,3 +104,11 @@ def validate(memories: DataFrame, known: DataFrame | None = None) -> DataFrame:
         errors.append(say(F.col("_scope") != F.col("scope"), "SUPERSEDES_OTHER_SCOPE"))
     out = memories.withColumn("errors", F.array_compact(F.array(*errors)))
     return out.drop("_scope", "_there")
+
+
+def with_profiles(memories: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Memories with the stored profile(memory_id, memory_class, modality, retention, importance, confidence), or the default of their kind and source."""
+    names = ["memory_class", "modality", "retention", "importance", "confidence"]
+    stored = profiles.select("memory_id", F.struct(*names).alias("_stored"))
+    out = memories.join(stored, "memory_id", "left").withColumn("_default", default_profile(F.col("memory_type"), F.col("source_type")))
+    return out.withColumns({n: F.coalesce(F.col("_stored")[n], F.col("_default")[n]) for n in names}).drop("_stored", "_default")

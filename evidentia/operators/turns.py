@@ -77,3 +77,27 @@ def stalls(rows: DataFrame, limit: int = 2000) -> DataFrame:
     run = rows.withColumn("_run", F.sum(F.col("is_turn").cast("int")).over(order))
     since = run.groupBy("source", "_run").agg(F.count_if(~F.col("is_turn")).alias("idle"))
     return since.groupBy("source").agg(F.max("idle").alias("longest_idle")).withColumn("stalled", F.col("longest_idle") >= limit)
+
+
+def searchable(turns: DataFrame, about_assistant: Column) -> DataFrame:
+    """Turns that meaning search looks at: the assistant's only where the question is about what it said."""
+    return turns.filter(F.coalesce(F.col("role").isin("user", "document"), F.lit(False)) | about_assistant)
+
+
+def without_echoes(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits(query_id, content) but for those that say what the question(query_id, query) says, white space aside."""
+    folded = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    asked = queries.select("query_id", folded(F.col("query")).alias("_said"))
+    return hits.join(asked, "query_id").filter(~F.coalesce(folded(F.col("content")) == F.col("_said"), F.lit(False))).drop("_said")
+
+
+def to_embed(turns: DataFrame, done: DataFrame, batch: int) -> DataFrame:
+    """The next batch of turns without a vector: those of users and documents first, newest first."""
+    rows = turns.filter(F.col("role").isin("user", "assistant", "document")).join(done.select("turn_id"), "turn_id", "left_anti")
+    return rows.orderBy(F.col("role") == "assistant", F.desc("happened_at"), "turn_id").limit(batch)
+
+
+def asks_total(question: Column) -> Column:
+    """Whether the wording asks for a count or a total."""
+    # fixed value: the cue
+    return question.rlike(r"(?i)\b(how many|how much|total|in all|altogether|combined|sum of)\b")

@@ -184,3 +184,17 @@ def compile_plan(plan: dict, events: DataFrame, by: list[str]) -> DataFrame:
         return list_values(rows[0], by, value)
     sums = [sum_values(r, by, value, plan.get("unit", "unit")) for r in rows]
     return (subtract if kind == "SUBTRACT" else compare)(*sums, by).drop("unit")
+
+
+def bound_events(participants: DataFrame, bindings: list[tuple[str, list]], event_ids: DataFrame | None = None) -> DataFrame:
+    """event_id of events that hold one of the entities in each (role, entities), and are among event_ids if given.
+
+    participants(event_id, role, entity_id). One semi-join a binding.
+    """
+    found = event_ids.select("event_id").distinct() if event_ids is not None else None
+    for role, entities in bindings:
+        hit = participants.filter((F.col("role") == role) & F.col("entity_id").isin(entities)).select("event_id").distinct()
+        found = hit if found is None else found.join(hit, "event_id", "left_semi")
+    if found is None:
+        raise ValueError("a binding or event_ids is needed")
+    return found

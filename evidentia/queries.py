@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from evidentia import catalogue, catalogue_more
+from evidentia import catalogue, catalogue_intake, catalogue_more
 
-QUERIES = {**catalogue.QUERIES, **catalogue_more.QUERIES}
-SQL = {**catalogue.SQL, **catalogue_more.SQL}
+QUERIES = {**catalogue.QUERIES, **catalogue_more.QUERIES, **catalogue_intake.QUERIES}
+SQL = {**catalogue.SQL, **catalogue_more.SQL, **catalogue_intake.SQL}
 
 
 def flagship(spark, sf_dir):
