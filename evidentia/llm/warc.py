@@ -5,12 +5,17 @@ writer ends each record with the blank lines that the format asks for, so part f
 Of records with one payload of at least 1000 bytes the one with the largest id is the response and
 the others are revisits without a body. Reading parses the archives by Content-Length, digests each
 response's payload again, and leaves one run of the capture index per archive, sorted by URL key,
-time and id. Runs are cut at common URL keys into ranges, and each range is merged from its runs by
-a loser tree, so ranges in order hold the capture histories in global order.
+time and id. Runs are cut at common keys into ranges, and each range is merged from its slices of the
+runs by a loser tree, so ranges in order hold the capture histories in global order. The number of
+ranges follows the number of records, and cuts may fall between any two records, those of one URL
+too: a merging task holds about RANGE_ROWS index entries (never payloads), whatever the table's size.
+
+Copies of one payload meet its response under one of SALTS salts, so no payload is a hot key.
 
 Defined cases: null html is an empty payload; a null url is written as an empty one; records with a
 null id refer to a known one if there is one, else each is a response; equal rows are written twice;
-an empty table gives an empty archive and index.
+an empty table gives an empty archive and index; a very long payload is one record, and a file of its
+own size; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import datetime
 from urllib.parse import urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +34,25 @@ from .common import materialise, parts, scratch, settings
 
 LEAST_REVISIT = 1000
 FILE_BYTES = 16 << 20
+RANGE_ROWS = 100_000
+SALTS = 16
+BATCH_ROWS = 10_000
 END = "\r\n\r\n"
 INDEX = "page_id long, url_key string, captured timestamp, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, at long, length long"
+INDEX_TYPES = pa.schema(
+    [
+        ("page_id", pa.int64()),
+        ("url_key", pa.string()),
+        ("captured", pa.timestamp("us", "UTC")),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("record_type", pa.string()),
+        ("refers_to", pa.int64()),
+        ("run", pa.string()),
+        ("at", pa.int64()),
+        ("length", pa.int64()),
+    ]
+)
 
 
 def _line(name: str, value: Column) -> Column:
@@ -52,7 +75,8 @@ def records(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", url.alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("n"), F.sha1(payload.cast("binary")).alias("digest"))
     groups = rows.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.max_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("copies"))
     groups = materialise(groups.filter("copies > 1").drop("copies"), "copies")
-    rows = rows.join(groups, ["digest", "n"], "left")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(groups, ["digest", "n", "salt"], "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -122,10 +146,9 @@ def _gunzip(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _runs(files: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    for frame in files:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
+def _runs(files: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in files:
+        for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
             rows = []
             for headers, block, at, length in parse_archive(_gunzip(content)):
                 http, _, body = block.partition(b"\r\n\r\n")
@@ -133,23 +156,23 @@ def _runs(files: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size = int(http.rpartition(b"Content-Length: ")[2])
                 if headers["WARC-Type"] == "response" and (len(body) != size or hashlib.sha1(body).hexdigest() != digest):
                     raise ValueError(f"payload of {headers['WARC-Record-ID']} differs from its digest")
-                rows.append((_page(headers["WARC-Record-ID"]), url_key(headers["WARC-Target-URI"]), pd.Timestamp(headers["WARC-Date"][:-1]), size, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), path, at, length))
-            rows.sort(key=_order)
-            frame = pd.DataFrame(rows, columns=names)
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                captured = datetime.fromisoformat(headers["WARC-Date"])
+                rows.append((_page(headers["WARC-Record-ID"]), url_key(headers["WARC-Target-URI"]), captured, size, digest, headers["WARC-Type"], _page(headers.get("WARC-Refers-To")), path, at, length))
+            rows.sort(key=lambda row: _order(row[1], row[2], row[0], row[7], row[8]))
+            for start in range(0, len(rows), BATCH_ROWS):
+                columns = zip(*rows[start : start + BATCH_ROWS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, INDEX_TYPES, strict=True)], schema=INDEX_TYPES)
 
 
-def _order(row: tuple) -> tuple:
-    page = row[0]
-    known = page is not None and page == page and page is not pd.NA
-    return row[1], row[2], known, page if known else 0, row[7], row[8]
+def _order(url: str, captured, page: int | None, run: str, at: int) -> tuple:
+    return url, captured, page is not None, page or 0, run, at
 
 
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     """The capture index of all archives below path, one sorted run per archive."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     with settings(spark, **{"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.files.maxPartitionBytes": "8m"}):
-        return materialise(files.mapInPandas(_runs, INDEX), "runs")
+        return materialise(files.mapInArrow(_runs, INDEX), "runs")
 
 
 def loser_tree_merge(runs: list[list], key) -> Iterator:
@@ -184,26 +207,28 @@ def loser_tree_merge(runs: list[list], key) -> Iterator:
         winner = replay(winner) if k > 1 else 0
 
 
-def _merged(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    runs: dict[str, list] = {}
-    names = None
-    for frame in frames:
-        names = list(frame.columns)
-        for row in frame.itertuples(index=False, name=None):
-            runs.setdefault(row[7], []).append(row)
-    if runs:
-        merged = list(loser_tree_merge(list(runs.values()), _order))
-        out = pd.DataFrame(merged, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-        out["place"] = range(len(out))
-        yield out
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the slices of one range: entries stay in columns, runs are lists of their positions."""
+    batches = list(batches)
+    if not batches:
+        return
+    held = pa.Table.from_batches(batches)
+    keys = [held["url_key"].to_pylist(), held["captured"].cast(pa.int64()).to_pylist(), held["page_id"].to_pylist(), held["run"].to_pylist(), held["at"].to_pylist()]
+    runs: dict[str, list[int]] = {}
+    for i, run in enumerate(keys[3]):
+        runs.setdefault(run, []).append(i)
+    order = list(loser_tree_merge(list(runs.values()), lambda i: _order(*(k[i] for k in keys))))
+    for start in range(0, len(order), BATCH_ROWS):
+        some = held.take(order[start : start + BATCH_ROWS])
+        yield from some.append_column("place", pa.array(range(start, start + len(some)), pa.int64())).to_batches()
 
 
 def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The index in global order: by range, then place. Every range is merged from its slices of the runs."""
-    keys = ["url_key", "captured", "page_id"]
-    runs = runs.withColumns({"page_id": F.col("page_id"), "refers_to": F.col("refers_to")})
-    sliced = runs.repartitionByRange(ranges or parts(runs.sparkSession), *keys).sortWithinPartitions("run", *keys, "at")
-    return sliced.mapInPandas(_merged, INDEX + ", place long").withColumn("range", F.spark_partition_id())
+    keys = ["url_key", "captured", "page_id", "run", "at"]
+    ranges = ranges or max(parts(runs.sparkSession), runs.count() // RANGE_ROWS + 1)
+    sliced = runs.repartitionByRange(ranges, *keys).sortWithinPartitions("run", *keys)
+    return sliced.mapInArrow(_merged, INDEX + ", place long").withColumn("range", F.spark_partition_id())
 
 
 def op10_warc(spark, sf_dir):

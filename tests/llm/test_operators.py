@@ -327,6 +327,26 @@ def test_warc(spark, none):
     assert warc.merge_runs(warc.capture_runs(spark, path)).count() == 0
 
 
+def test_warc_ranges_cut_one_url(spark, monkeypatch):
+    # one URL holds most records, ids past 2^53 beside a null one, columns with names the code uses
+    ids = [2**60 + i for i in range(60)] + [None]
+    rows = [(i, "http://one.org/" if k % 4 else f"http://site{k}.org/", "body" * 400 if k % 3 else f"own {k}", 0) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, salt int").repartition(5)
+    path = warc.scratch(spark, "warc")
+    warc.write_archives(df, path, file_bytes=8000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 6)
+    monkeypatch.setattr(warc, "BATCH_ROWS", 2)
+    runs = warc.capture_runs(spark, path)
+    assert runs.select("run").distinct().count() > 5
+    got = warc.merge_runs(runs).collect()
+    assert len({r["range"] for r in got if r.url_key == "org,one)/"}) > 1  # a hot URL is split
+    ordered = sorted(got, key=lambda r: (r["range"], r["place"]))
+    keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in ordered]
+    assert keys == sorted(keys) and {r.page_id for r in got} == set(ids)
+    copies = [r for r in got if r.payload_bytes == 1600]
+    assert {r.refers_to for r in copies if r.record_type == "revisit"} == {max(i for i in (r.page_id for r in copies) if i)}
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for _ in range(200):
