@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evidentia import catalogue, catalogue_intake, catalogue_more
+from evidentia import catalogue, catalogue_intake, catalogue_learned, catalogue_more
 
-QUERIES = {**catalogue.QUERIES, **catalogue_more.QUERIES, **catalogue_intake.QUERIES}
-SQL = {**catalogue.SQL, **catalogue_more.SQL, **catalogue_intake.SQL}
+_PARTS = (catalogue, catalogue_more, catalogue_intake, catalogue_learned)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
 
 
 def flagship(spark, sf_dir):
