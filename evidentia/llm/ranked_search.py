@@ -12,9 +12,9 @@ task keeps a heap of the best k of each item over all its pairs, and the heaps'
 drops all but k rows an item before its shuffle.
 
 For scale, packed keys are range-partitioned: a (question block, document block) pair holds a range of items and a
-set of documents whole, so sums need no later merging. Pairs come from a join on (question block, slot);
-question blocks are repeated once a slot, as a broadcast would, but through a shuffle and without a bound on their
-number. Nothing is capped: impacts over CHUNK are summed in several sorts.
+set of documents whole, so sums need no later merging. Question blocks of at most SENT bytes, as measured, are
+broadcast to the document blocks; larger ones meet them by a shuffled join on (question block, slot), for which they are
+repeated once a slot. Nothing is capped: impacts over CHUNK are summed in several sorts.
 
 Defined cases: a null or empty text has no terms and matches nothing; a null doc_id comes after others of its
 score; rows that repeat a doc_id are documents of their own and each is ranked; items that repeat id and text count
@@ -48,6 +48,8 @@ RANGE = 64
 CHUNK = 1 << 21
 #: Items of a question block, on average.
 ITEMS = 256
+#: Bytes of question blocks, all together, that may be broadcast.
+SENT = 4 << 20
 #: Slots of document blocks for each shuffle partition.
 SLOTS = 4
 
@@ -256,10 +258,16 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, blocks: DataFrame | N
 
 def _scored(blocks: DataFrame, questions: DataFrame, n_docs: int, n_terms: int, k: int) -> DataFrame:
     slots = parts(blocks.sparkSession) * SLOTS
-    last = questions.agg(F.max("question")).first()[0]
+    held = F.octet_length("asked_by") + F.octet_length("repeats") + F.aggregate("terms", F.lit(0), lambda a, t: a + F.octet_length(t) + 16)
+    last, size = questions.agg(F.max("question"), F.sum(held)).first()
     every = F.array().cast("array<bigint>") if last is None else F.sequence(F.lit(0).cast("long"), F.lit(int(last)).cast("long"))
     left = blocks.drop("docs_with").withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots))).withColumn("question", F.explode(every))
-    right = questions.withColumnsRenamed({"terms": "asked", "starts": "asked_starts"}).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    right = questions.withColumnsRenamed({"terms": "asked", "starts": "asked_starts"})
+    if size is not None and size <= SENT:
+        keys, right = ["question"], F.broadcast(right)
+    else:
+        keys = ["question", "slot"]
+        right = right.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).hint("shuffle_hash")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(n_docs, n_terms, k)
@@ -270,7 +278,7 @@ def _scored(blocks: DataFrame, questions: DataFrame, n_docs: int, n_terms: int,
         yield scorer.rows()
 
     with settings(blocks.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="4"):
-        pairs = left.join(right, ["question", "slot"]).drop("slot", "question", "block")
+        pairs = left.join(right, keys).drop("slot", "question", "block")
         return materialise(pairs.mapInArrow(score, BEST), "best")
 
 

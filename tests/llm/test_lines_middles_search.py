@@ -139,7 +139,8 @@ def test_ranked_search_equals_brute_force(spark, corpus, monkeypatch):
     item_frame = spark.createDataFrame(items, "item_id long, text string")
     got = [tuple(r) for r in ranked_search.search(docs_of(spark, docs).repartition(3), item_frame).collect()]
     assert order(got) == order(rank(docs, items))
-    monkeypatch.setattr(ranked_search, "ITEMS", 30)  # several question blocks
+    monkeypatch.setattr(ranked_search, "ITEMS", 30)  # several question blocks, and none broadcast
+    monkeypatch.setattr(ranked_search, "SENT", 0)
     again = [tuple(r) for r in ranked_search.search(docs_of(spark, docs).repartition(11), item_frame, k=3).collect()]
     assert order(again) == order(rank(docs, items, 3))
 
