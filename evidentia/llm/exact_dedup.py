@@ -1,12 +1,17 @@
 """Exact deduplication with keyed streaming state.
 
 A store is a folder with the content of every row taken in so far (normalised text, digest, id), the
-state and the groups. Each intake appends its rows to the content; a row's locator is its intake's
-number and its place there. A structured stream reads digests, ids and locators of new content and
-keeps per digest, in RocksDB and without expiry, the smallest (id, locator), the oldest locator and the count.
+state and the groups. Each intake has a name; its rows are staged and then appear in the content by one rename,
+so a row's locator is its intake's number and its place there. A structured stream reads digests, ids and
+locators of new content and keeps per digest, in RocksDB and without expiry, the smallest (id, locator), the
+oldest locator and the count. Its batches write the groups that they changed; an intake reads back those
+written since it began.
+
+An intake that died at any point is repeated under its name: rows that had appeared are not taken in
+again and are judged as in an undisturbed run, staged rows that had not appeared count for nothing. One intake runs at a time.
 
 Where a digest that rows of this intake have was seen more than once, the hit rows and the oldest row are
-fetched from the content by their locators, and their full bytes are compared, in each task first. Rows of
+fetched by their locators from the intakes that hold them, and their full bytes are compared, in each task first. Rows of
 digests whose bytes differ form groups by the text itself.
 
 Defined cases: null text counts as empty; a null id sorts first; of rows that repeat an id and a
@@ -16,6 +21,8 @@ keep_first, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -60,22 +67,45 @@ class Store:
         self.spark, self.path, self.content_schema = spark, path.rstrip("/"), CONTENT.format(id=id_type)
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
     def _folders(self, name: str) -> list[int]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not self.fs.exists(at):
-            return []
-        return sorted(int(f.getPath().getName().partition("=")[2]) for f in self.fs.listStatus(at) if "=" in f.getPath().getName())
-
-    def add(self, docs: DataFrame, digest) -> int:
-        """Append docs(doc_id, text) to the content; the number of this intake."""
-        number = len(self._folders("content"))
-        body = normalised(docs["text"])
-        rows = docs.select(F.lit(number).alias("intake"), F.monotonically_increasing_id().alias("at"), digest(body).alias("digest"), "doc_id", body.alias("body"))
-        rows.write.parquet(f"{self.path}/content/number={number}")
-        return number
-
-    def content(self) -> DataFrame:
-        return self.spark.read.schema(self.content_schema).parquet(*[f"{self.path}/content/number={n}" for n in self._folders("content")])
+        return sorted(int(x.partition("=")[2]) for x in self._names(name) if "=" in x)
+
+    def _intakes(self) -> dict[str, tuple[int, int, str]]:
+        """By name: number, groups' batches before it, folder. A folder is number, batches and the name in hex."""
+        found = {}
+        for folder in self._names("content"):
+            number, since, name = folder.split("-")
+            found[bytes.fromhex(name).decode()] = int(number), int(since), f"{self.path}/content/{folder}"
+        return found
+
+    def intakes(self) -> list[str]:
+        """Names of the intakes whose rows are in the content, oldest first."""
+        return sorted(found := self._intakes(), key=found.get)
+
+    def add(self, docs: DataFrame, digest, intake: str) -> tuple[int, int]:
+        """Let docs(doc_id, text) appear in the content, unless this intake's rows did; its number and the batches before it."""
+        if (known := self._intakes().get(intake)) is None:
+            number, since = len(self._intakes()), len(self._folders("groups"))
+            body = normalised(docs["text"])
+            rows = docs.select(F.lit(number).alias("intake"), F.monotonically_increasing_id().alias("at"), digest(body).alias("digest"), "doc_id", body.alias("body"))
+            staged = f"staged/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.path}/{staged}")
+            self.fs.mkdirs(self._path("content"))
+            if not self.fs.rename(self._path(staged), self._path("content", f"{number:09d}-{since}-{intake.encode().hex()}")):
+                raise OSError(f"intake {intake!r} could not appear in {self.path}")
+            known = number, since, ""
+        return known[:2]
+
+    def content(self, numbers: set[int] | None = None) -> DataFrame:
+        """Rows of the intakes with these numbers, or of all."""
+        return self.spark.read.schema(self.content_schema).parquet(*[path for n, _, path in self._intakes().values() if numbers is None or n in numbers])
 
     def advance(self, **limits: str) -> None:
         """Take all new content through the state; each batch's changed groups become a part of the groups."""
@@ -88,9 +118,9 @@ class Store:
             self.shape = stream.schema
             stream.writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
 
-    def groups(self) -> DataFrame:
-        """The state's last word on every digest."""
-        batches = self._folders("groups")
+    def groups(self, since: int = 0) -> DataFrame:
+        """The state's last word on every digest that batches from number `since` on changed."""
+        batches = [n for n in self._folders("groups") if n >= since]
         if not batches:
             return self.spark.createDataFrame([], self.shape)
         shape = StructType([*self.shape.fields, StructField("batch", IntegerType())])
@@ -101,34 +131,39 @@ class Store:
 
     def clashes(self, number: int, groups: DataFrame) -> DataFrame | None:
         """Digests with rows of different bytes, of this intake and earlier ones; None if there are none."""
-        rows = self.content().filter(F.col("intake") == number).select(*_LOCATOR, "digest")
+        rows = self.content({number}).select(*_LOCATOR, "digest")
         several = groups.filter("group_size > 1")
         hits = rows.join(several.select("digest", "oldest"), "digest")
         fetch = hits.select("intake", "at").unionByName(hits.select("oldest.intake", "oldest.at")).distinct()
         with settings(self.spark, spark__sql__autoBroadcastJoinThreshold="-1"):  # one plan at every size
-            fetched = self.content().join(materialise(fetch, "hits"), [*_LOCATOR], "left_semi")
+            fetch = materialise(fetch, "hits")
+            held = {r[0] for r in fetch.select("intake").distinct().collect()}  # at most one row an intake
+            fetched = self.content(held | {number}).join(fetch, [*_LOCATOR], "left_semi")
             met = fetched.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-            met.filter("low <> high").select("digest").write.parquet(f"{self.path}/clashes/number={number}")
+            met.filter("low <> high").select("digest").write.mode("overwrite").parquet(f"{self.path}/clashes/number={number}")
         found = self.spark.read.schema("digest string").parquet(*[f"{self.path}/clashes/number={n}" for n in self._folders("clashes")])
         return None if found.isEmpty() else found.distinct()
 
 
-def dedup(docs: DataFrame, digest=sha256, store: str | None = None, **limits: str) -> DataFrame:
+def dedup(docs: DataFrame, digest=sha256, store: str | None = None, intake: str | None = None, **limits: str) -> DataFrame:
     """doc_id, intake, at, keep_id, group_size, kept, digest for every row of docs(doc_id, text).
 
     store: a folder that keeps content and state from call to call; rows are judged beside all that were
-    taken in before them. Without it a scratch folder is used once. digest may be any function of the
+    taken in before them. It needs intake, the name of these rows: a call that died is repeated under the same
+    name. Without a store a scratch folder is used once. digest may be any function of the
     normalised text; rows that only share it are told apart. limits: reader options of the stream, such
     as maxFilesPerTrigger.
     """
+    if store and not intake:
+        raise ValueError("a store needs the intake's name, so that an intake which died can be repeated")
     spark = docs.sparkSession
     held = Store(spark, store or scratch(spark, "store"), docs.schema["doc_id"].dataType.simpleString())
-    number = held.add(docs.select("doc_id", "text"), digest)
+    number, since = held.add(docs.select("doc_id", "text"), digest, intake or "only")
     held.advance(**limits)
-    groups = held.groups()
+    groups = held.groups(since)
     clash = held.clashes(number, groups)
-    out = held.content().filter(F.col("intake") == number).drop("body").join(groups.drop("oldest"), "digest")
-    out = _decided(out)
+    own = held.content({number})
+    out = _decided(own.drop("body").join(groups.drop("oldest"), "digest"))
     if clash is not None:
         rows = materialise(held.content().join(clash, "digest", "left_semi"), "apart")
         sizes = materialise(rows.groupBy("body").agg(_first(), F.count(F.lit(1)).alias("group_size")), "apart_groups")

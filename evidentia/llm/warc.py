@@ -12,7 +12,8 @@ too: a merging task holds about RANGE_ROWS index entries (never payloads), whate
 
 Copies of one payload meet its response under one of SALTS salts, so no payload is a hot key.
 
-Defined cases: null html is an empty payload; a null url is written as an empty one; records with a
+Defined cases: null html is an empty payload; a null url is written as an empty one; a URL that cannot be parsed is
+its own key; records with a
 null id refer to a known one if there is one, else each is a response; equal rows are written twice;
 an empty table gives an empty archive and index; a very long payload is one record, and a file of its
 own size; extra columns are not read.
@@ -27,7 +28,7 @@ from datetime import datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, parts, scratch, settings
@@ -107,12 +108,16 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
 
 
 def url_key(url: str) -> str:
-    """Host labels from the top level down, then path and query, in lower case: equal for the same resource."""
-    split = urlsplit(url if "//" in url else "//" + url)
+    """Host labels from the top level down, then path and query, in lower case: equal for the same resource.
+
+    A URL that cannot be parsed (an open bracket, characters that make no host name) has itself as its key, in
+    lower case after a bracket, so such URLs stand together.
+    """
     try:
+        split = urlsplit(url if "//" in url else "//" + url)
         host = (split.hostname or "").removeprefix("www.")
     except ValueError:
-        host = split.netloc
+        return ")" + url.lower()
     tail = split.path + ("?" + split.query if split.query else "")
     return f"{','.join(reversed(host.split('.')))}){tail.lower()}"
 
@@ -231,19 +236,32 @@ def merge_runs(runs: DataFrame, ranges: int | None = None) -> DataFrame:
     return sliced.mapInArrow(_merged, INDEX + ", place long").withColumn("range", F.spark_partition_id())
 
 
+def histories(merged: DataFrame) -> DataFrame:
+    """The merged index with position: an entry's place, from 0, among all entries of all ranges."""
+    merged = materialise(merged, "merged")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range, of about RANGE_ROWS entries each
+    starts = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return merged.join(starts.select("range", "start"), "range").withColumn("position", F.col("start") + F.col("place")).drop("start")
+
+
 def op10_warc(spark, sf_dir):
     from .common import table
 
     path = scratch(spark, "warc")
     with settings(spark, **{"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    index = merge_runs(capture_runs(spark, path))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = histories(merge_runs(capture_runs(spark, path)))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
-SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+SQL = r"""
+WITH u AS (SELECT *, regexp_replace(coalesce(url, ''), '[\x00-\x20\x7F]', '%20', 'g') AS u FROM pages),
+p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www[.]', ''), '.')), ',')
+      || ')' || lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)', 1)) AS url_key FROM u),
 g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first THEN first END AS refers_to FROM g
+  CASE WHEN page_id <> first THEN first END AS refers_to, url_key, row_number() OVER (ORDER BY url_key, page_id % 100000000, page_id) - 1 AS position FROM g
 """

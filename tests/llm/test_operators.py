@@ -84,7 +84,7 @@ def test_exact_dedup_goes_on_from_intake_to_intake(spark, tmp_path):
 
     store = "file://" + str(tmp_path / "store")
     rows = lambda found: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()}
-    take = lambda pairs, **more: rows(exact_dedup.dedup(spark.createDataFrame(pairs, "doc_id long, text string"), store=store, **more))
+    take = lambda pairs, **more: rows(exact_dedup.dedup(spark.createDataFrame(pairs, "doc_id long, text string"), store=store, intake=str(pairs[0]), **more))
     weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)  # noqa: E731  16 digests
     one = [(i, f"text {i % 30}") for i in range(10, 50)]
     two = [(i, f"text  {i % 40}") for i in [*range(4), *range(50, 80)]]
@@ -97,6 +97,36 @@ def test_exact_dedup_goes_on_from_intake_to_intake(spark, tmp_path):
         assert got == {i: want[i] for i, _ in part}
 
 
+def test_exact_dedup_loses_nothing_when_an_intake_dies(spark, tmp_path, monkeypatch):
+    frame = lambda pairs: spark.createDataFrame(pairs, "doc_id long, text string")
+    one, two, three = [(1, "a"), (2, "b"), (3, "b")], [(4, "a"), (5, "c")], [(0, "a"), (6, "d")]
+    found = lambda frame: sorted(tuple(r) for r in frame.select("doc_id", "keep_id", "group_size", "kept").collect())
+
+    def run(store, die):
+        out = []
+        for name, rows in (("one", one), ("two", two), ("three", three)):
+            if die:
+                with monkeypatch.context() as m, pytest.raises(RuntimeError):
+                    m.setattr(exact_dedup.Store, die, lambda *_, **__: (_ for _ in ()).throw(RuntimeError("lost")))
+                    exact_dedup.dedup(frame(rows), store=store, intake=name)
+            out.append(found(exact_dedup.dedup(frame(rows), store=store, intake=name)))
+        return out
+
+    want = run("file://" + str(tmp_path / "calm"), None)
+    assert want[0] == [(1, 1, 1, True), (2, 2, 2, True), (3, 2, 2, False)]
+    assert want[1] == [(4, 1, 2, False), (5, 5, 1, True)] and want[2] == [(0, 0, 3, True), (6, 6, 1, True)]
+    for die in ("advance", "groups", "clashes"):
+        store = "file://" + str(tmp_path / die)
+        assert run(store, die) == want
+        assert exact_dedup.Store(spark, store).intakes() == ["one", "two", "three"]
+    # staged rows that never appeared count for nothing
+    store = "file://" + str(tmp_path / "staged")
+    frame(one).write.parquet(store + "/staged/dead")
+    assert run(store, None) == want
+    with pytest.raises(ValueError, match="name"):
+        exact_dedup.dedup(frame(one), store=store)
+
+
 def test_stages_keep_columns_of_any_name(spark):
     names = ["_digest", "_copy", "_id", "_times", "__copy", "row", "label", "sig"]
     rows = [(i, "same text here" if i < 3 else f"word{i} " * (i + 1), "s", *[f"{n}{i}" for n in names]) for i in range(9)]
@@ -327,6 +357,17 @@ def test_warc(spark, none):
     assert warc.merge_runs(warc.capture_runs(spark, path)).count() == 0
 
 
+def test_warc_takes_urls_that_cannot_be_parsed(spark):
+    urls = ["http://[abc/", "http://[abc]/x", "http://a\u2100.com/", "http://]/", "//[", "http://[::1]/ok", "HTTP://WWW.Ok.org/P?Q", "http://b.org:99999/", "[", None]
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = warc.scratch(spark, "warc")
+    warc.write_archives(df, path)
+    got = sorted(warc.histories(warc.merge_runs(warc.capture_runs(spark, path))).collect(), key=lambda r: r.position)
+    assert {r.page_id: r.url_key for r in got} == {i: warc.url_key(u or "") for i, u in enumerate(urls)}
+    assert warc.url_key("http://[Abc/") == ")http://[abc/" and warc.url_key(urls[6]) == "org,ok)/p?q"
+    assert [r.position for r in got] == list(range(len(urls))) and [r.url_key for r in got] == sorted(r.url_key for r in got)
+
+
 def test_warc_ranges_cut_one_url(spark, monkeypatch):
     # one URL holds most records, ids past 2^53 beside a null one, columns with names the code uses
     ids = [2**60 + i for i in range(60)] + [None]
