@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as tx
-from evidentia.operators import graph, lexical, memories as mem, packing, ranking, turns as tn, vectors
+from evidentia.operators import graph, lexical, memories as mem, packing, ranking, recall, recall_index, turns as tn, vectors
 from evidentia.sources import tables as t
 
 QUERIES: dict = {}
@@ -196,7 +196,7 @@ def bag_of_words(spark, d):
 
 # ---- search ----------------------------------------------------------------------------------
 
-_QUESTIONS = """q AS (SELECT item_id AS query_id, CASE WHEN len(text) > 1000 THEN text[:500] || ' ' || text[-500:] ELSE text END AS query FROM benchmark)"""
+_QUESTIONS = """q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"""
 _BM25 = """w AS (SELECT turn_id, unnest(regexp_extract_all(lower(strip_accents(content)), '[\\p{L}\\p{N}]+')) AS term FROM turns),
 n AS (SELECT turn_id, len(regexp_extract_all(lower(strip_accents(content)), '[\\p{L}\\p{N}]+')) AS len FROM turns),
 post AS (SELECT turn_id, term, count(*) AS tf FROM w GROUP BY ALL),
@@ -264,43 +264,37 @@ def rrf_fusion(spark, d):
     return fused.select("query_id", "turn_id", F.round("score", 9).alias("score"), "place")
 
 
-def _pool(spark, d):
-    """Two ranked lists of document turns: the word search and the same language's newest as stand-in meaning hits."""
-    turns, asked = t.document_turns(spark, d), t.questions(spark, d)
-    words = lexical.search(turns, asked, limit=20).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
-    sim = turns.select("turn_id", (F.col("revision") % 40).alias("query_id"), F.round(F.col("revision") % 97 / 97.0, 6).alias("similarity")).filter("query_id % 2 = 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "turn_id")) - 1
-    meaning = sim.withColumn("rank", rank).filter("rank < 20").join(asked.select("query_id"), "query_id")
-    return turns, asked, meaning, words
-
-
 POOL = 100
 
 
 def _document_pieces(turns):
-    """turn_id, revision, start, embedding of each 500-character piece."""
-    cut = turns.select("turn_id", "revision", F.explode(tx.pieces(F.col("content"))).alias("p"))
-    return cut.select("turn_id", "revision", F.col("p.start").alias("start"), vectors.hashing_embedder()(F.col("p.piece")).alias("embedding"))
+    """Pieces of 500 characters with their vectors."""
+    return recall_index.turn_pieces(turns, vectors.hashing_embedder())
+
+
+def _blocks(turns) -> recall.Blocks:
+    """Word and vector blocks of turns, made once for a batch."""
+    return recall.Blocks(recall_index.held_blocks(recall_index.word_blocks(turns)), recall_index.held_blocks(recall_index.vector_blocks(_document_pieces(turns))))
+
+
+def _embedded(asked):
+    return asked.withColumn("embedding", vectors.hashing_embedder()(F.col("query")))
 
 
 def _whole_pool(spark, d):
     """Two ranked lists of document turns for every whole question: POOL turns by words, and POOL by their best piece's cosine."""
     turns, asked = t.document_turns(spark, d), t.questions(spark, d)
-    words = lexical.search(turns, asked, limit=POOL).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
-    embedded = asked.select("query_id", vectors.hashing_embedder()(F.col("query")).alias("embedding"))
-    hits = vectors.best_groups(_document_pieces(turns), embedded, POOL)
+    index = _blocks(turns)
+    words = index.search(asked, POOL).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
+    hits = index.similar(_embedded(asked), POOL)
     meaning = hits.select("query_id", "turn_id", (F.col("place") - 1).alias("rank"), F.round("similarity", 4).alias("similarity"), "start")
     return turns, asked, meaning, words
 
 
 _W = ranking.WEIGHTS
 
-
-@query("rerank_formula", f"""WITH {DOC_TURNS}, {_QUESTIONS}, {_BM25},
-words_l AS (SELECT query_id, turn_id, place - 1 AS w_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), revision DESC, turn_id) AS place FROM s JOIN turns USING (turn_id)) WHERE place <= 20),
-sim AS (SELECT turn_id, revision % 40 AS query_id, round(revision % 97 / 97.0::DOUBLE, 6) AS similarity FROM turns WHERE revision % 40 % 2 = 0),
-mean_l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, turn_id) - 1 AS m_rank FROM sim JOIN (SELECT query_id FROM q) USING (query_id)) WHERE m_rank < 20),
-pool AS (SELECT coalesce(m.query_id, w.query_id) AS query_id, coalesce(m.turn_id, w.turn_id) AS turn_id, m_rank, w_rank, similarity FROM mean_l m FULL JOIN words_l w ON m.query_id = w.query_id AND m.turn_id = w.turn_id),
+#: From words_l(query_id, turn_id, w_rank), mean_l(query_id, turn_id, m_rank, similarity), q and turns to sc, the pool's scores.
+RERANK_SQL = f"""pool AS (SELECT coalesce(m.query_id, w.query_id) AS query_id, coalesce(m.turn_id, w.turn_id) AS turn_id, m_rank, w_rank, similarity FROM mean_l m FULL JOIN words_l w ON m.query_id = w.query_id AND m.turn_id = w.turn_id),
 ask2 AS (SELECT query_id, list_filter(list_distinct(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 2)), lambda x: x NOT IN ({_STOP})) AS asked FROM q),
 bags AS (SELECT turn_id, session_id, list_distinct(list_filter(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS bag FROM turns WHERE turn_id IN (SELECT turn_id FROM pool)),
 p2 AS (SELECT p.*, a.asked, b.session_id, b.bag, list_filter(a.asked, lambda x: list_contains(b.bag, x) OR (regexp_matches(x, '[^\\x00-\\x7F]') AND len(list_filter(b.bag, lambda y: starts_with(y, x))) > 0)) AS found FROM pool p JOIN ask2 a USING (query_id) JOIN bags b USING (turn_id)),
@@ -313,15 +307,45 @@ feat AS (SELECT p2.*, coalesce(60.0 / (60 + m_rank), 0) AS meaning, coalesce(60.
   len(found)::DOUBLE / greatest(len(asked), 1) AS overlap, coalesce(fr, 0) / (CASE WHEN coalesce(total, 0) = 0 THEN 1 ELSE total END) AS rare_overlap,
   len(list_filter(asked, lambda x: len(list_filter(bag, lambda y: starts_with(y, x))) > 0))::DOUBLE / greatest(len(asked), 1) AS prefix_overlap,
   ln(count(*) OVER (PARTITION BY query_id, session_id)) AS session_hits, max(coalesce(similarity, 0)) OVER (PARTITION BY query_id, session_id) AS session_best FROM p2 LEFT JOIN tot USING (query_id) LEFT JOIN fr USING (query_id, turn_id)),
-sc AS (SELECT *, {_W["meaning"]}::DOUBLE * meaning + {_W["words"]}::DOUBLE * words + {_W["similarity"]}::DOUBLE * sim0 + {_W["both"]}::DOUBLE * both_l + {_W["overlap"]}::DOUBLE * overlap + {_W["rare_overlap"]}::DOUBLE * rare_overlap + {_W["prefix_overlap"]}::DOUBLE * prefix_overlap + {_W["session_hits"]}::DOUBLE * session_hits + {_W["session_best"]}::DOUBLE * session_best AS score2 FROM feat)
-SELECT query_id, turn_id, round(score2, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score2, 9) DESC, m_rank NULLS LAST, w_rank NULLS LAST, turn_id) AS place FROM sc) WHERE place <= 15""")
+sc AS (SELECT *, {_W["meaning"]}::DOUBLE * meaning + {_W["words"]}::DOUBLE * words + {_W["similarity"]}::DOUBLE * sim0 + {_W["both"]}::DOUBLE * both_l + {_W["overlap"]}::DOUBLE * overlap + {_W["rare_overlap"]}::DOUBLE * rare_overlap + {_W["prefix_overlap"]}::DOUBLE * prefix_overlap + {_W["session_hits"]}::DOUBLE * session_hits + {_W["session_best"]}::DOUBLE * session_best AS score2 FROM feat),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score2, 9) DESC, m_rank NULLS LAST, w_rank NULLS LAST, turn_id) AS place FROM sc)"""
+
+#: From q and turns to sims: similarity of every question and 500-character piece under the hashing embedder.
+MEANING_SQL = """pcs AS (SELECT turn_id, s AS start, substring(content, s + 1, 500) AS piece FROM (SELECT turn_id, content, unnest(range(0, greatest(len(content), 1), 500)) AS s FROM turns) WHERE len(trim(substring(content, s + 1, 500))) > 0),
+pw AS (SELECT turn_id, start, md5(w) AS h FROM (SELECT turn_id, start, unnest(string_split_regex(lower(piece), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM pcs) WHERE w <> ''),
+pv AS (SELECT turn_id, start, ('0x' || h[1:6])::INT % 64 AS d, sum(CASE WHEN h[7] >= '8' THEN 1.0::DOUBLE ELSE -1 END) AS x FROM pw GROUP BY ALL),
+pn AS (SELECT turn_id, start, sqrt(sum(x * x)) AS n FROM pv GROUP BY ALL),
+qw AS (SELECT query_id, md5(w) AS h FROM (SELECT query_id, unnest(string_split_regex(lower(query), '[ \\t\\n\\x0b\\f\\r]+')) AS w FROM q) WHERE w <> ''),
+qv AS (SELECT query_id, ('0x' || h[1:6])::INT % 64 AS d, sum(CASE WHEN h[7] >= '8' THEN 1.0::DOUBLE ELSE -1 END) AS x FROM qw GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM qv GROUP BY ALL),
+dots AS (SELECT query_id, turn_id, start, sum(pv.x * qv.x) AS dot FROM qv JOIN pv USING (d) GROUP BY ALL),
+sims AS (SELECT q.query_id, pcs.turn_id, pcs.start, round(CASE WHEN pn.n > 0 AND qn.n > 0 THEN coalesce(dot, 0) / (pn.n * qn.n) ELSE 0 END, 9) AS similarity
+  FROM q CROSS JOIN pcs LEFT JOIN pn USING (turn_id, start) LEFT JOIN qn USING (query_id) LEFT JOIN dots ON dots.query_id = q.query_id AND dots.turn_id = pcs.turn_id AND dots.start = pcs.start)"""
+
+
+@query("rerank_formula", f"""WITH {DOC_TURNS}, {_QUESTIONS}, {_BM25},
+words_l AS (SELECT query_id, turn_id, place - 1 AS w_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), revision DESC, turn_id) AS place FROM s JOIN turns USING (turn_id)) WHERE place <= 20),
+sim AS (SELECT a.vec_id AS query_id, 'document-' || v.vec_id AS turn_id, v.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN q ON q.query_id = a.vec_id CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) v),
+mean_l AS (SELECT query_id, turn_id, m_rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) - 1 AS m_rank FROM sim) WHERE m_rank < 20),
+{RERANK_SQL}
+SELECT query_id, turn_id, round(score2, 6) AS score, place FROM reranked WHERE place <= 15""")
 def rerank_formula(spark, d):
-    turns, asked, meaning, words = _pool(spark, d)
+    """The weights on word hits and the cosines of given vectors: a document's is that of its id, a question's that of its."""
+    turns, asked, v = t.document_turns(spark, d), t.questions(spark, d), t.read(spark, d, "embeddings")
+    words = lexical.search(turns, asked, limit=20).select("query_id", "turn_id", (F.col("place") - 1).alias("rank"))
+    held = v.join(turns.select(F.col("revision").alias("vec_id")), "vec_id", "left_semi")
+    hits = vectors.top_k(held, v.select(F.col("vec_id").alias("query_id"), "embedding").join(asked.select("query_id"), "query_id", "left_semi"), 20)
+    meaning = hits.select("query_id", F.concat(F.lit("document-"), F.col("vec_id")).alias("turn_id"), (F.col("place") - 1).alias("rank"), F.round("similarity", 6).alias("similarity"))
     out = ranking.rerank(ranking.features(asked, meaning, words, turns), 15)
     return out.select("query_id", "turn_id", F.round("score", 6).alias("score"), "place")
 
 
-@query("rerank_linear")
+@query("rerank_linear", f"""WITH {DOC_TURNS}, {_QUESTIONS}, {_BM25}, {MEANING_SQL},
+words_l AS (SELECT query_id, turn_id, place - 1 AS w_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), revision DESC, turn_id) AS place FROM s JOIN turns USING (turn_id)) WHERE place <= {POOL}),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, turn_id ORDER BY similarity DESC, start) AS n FROM sims),
+mean_l AS (SELECT query_id, turn_id, m_rank, round(similarity, 4) AS similarity FROM (SELECT best.*, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, revision, start, turn_id) - 1 AS m_rank FROM best JOIN turns USING (turn_id) WHERE n = 1) WHERE m_rank < {POOL}),
+{RERANK_SQL}
+SELECT query_id, turn_id, round(score2, 6) AS score, place FROM reranked WHERE place <= 15""")
 def rerank_linear(spark, d):
     turns, asked, meaning, words = _whole_pool(spark, d)
     out = ranking.rerank(ranking.features(asked, meaning, words, turns), 15)

@@ -1,49 +1,21 @@
-"""Word search: postings, corpus statistics, and BM25 over prefix terms for a batch of questions."""
+"""Word search for a batch of questions: BM25 over prefix terms, and scoring by stems."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import query_terms, stem, tokens
+from evidentia.functions.text import stem
+from evidentia.operators.recall_index import held_blocks, search_blocks, word_blocks
 
-K1, B = 1.2, 0.75
-
-
-def postings(turns: DataFrame) -> DataFrame:
-    """turn_id, term, tf, len for turns(turn_id, content); len counts all tokens of the turn."""
-    words = turns.select("turn_id", tokens(F.col("content")).alias("words"))
-    words = words.select("turn_id", F.size("words").alias("len"), F.explode("words").alias("term"))
-    return words.groupBy("turn_id", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def search(turns: DataFrame, queries: DataFrame, *, limit: int = 100, post: DataFrame | None = None) -> DataFrame:
+def search(turns: DataFrame, queries: DataFrame, *, limit: int = 100) -> DataFrame:
     """query_id, turn_id, score, place: the best turns of each question, smaller scores first.
 
-    A question's terms are joined to the vocabulary by prefix, and only then to the postings; terms
-    that no word starts with drop out there. Frequencies count all words with the prefix. Scope and
-    time filters of queries (scopes, until) apply after scoring and before the limit.
+    turns(turn_id, content, and optionally session_id, scope, role, happened_at, revision) are put into blocks of
+    postings once, which are scored as those of a stored index are (recall_index). Frequencies count all words with an asked
+    prefix. Conditions of queries (scopes, since, until) apply after scoring and before the limit. turn_id is a text.
     """
-    post = postings(turns) if post is None else post
-    asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("prefix"))
-    size = turns.select("turn_id", F.size(tokens(F.col("content"))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    # prefixes meet the vocabulary by their first two characters, so no pair of others is tried
-    vocabulary = post.select("term").distinct().withColumn("_head", F.substring("term", 1, 2))
-    wanted = asked.select("prefix").distinct().withColumn("_head", F.substring("prefix", 1, 2))
-    words = wanted.join(vocabulary, "_head").filter(F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
-    hits = post.join(words, "term").groupBy("prefix", "turn_id", "len").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(size).withColumn("idf", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    weighed = hits.join(idf, "prefix").withColumn("w", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean"))))
-    scored = asked.join(weighed, "prefix").groupBy("query_id", "turn_id").agg((-F.sum("w")).alias("score"))
-    found = scored.join(turns.drop("content"), "turn_id")
-    if "scopes" in queries.columns:
-        found = found.join(queries.select("query_id", "scopes"), "query_id").filter(F.col("scopes").isNull() | F.array_contains("scopes", F.col("scope")))
-    if "until" in queries.columns:
-        found = found.join(queries.select("query_id", "until"), "query_id").filter(F.col("until").isNull() | (F.col("happened_at") <= F.col("until")))
-    newest = [F.desc(c) for c in ("happened_at", "revision") if c in turns.columns]
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9), *newest, "turn_id")
-    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= limit)
+    return search_blocks(held_blocks(word_blocks(turns)), queries, limit=limit)
 
 
 #: Words without weight in the stemmed scoring.

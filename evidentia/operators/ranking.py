@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import STOP_WORDS, bag, has_word, query_terms
+from evidentia.functions.text import STOP_WORDS, bag, query_terms
+from evidentia.sources.scratch import kept
 
 CONSTANT = 60
 #: Learned weights.
@@ -23,22 +24,32 @@ def features(queries: DataFrame, meaning: DataFrame, words: DataFrame, turns: Da
     """The re-ranker's features for the pool of both lists.
 
     queries(query_id, query); meaning(query_id, turn_id, rank, similarity); words(query_id, turn_id,
-    rank); turns(turn_id, session_id, content). All statistics are those of a question's pool.
+    rank); turns(turn_id, session_id, content). All statistics are those of a question's pool. Asked words meet the
+    words of the pool's own turns by turn and first two characters, so no turn is searched word by word.
     """
     m = meaning.select("query_id", "turn_id", F.col("rank").alias("m_rank"), "similarity")
     w = words.select("query_id", "turn_id", F.col("rank").alias("w_rank"))
-    pool = m.join(w, ["query_id", "turn_id"], "full_outer")
-    asked = queries.select("query_id", F.filter(query_terms(F.col("query")), lambda t: ~t.isin(STOP_WORDS)).alias("asked"))
-    pool = pool.join(turns.select("turn_id", "session_id", bag(F.col("content")).alias("bag")), "turn_id").join(asked, "query_id")
-    pool = pool.withColumn("found", F.filter("asked", lambda t: has_word(F.col("bag"), t)))
-    per_query, per_session = Window.partitionBy("query_id"), Window.partitionBy("query_id", "session_id")
-    terms = pool.select("query_id", F.explode("found").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    df = terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("df"))
-    pool = pool.withColumn("pool", F.count(F.lit(1)).over(per_query)).join(df, "query_id", "left")
-    rare = lambda t: F.log((F.col("pool") + 1) / (F.coalesce(F.try_element_at("df", t), F.lit(0)) + 0.5))
-    total = lambda c: F.aggregate(F.transform(c, rare), F.lit(0.0), lambda a, x: a + x)
-    share = F.greatest(F.size("asked"), F.lit(1))
-    return pool.select(
+    both = kept(m.join(w, ["query_id", "turn_id"], "full_outer"))
+    ids = both.select("turn_id").distinct()
+    held = kept(turns.join(ids, "turn_id", "left_semi").select("turn_id", "session_id", bag(F.col("content")).alias("bag")))
+    head = F.substring("term", 1, 2).alias("head")
+    said = held.select("turn_id", F.explode("bag").alias("term")).select("turn_id", F.col("term").alias("word"), head)
+    asked = kept(queries.select("query_id", F.explode(F.filter(query_terms(F.col("query")), lambda t: ~t.isin(STOP_WORDS))).alias("term")))
+    pool = both.join(held.select("turn_id", "session_id"), "turn_id")
+    wanted = pool.select("query_id", "turn_id").join(asked, "query_id").select("query_id", "turn_id", "term", head)
+    met = wanted.join(said, ["turn_id", "head"]).filter(F.col("word").startswith(F.col("term"))).groupBy("query_id", "turn_id", "term").agg(F.max(F.col("word") == F.col("term")).alias("exact"))
+    met = kept(met.withColumn("found", F.col("exact") | F.col("term").rlike(r"[^\x00-\x7F]")))
+    sizes = pool.groupBy("query_id").agg(F.count(F.lit(1)).alias("pool"))
+    df = met.filter("found").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    rare = asked.join(sizes, "query_id").join(df, ["query_id", "term"], "left").withColumn("rare", F.log((F.col("pool") + 1) / (F.coalesce("df", F.lit(0)) + 0.5))).select("query_id", "term", "rare")
+    whole = rare.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.sum("rare").alias("total"))
+    found = F.when(F.col("found"), F.lit(1))
+    own = met.join(rare, ["query_id", "term"]).groupBy("query_id", "turn_id").agg(F.count(found).alias("n_found"), F.count(F.lit(1)).alias("n_prefix"), F.sum(F.when(F.col("found"), F.col("rare"))).alias("found_rare"))
+    rows = pool.join(own, ["query_id", "turn_id"], "left").join(whole, "query_id", "left")
+    share = F.greatest(F.coalesce("asked", F.lit(0)), F.lit(1))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    per_session = Window.partitionBy("query_id", "session_id")
+    return rows.select(
         "query_id",
         "turn_id",
         "m_rank",
@@ -47,9 +58,9 @@ def features(queries: DataFrame, meaning: DataFrame, words: DataFrame, turns: Da
         F.coalesce(CONSTANT / (CONSTANT + F.col("w_rank")), F.lit(0.0)).alias("words"),
         F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
         (F.col("m_rank").isNotNull() & F.col("w_rank").isNotNull()).cast("double").alias("both"),
-        (F.size("found") / share).alias("overlap"),
-        (total("found") / F.when(total("asked") == 0, 1.0).otherwise(total("asked"))).alias("rare_overlap"),
-        (F.size(F.filter("asked", lambda t: F.exists("bag", lambda b: b.startswith(t)))) / share).alias("prefix_overlap"),
+        (count("n_found") / share).alias("overlap"),
+        (F.coalesce("found_rare", F.lit(0.0)) / F.when(F.coalesce("total", F.lit(0.0)) == 0, 1.0).otherwise(F.col("total"))).alias("rare_overlap"),
+        (count("n_prefix") / share).alias("prefix_overlap"),
         F.log(F.count(F.lit(1)).over(per_session).cast("double")).alias("session_hits"),
         F.max(F.coalesce("similarity", F.lit(0.0))).over(per_session).alias("session_best"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,119 +28,48 @@ def normalised(a: Column) -> Column:
 
 
 def hashing_embedder(dims: int = 64):
-    """A deterministic stand-in for a model: words hashed to signed dimensions, then normalised."""
+    """A deterministic stand-in for a model: words hashed to signed dimensions and counted, so cosines are exact in SQL too."""
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], {}
         for text in texts:
             v = np.zeros(dims, dtype=np.float32)
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                v[h % dims] += 1.0 if h >> 63 else -1.0
-            norm = float(np.linalg.norm(v))
-            out.append((v / norm if norm else v).tolist())
+            for word in re.split("[ \t\n\x0b\f\r]+", (text or "").lower()):
+                if not word:
+                    continue
+                if (at := known.get(word)) is None:
+                    h = hashlib.md5(word.encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+                    at = known[word] = int(h[:6], 16) % dims, 1.0 if h[6] >= "8" else -1.0
+                v[at[0]] += at[1]
+            out.append(v.tolist())
         return pd.Series(out)
 
     return embed
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 256) -> DataFrame:
-    """query_id, vec_id, similarity, place: exact cosine in two stages.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, similarity, place: exact cosine of vectors(vec_id, embedding) for queries(query_id, embedding).
 
-    vectors(vec_id, embedding) are scanned in Arrow batches against a block of queries
-    (query_id, embedding); each batch keeps its own k best, and a window picks the k best of those.
-    Queries come in blocks so that no more than `block` of them are held by a task.
+    Blocks of vectors meet blocks of questions by a keyed join and leave their k best; a window picks the k best of those. Rows without a
+    vector, or with one of another length than the question's, are not found. Ties go to the lower vec_id.
     """
-    out = None
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    batch: list = []
-
-    def scan(block_rows: list) -> DataFrame:
-        ids = [r["query_id"] for r in block_rows]
-        q = np.array([r["embedding"] for r in block_rows], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                v = np.array(frame["embedding"].tolist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                sim, vec = q @ v.T, frame["vec_id"].to_numpy()
-                for i, row in enumerate(sim):
-                    # the k-th best value and all that tie with it stay, so ties are settled by id later
-                    floor = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    keep = np.flatnonzero(row >= floor - 1e-12)
-                    yield pd.DataFrame({"query_id": ids[i], "vec_id": vec[keep], "similarity": row[keep]})
-
-        kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
-        return vectors.select("vec_id", "embedding").mapInPandas(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
-
-    for r in rows:
-        batch.append(r)
-        if len(batch) == block:
-            out, batch = (scan(batch) if out is None else out.unionByName(scan(batch))), []
-    if batch or out is None:
-        out = scan(batch) if out is None else out.unionByName(scan(batch))
-    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
-    return out.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-
-
-def best_groups(vectors: DataFrame, queries: DataFrame, k: int | None = None, *, block: int = 256) -> DataFrame:
+    rows = vectors.select(F.col("vec_id").alias("turn_id"), F.col("vec_id").alias("revision"), F.lit(0).alias("start"), "embedding")
+    return best_groups(rows, queries, k).select("query_id", F.col("turn_id").alias("vec_id"), "similarity", "place")
+
+
+def best_groups(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """query_id, turn_id, revision, start, similarity: the best piece of each turn, exactly; with k, of the k best turns, and place.
 
-    vectors(turn_id, revision, start, embedding) are scanned like those of top_k. Every batch keeps the
-    best piece of each of its turns, and with k only its own k best turns: a turn among the k best of all
-    is among those of the batch that holds its best piece. Similarities are rounded to nine places; ties
-    go to the lower revision, then start, then turn.
+    vectors(turn_id, revision, start, embedding) are scanned like those of top_k: a turn among the k best of all
+    is among those of the task that holds its best piece. Similarities are rounded to nine places; ties
+    go to the lower revision, then start, then turn as text.
     """
-    kinds = [queries.schema["query_id"].dataType.simpleString()] + [vectors.schema[c].dataType.simpleString() for c in ("turn_id", "revision", "start")]
-    schema = "query_id {}, turn_id {}, revision {}, start {}, similarity double".format(*kinds)
-    pieces = vectors.select("turn_id", "revision", "start", "embedding")
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    out, batch = None, []
-
-    def scan(block_rows: list) -> DataFrame:
-        ids = [r["query_id"] for r in block_rows]
-        q = np.array([r["embedding"] for r in block_rows], dtype=np.float64)
-        if len(q):
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame) or not ids:
-                    continue
-                frame = frame.sort_values(["turn_id", "revision", "start"], kind="stable").reset_index(drop=True)
-                v = np.array(frame["embedding"].tolist(), dtype=np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                turn, revision, start = (frame[c].to_numpy() for c in ("turn_id", "revision", "start"))
-                first = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1]]))
-                group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(turn))))
-                for i, row in enumerate(np.round(q @ v.T, 9)):
-                    best = np.maximum.reduceat(row, first)
-                    at = np.flatnonzero(row == best[group])
-                    at = at[np.concatenate([[True], group[at[1:]] != group[at[:-1]]])]  # the first of a turn's ties
-                    if k is not None and len(at) > k:
-                        at = at[row[at] >= np.partition(row[at], -k)[-k]]
-                        at = at[np.lexsort((start[at], revision[at], -row[at]))] if len(at) > k else at
-                        # ties beyond the k-th are told apart by the turn, which a stable sort keeps in order
-                        at = at[:k]
-                    yield pd.DataFrame({"query_id": ids[i], "turn_id": turn[at], "revision": revision[at], "start": start[at], "similarity": row[at]})
-
-        return pieces.mapInPandas(run, schema)
-
-    for r in rows:
-        batch.append(r)
-        if len(batch) == block:
-            out, batch = (scan(batch) if out is None else out.unionByName(scan(batch))), []
-    if batch or out is None:
-        out = scan(batch) if out is None else out.unionByName(scan(batch))
-    best = best_piece(out)
-    if k is None:
-        return best
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "revision", "start", "turn_id")
-    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    from evidentia.operators.recall_index import similar_blocks, vector_blocks
+
+    kinds = {c: vectors.schema[c].dataType for c in ("turn_id", "revision", "start")}
+    hits = similar_blocks(vector_blocks(vectors.select(*kinds, "embedding")), queries, limit=k, roles=False)
+    return hits.select("query_id", *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "similarity", *(["place"] if k else []))
 
 
 def best_piece(hits: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import long_query
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,8 +36,8 @@ def document_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id and text: each benchmark item as it is; one of over 1000 characters keeps both ends."""
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), long_query(F.col("text")).alias("query"))
+    """query_id and text: each benchmark item, whole."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.security import redact, redaction_count
 from evidentia.functions.text import strip_blocks
+from evidentia.sources.tail import tail
 
 _BLOCKS = "array<struct<type:string,text:string,name:string>>"
 LINE = "value string, path string, offset long"
@@ -19,28 +16,19 @@ LINE = "value string, path string, offset long"
 def lines(spark: SparkSession, path: str, *, stream: bool = False, **options) -> DataFrame:
     """value, path, offset of complete text lines below path; offset is a line's first byte in its file.
 
-    A last line without a line feed is still being written and left for later. As a stream, its
-    checkpoint holds which files were read; a stream sees whole files, and since offsets depend on the
-    file alone, turns read again carry the ids that they had.
+    A last line without a line feed is still being written and left for later. As a stream, lines appended to a known
+    file come in the next batch (sources.tail has the options); offsets depend on the file alone, so
+    turns read again carry the ids that they had.
     """
-    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl", **options}
     if stream:
-        files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").options(**options).load(path)
-        return files.select("path", "content").mapInPandas(_split_files, "value string, path string, offset long")
+        return tail(spark, path, **options)
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl", **options}
     rows = spark.read.options(**options, lineSep="\n").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
     before = Window.partitionBy("path").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("length", F.octet_length("value") + 1).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     return placed.filter(F.col("offset") + F.col("length") <= F.col("size")).select("value", "path", F.col("offset").cast("long").alias("offset"))
 
 
-def _split_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            whole = content.split(b"\n")[:-1]
-            starts = accumulate((len(x) + 1 for x in whole), initial=0)
-            yield pd.DataFrame({"value": [x.decode("utf-8", "replace") for x in whole], "path": path, "offset": [at for at, _ in zip(starts, whole)]}, columns=["value", "path", "offset"]).astype({"offset": "int64"})
-
-
 def _texts(content: Column) -> Column:
     """Text of a content field that is a string or an array of blocks; other blocks leave. A text that only starts like an array is a text."""
     blocks = F.from_json(content, _BLOCKS)
@@ -144,13 +132,21 @@ def documents(spark: SparkSession, root: str, most_bytes: int = 2 << 20, seen: D
     return files.withColumn("content", F.decode("content", "UTF-8"))
 
 
+LOG_BATCH_BYTES = 8 << 20
 LOG = "kind string, device string, written_at string, record map<string,string>"
 
 
-def device_log(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
-    """Log lines kind, id, device, written_at, record; torn lines leave."""
-    reader = spark.readStream.option("maxFilesPerTrigger", "64") if stream else spark.read
-    rows = reader.format("text").schema("value string").load(path).select(F.from_json("value", LOG).alias("x")).select("x.*")
+def device_log(spark: SparkSession, path: str, *, stream: bool = False, **options) -> DataFrame:
+    """Log lines kind, id, device, written_at, record below a folder; torn lines leave.
+
+    As a stream, at most 8 MiB a batch if the stream's checkpoint is given; a log that a sync client replaced is read again.
+    """
+    if stream:
+        budget = {"max_bytes": LOG_BATCH_BYTES} if "checkpoint" in options else {}
+        lines = tail(spark, path, on_bad="replace", **budget | options).select("value")
+    else:
+        lines = spark.read.format("text").schema("value string").load(path)
+    rows = lines.select(F.from_json("value", LOG).alias("x")).select("x.*")
     return rows.filter("kind IS NOT NULL").withColumn("id", F.coalesce(F.col("record")["id"], F.col("record")["turn_id"], F.col("record")["memory_id"]))
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.sources.scratch import kept
+
 
 def capture(turns: DataFrame, path: str, checkpoint: str, tombstones_path: str | None = None):
     """Append a stream of turns to Parquet exactly once: known ids and forgotten ids leave in each batch."""
@@ -84,13 +86,21 @@ def watch_deletions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(deletion_talk, QUIET_OUT, QUIET_STATE, "append", "NoTimeout")
 
 
-def drain_outbox(outbox: DataFrame, send, sent_path: str) -> None:
-    """Send what waits, oldest first, and note it; a failed send leaves it for the next time."""
+def drain_outbox(outbox: DataFrame, send, sent_path: str) -> int:
+    """Send what waits, oldest first, and note it; a failed send leaves it for the next time. How many were sent.
+
+    What waits is checkpointed first: the rows that are sent are those that are noted, whatever arrives
+    meanwhile. A run that stops between sending and noting sends them again, so receivers know rows by id.
+    """
     spark = outbox.sparkSession
     try:
         outbox = outbox.join(spark.read.schema("id string").parquet(sent_path), "id", "left_anti")
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    send(outbox.orderBy("written_at"))
-    outbox.select("id").write.mode("append").parquet(sent_path)
+    waiting = kept(outbox)
+    found = waiting.count()
+    if found:
+        send(waiting.orderBy("written_at"))
+        waiting.select("id").write.mode("append").parquet(sent_path)
+    return found

@@ -46,7 +46,7 @@ def test_best_groups_equal_brute_force_over_blocks_and_batches(spark):
     want = brute_groups(pieces, asked)
     for k in (None, 10):
         got = {}
-        for r in vectors.best_groups(v, q, k, block=3).collect():
+        for r in vectors.best_groups(v, q, k).collect():
             got.setdefault(r.query_id, []).append(((-r.similarity, r.revision, r.start), r.turn_id))
         assert {x: sorted(y) for x, y in got.items()} == {x: y[:k] for x, y in want.items()}
 
