@@ -162,10 +162,21 @@ def memory_validation(spark, d):
 # ---- text ------------------------------------------------------------------------------------
 
 
-@query("query_terms_particles", """SELECT * FROM (VALUES (1, 'caroline'), (2, '모임'), (3, '콩이'), (4, '콩이'), (5, 'what breed is my dog'), (6, '서울 부산')) v(id, terms)""")
+_NOUNS = ["모임", "콩이", "서울", "부산", "프로젝트"]
+_PARTICLES = ", ".join(f"'{w}'" for w in tx.PARTICLES)
+_LONGEST = "|".join(sorted(tx.PARTICLES, key=len, reverse=True))
+
+
+@query("query_terms_particles", f"""WITH a AS (SELECT item_id AS id, lower(substring(text, 1, 80) || ' ' || ({_NOUNS})[item_id % 5 + 1] || ([{_PARTICLES}])[item_id % {len(tx.PARTICLES)} + 1] || ' ' || split_part(text, ' ', 1) || ([{_PARTICLES}])[item_id * 7 % {len(tx.PARTICLES)} + 1]) AS q FROM benchmark),
+w AS (SELECT id, unnest(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}]+')) AS word FROM a),
+r AS (SELECT id, word, unnest(regexp_extract_all(word, '[가-힣]+|[^가-힣]+')) AS run FROM w)
+SELECT id, string_agg(term, ' ' ORDER BY term) AS terms FROM (SELECT DISTINCT id, regexp_replace(run, '^([가-힣]{{2,}}?)(?:{_LONGEST})$', '\\1') AS term FROM r WHERE NOT (run IN ({_PARTICLES}) AND run <> word)) WHERE len(term) >= 2 GROUP BY id""")
 def query_terms_particles(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (1, 'Caroline은'), (2, '모임에'), (3, '콩이'), (4, '콩이가'), (5, 'What breed is my dog?'), (6, '서울에서 부산까지') v(id, q)")
-    return rows.select("id", F.array_join(tx.query_terms(F.col("q")), " ").alias("terms"))
+    """Each benchmark item's start with a Korean noun and a foreign word behind it, both with a particle."""
+    i, n = F.col("item_id"), len(tx.PARTICLES)
+    pick = lambda names, k: F.try_element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    q = F.concat(F.substring("text", 1, 80), F.lit(" "), pick(_NOUNS, i % 5), pick(tx.PARTICLES, i % n), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1)), pick(tx.PARTICLES, i * 7 % n))
+    return t.read(spark, d, "benchmark").select(i.alias("id"), F.array_join(F.array_sort(tx.query_terms(q)), " ").alias("terms"))
 
 
 @query("pieces_500", """SELECT doc_id, s AS start, substring(text, s + 1, 500) AS piece FROM (SELECT doc_id, text, unnest(range(0, greatest(len(text), 1), 500)) AS s FROM documents) WHERE len(trim(substring(text, s + 1, 500))) > 0""")

@@ -420,13 +420,22 @@ def date_offsets(spark, d):
 
 # ---- routers and gates -----------------------------------------------------------------------
 
-_ASKS = ["how many dogs do I have", "What did we decide yesterday?", "print hello", "what is my name", "언제부터 그랬지", "우리 프로젝트 문서", "as of March, who led?", ""]
+#: What follows a benchmark item, by its number: cues of both kinds in two languages, and nothing.
+_ASKS = ["", " how many dogs do I have", " print hello", " What did we decide yesterday?", " 언제부터 그랬지", " 우리 프로젝트 문서", " as of March, who led?", " resume"]
+_ASKS_SQL = "[" + ", ".join("'" + x + "'" for x in _ASKS) + "]"
+_POLICIES = ["auto", "auto", "auto", "NEVER", "always", "sometimes"]
 
 
-@query("recall_router", """SELECT * FROM (VALUES (0, 'EXECUTE'), (1, 'SEARCH'), (2, 'SKIP'), (3, 'SEARCH'), (4, 'EXECUTE'), (5, 'SEARCH'), (6, 'EXECUTE'), (7, 'ERROR')) v(id, mode)""")
+@query("recall_router", f"""WITH {TURNS}, a AS (SELECT 'item-' || item_id AS id, text || {_ASKS_SQL}[item_id % 8 + 1] AS said, (['auto', 'auto', 'auto', 'NEVER', 'always', 'sometimes'])[item_id // 8 % 6 + 1] AS policy FROM benchmark
+  UNION ALL SELECT turn_id, CASE WHEN source_ordinal = 5 THEN '  ' ELSE content END, 'auto' FROM turns)
+SELECT id, CASE WHEN len(trim(coalesce(said, ''))) = 0 OR lower(policy) NOT IN ('auto', 'always', 'never') THEN 'ERROR' WHEN lower(policy) = 'never' THEN 'SKIP' WHEN lower(policy) = 'always' THEN 'SEARCH' WHEN regexp_matches(said, '{classify.EXECUTE_CUES}') THEN 'EXECUTE' WHEN regexp_matches(said, '{classify.SEARCH_CUES}') THEN 'SEARCH' ELSE 'SKIP' END AS mode FROM a""")
 def recall_router(spark, d):
-    rows = spark.sql("SELECT posexplode(array(" + ", ".join(f"'{x}'" for x in _ASKS) + ")) AS (id, q)")
-    return rows.select("id", classify.decide_recall(F.col("q"))["mode"].alias("mode"))
+    """Benchmark items with a cue behind them under several policies, and conversation turns as they are."""
+    i = F.col("item_id")
+    pick = lambda names, n: F.try_element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    items = t.read(spark, d, "benchmark").select(F.concat(F.lit("item-"), i).alias("id"), F.concat("text", pick(_ASKS, i % 8)).alias("said"), pick(_POLICIES, F.expr("item_id div 8 % 6")).alias("policy"))
+    turns = t.turns(spark, d).select(F.col("turn_id").alias("id"), F.when(F.col("source_ordinal") == 5, "  ").otherwise(F.col("content")).alias("said"), F.lit("auto").alias("policy"))
+    return items.unionByName(turns).select("id", classify.decide_recall(F.col("said"), F.col("policy"))["mode"].alias("mode"))
 
 
 @query("durable_turns", f"""WITH {TURNS} SELECT CASE WHEN role <> 'user' THEN 'NON_USER_TURN' WHEN len(trim(content)) = 0 THEN 'EMPTY_TURN' WHEN contains(content, '[REDACTED') THEN 'REDACTED_CONTENT_REQUIRES_REVIEW' WHEN len(trim(content)) > 2000 THEN 'LONG_CONTENT_REQUIRES_REVIEW' WHEN ends_with(trim(content), '?') THEN 'CURRENT_OR_GENERAL_QUESTION' ELSE 'NO_EXPLICIT_DURABLE_SIGNAL' END AS reason, count(*) AS n FROM turns GROUP BY 1""")

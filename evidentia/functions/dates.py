@@ -38,7 +38,7 @@ def _number(text: Column) -> Column:
 
 
 def _month_names() -> dict[str, int]:
-    return {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])} | {"sept": 9}
+    return {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])}
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -59,6 +59,7 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: The phrases that are read.
 _ISO = r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})"
 _NAMED = r"\b([a-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?\b"
 _AGO = r"\b" + _COUNT + r"\s+(day|week|month|year)s?\s+ago\b"
@@ -124,17 +125,28 @@ def _simple(text: Column, anchor: Column) -> Column:
     return _let(_parts(text), lambda p: _rules(p, anchor))
 
 
+#: How many offsets may stand one inside the other ("two weeks before 3 days after ...").
+NESTED = 4
+
+
 def resolve(phrase: Column, anchor: Column) -> Column:
-    """struct<start, end> of a time phrase said on the anchor date; null where it can't be pinned."""
-    text = F.lower(F.trim(phrase))
+    """struct<start, end> of a time phrase said on the anchor date; null where it can't be pinned.
+
+    What follows "two weeks before" is a phrase itself, and may begin with such an offset again, up to NESTED times.
+    """
     offset = r"\b" + _COUNT + r"\s+(day|week|month|year)s?\s+(before|prior to|after|later than)\b(.*)"
-    # both readings through one lambda, so the rules are planned once
-    spans = F.transform(F.array(text, F.regexp_extract(text, offset, 4)), lambda t: _simple(t, anchor))
-    base = spans[1]["start"]
-    sign = F.when(F.regexp_extract(text, offset, 3).isin("before", "prior to"), -1).otherwise(1)
-    steps = _number(F.regexp_extract(text, offset, 1)) * _pick(F.regexp_extract(text, offset, 2), UNIT_DAYS)
-    moved = F.date_add(base, (sign * steps).cast("int"))
-    return F.when(text.rlike(offset) & base.isNotNull(), _span(moved)).otherwise(spans[0])
+    texts = [F.lower(F.trim(phrase))]
+    for _ in range(NESTED):
+        texts.append(F.regexp_extract(texts[-1], offset, 4))
+    # all readings through one lambda, so the rules are planned once; empty texts stand at the end only
+    spans = F.transform(F.filter(F.array(*texts), lambda t: t != ""), lambda t: _simple(t, anchor))
+    value = F.try_element_at(spans, F.lit(NESTED + 1))
+    for i in reversed(range(NESTED)):
+        sign = F.when(F.regexp_extract(texts[i], offset, 3).isin("before", "prior to"), -1).otherwise(1)
+        steps = _number(F.regexp_extract(texts[i], offset, 1)) * _pick(F.regexp_extract(texts[i], offset, 2), UNIT_DAYS)
+        moved = F.date_add(value["start"], (sign * steps).cast("int"))
+        value = F.when(texts[i].rlike(offset) & value["start"].isNotNull(), _span(moved)).otherwise(F.try_element_at(spans, F.lit(i + 1)))
+    return value
 
 
 def from_offset(count: Column, unit: Column, anchor: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.sources.scratch import kept
+
 
 def latest_observation(observations: DataFrame, queries: DataFrame, keys: list[str], *, max_age_seconds: float | None = None) -> DataFrame:
     """As-of join: the last observation(keys, observed_at, value) at or before each query(query_id, keys, as_of).
@@ -31,24 +33,39 @@ def intervals(changes: DataFrame, keys: list[str], at: str = "observed_at") -> D
     return changes.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(Window.partitionBy(*keys).orderBy(at, "evidence_id")))
 
 
-def state_as_of(records: DataFrame, queries: DataFrame, keys: list[str], *, bucket_days: int = 7) -> DataFrame:
+def _islands(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, value, valid_from, valid_to: records of one value that overlap or touch are one; empty ones leave."""
+    rows = records.filter("valid_to IS NULL OR valid_from < valid_to")
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    before = Window.partitionBy(*keys, "value").orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = F.coalesce(F.bool_or(F.col("valid_to").isNull()).over(before), F.lit(False))
+    starts = F.when(open_before | (F.max("valid_to").over(before) >= F.col("valid_from")), 0).otherwise(1)
+    upto = Window.partitionBy(*keys, "value").orderBy("valid_from").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", starts).withColumn("_i", F.sum("_s").over(upto))
+    ended = F.when(F.bool_or(F.col("valid_to").isNull()), F.lit(None)).otherwise(F.max("valid_to"))
+    return rows.groupBy(*keys, "value", "_i").agg(F.min("valid_from").alias("valid_from"), ended.alias("valid_to")).drop("_i")
+
+
+def state_as_of(records: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """The value of the records(keys, valid_from, valid_to, value) that hold at as_of: start included, end not.
 
-    Records are filed under every span of bucket_days that they touch, so the range condition is tested
-    inside one span of one key only. No record, or several values, is UNKNOWN.
+    A sweep: each key's starts, ends and questions are put into one sequence by time, and running sums say at a question
+    how many values hold and, where it is one, which. No record, or several values, is UNKNOWN.
     """
-    width = bucket_days * 86400
-    span = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
-    latest = queries.agg(F.max("as_of").alias("_end"))
-    filed = records.crossJoin(latest).filter(F.col("valid_from") <= F.col("_end"))
-    filed = filed.withColumn("_span", F.explode(F.sequence(span(F.col("valid_from")), span(F.least(F.coalesce("valid_to", "_end"), F.col("_end"))))))
-    asked = queries.withColumn("_span", span(F.col("as_of")))
-    hit = asked.join(filed.select(*keys, "_span", "valid_from", "valid_to", "value"), [*keys, "_span"]).filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("as_of") < F.col("valid_to"))))
-    found = hit.groupBy("query_id").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value"))
-    out = queries.join(found, "query_id", "left")
-    ok = F.coalesce(F.col("n") == 1, F.lit(False))
-    reason = F.when(F.col("n").isNull(), "NO_CERTIFIED_VALID_STATE").when(F.col("n") > 1, "CONFLICTING_VALID_STATES")
-    return out.select("query_id", *keys, F.when(ok, "ANSWER").otherwise("UNKNOWN").alias("status"), reason.alias("reason"), F.when(ok, F.col("value")).alias("value"))
+    held = kept(_islands(records, keys))
+    numbered = held.select(*keys, "value").distinct().withColumn("_id", F.row_number().over(Window.partitionBy(*keys).orderBy("value")))
+    rows = kept(held.join(numbered, [*keys, "value"]))
+    kind = queries.schema["query_id"].dataType
+    event = lambda at, sign: rows.filter(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_asks"), F.lit(sign).alias("_n"), (sign * F.col("_id")).cast("long").alias("_sum"), F.lit(None).cast(kind).alias("query_id"))
+    asked = queries.select(*keys, F.col("as_of").alias("_at"), F.lit(1).alias("_asks"), F.lit(0).alias("_n"), F.lit(0).cast("long").alias("_sum"), "query_id")
+    upto = Window.partitionBy(*keys).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    line = event("valid_from", 1).unionByName(event("valid_to", -1)).unionByName(asked)
+    found = line.withColumns({"_held": F.sum("_n").over(upto), "_which": F.sum("_sum").over(upto)}).filter("_asks = 1")
+    found = found.join(numbered.select(*keys, F.col("_id").alias("_which"), F.lit(1).cast("long").alias("_held"), "value"), [*keys, "_which", "_held"], "left")
+    ok = F.col("_held") == 1
+    reason = F.when(F.col("_held") == 0, "NO_CERTIFIED_VALID_STATE").when(F.col("_held") > 1, "CONFLICTING_VALID_STATES")
+    return found.select("query_id", *keys, F.when(ok, "ANSWER").otherwise("UNKNOWN").alias("status"), reason.alias("reason"), F.when(ok, F.col("value")).alias("value"))
 
 
 def contradicted(answers: DataFrame, observations: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:

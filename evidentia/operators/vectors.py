@@ -9,7 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, IntegralType
+
+from evidentia.functions.text import sentences_at
+from evidentia.sources.generations import Generations
+from evidentia.sources.scratch import kept
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,9 +56,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, similarity, place: exact cosine of vectors(vec_id, embedding) for queries(query_id, embedding).
 
     Blocks of vectors meet blocks of questions by a keyed join and leave their k best; a window picks the k best of those. Rows without a
-    vector, or with one of another length than the question's, are not found. Ties go to the lower vec_id.
+    vector, or with one of another length than the question's, are not found. Ties go to the lower vec_id (as a text, if it is one).
     """
-    rows = vectors.select(F.col("vec_id").alias("turn_id"), F.col("vec_id").alias("revision"), F.lit(0).alias("start"), "embedding")
+    whole = isinstance(vectors.schema["vec_id"].dataType, IntegralType)
+    rows = vectors.select(F.col("vec_id").alias("turn_id"), (F.col("vec_id") if whole else F.lit(0)).alias("revision"), F.lit(0).alias("start"), "embedding")
     return best_groups(rows, queries, k).select("query_id", F.col("turn_id").alias("vec_id"), "similarity", "place")
 
 
@@ -89,3 +94,103 @@ def warm(pieces: DataFrame, cache_path: str, embed, model: str) -> None:
     spark = pieces.sparkSession
     cache = spark.read.schema("key string, embedding array<float>").parquet(cache_path)
     missing(pieces, cache, model).select("key", embed("piece").alias("embedding")).write.mode("append").parquet(cache_path)
+
+
+#: Fixed values of a cache's check: texts embedded again, the fewest that say anything, and the least cosine.
+SAMPLE, FEWEST, LEAST_COSINE = 16, 4, 0.9
+
+
+def sampled(pieces: DataFrame, cache: DataFrame, model: str, sample: int = SAMPLE) -> DataFrame:
+    """key, piece, cached: of the pieces whose vector is cached, those with the smallest seeded hashes of their key; at most `sample` rows."""
+    keyed = pieces.select("piece", F.sha2(F.concat(F.lit(model + "‖"), F.col("piece")), 256).alias("key")).dropDuplicates(["key"])
+    return keyed.join(cache.select("key", F.col("embedding").alias("cached")), "key").orderBy(F.xxhash64("key", F.lit("sample")), "key").limit(sample)
+
+
+def wrong_in_cache(pieces: DataFrame, cache: DataFrame, embed, model: str, sample: int = SAMPLE) -> DataFrame:
+    """key, cosine, nearest, wrong: a sample of cached vectors beside vectors made anew.
+
+    A vector is right if its cosine with the new one of its text is at least 0.9 (a NaN is not) and no other sampled vector is
+    nearer to that. The second test finds vectors dealt to other texts where a model puts all texts close together.
+    """
+    picked = kept(sampled(pieces, cache, model, sample).withColumn("fresh", embed("piece")))
+    pairs = picked.select("key", F.col("fresh").alias("embedding"))
+    number = picked.select("key", F.col("cached").alias("embedding"))
+    nearest = top_k(number.withColumnRenamed("key", "vec_id").filter(~F.exists("embedding", F.isnan)), pairs.withColumnRenamed("key", "query_id"), 1)
+    own = picked.select("key", cosine(F.col("fresh"), F.col("cached")).alias("cosine"))
+    out = own.join(nearest.select(F.col("query_id").alias("key"), F.col("vec_id").alias("nearest")), "key", "left")
+    right = F.coalesce((F.col("cosine") >= LEAST_COSINE) & ~F.isnan("cosine") & (F.col("nearest") == F.col("key")), F.lit(False))
+    return out.withColumn("wrong", ~right)
+
+
+def cache_is_wrong(pieces: DataFrame, cache: DataFrame, embed, model: str, sample: int = SAMPLE) -> bool:
+    """Whether more than half of the sample is wrong; a sample of fewer than four says nothing."""
+    row = wrong_in_cache(pieces, cache, embed, model, sample).agg(F.count(F.lit(1)).alias("n"), F.count_if("wrong").alias("wrong")).first()
+    return row.n >= FEWEST and row.wrong > row.n // 2
+
+
+class VectorCache:
+    """Vectors by key below a folder, in generations: appended, verified, and cleared as a whole behind one pointer."""
+
+    SHAPE = "key string, embedding array<float>"
+
+    def __init__(self, spark, path: str, embed, model: str):
+        self.spark, self.embed, self.model, self.store = spark, embed, model, Generations(spark, path)
+
+    @property
+    def generation(self) -> int:
+        return self.store.state()["generation"]
+
+    def read(self) -> DataFrame:
+        return self.store.read(self.store.state()["segments"], "vectors", self.SHAPE)
+
+    def warm(self, pieces: DataFrame) -> int:
+        """Embed the pieces(piece) that are missing and append them; how many there were."""
+        state = self.store.state()
+        new = kept(missing(pieces, self.read(), self.model).select("key", self.embed("piece").alias("embedding")))
+        found = new.count()
+        if found:
+            name = self.store.segment()
+            self.store.write(new, name, "vectors")
+            self.store.commit(state, segments=[*state["segments"], name])
+        return found
+
+    def merge(self) -> None:
+        """One segment of all; of a key that two writers appended, one vector."""
+        state = self.store.state()
+        name = self.store.segment()
+        self.store.write(self.read().dropDuplicates(["key"]), name, "vectors")
+        self.store.commit(state, segments=[name])
+
+    def clear(self) -> None:
+        state = self.store.state()
+        self.store.commit(state, generation=state["generation"] + 1, segments=[])
+
+    def verify(self, pieces: DataFrame, sample: int = SAMPLE) -> bool:
+        """Clear the cache if it is wrong, and say whether it was."""
+        wrong = cache_is_wrong(pieces, self.read(), self.embed, self.model, sample)
+        if wrong:
+            self.clear()
+        return wrong
+
+
+# ---- sentences ---------------------------------------------------------------------------------
+
+#: Characters before a sentence that are shown with it, and of the stretch in all.
+BEFORE, SHOWN = 150, 500
+
+
+def sentence_rows(turns: DataFrame, embed) -> DataFrame:
+    """turns' columns but content, with start and embedding of every sentence: a finer level than pieces."""
+    cut = turns.withColumn("_s", F.explode(sentences_at("content")))
+    return cut.select(*[c for c in turns.columns if c != "content"], F.col("_s.start").alias("start"), embed(F.col("_s.sentence")).alias("embedding"))
+
+
+def best_sentences(turns: DataFrame, queries: DataFrame, embed, k: int = 100) -> DataFrame:
+    """query_id, turn_id, place, similarity, start, text: turns by their best sentence, shown from 150 characters before it.
+
+    turns(turn_id, revision, content); of equal sentences the lower revision, then the earlier.
+    """
+    rows = sentence_rows(turns.select("turn_id", "revision", "content"), embed)
+    hits = best_groups(rows, queries, k).join(turns.select("turn_id", "content"), "turn_id")
+    start = F.greatest(F.lit(0), F.col("start") - BEFORE)
+    return hits.select("query_id", "turn_id", "place", "similarity", start.alias("start"), F.substring(F.col("content"), start + 1, F.lit(SHOWN)).alias("text"))

@@ -1,7 +1,7 @@
 """Typed plans over event tables: operators that answer only when their guards hold.
 
-Every operator gives rows {status, value, unit, evidence, reason}: ANSWER with a value, or UNKNOWN with
-the reason. compile_plan turns a plan (a dict) into DataFrame operations; operands that nothing uses
+Every operator gives rows {status, value, reason}: ANSWER with a value, or UNKNOWN with
+the reason; plans.execute gives evidence too. compile_plan turns a plan (a dict) into DataFrame operations; operands that nothing uses
 are never built.
 """
 
