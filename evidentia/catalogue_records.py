@@ -117,7 +117,7 @@ vd AS (SELECT query_id, view_no, event_id, sum(vv.x * ee.x) AS dot FROM vv JOIN
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, view_no ORDER BY similarity DESC, event_id) - 1 AS rank FROM (SELECT v.query_id, v.view_no, e.event_id, round(CASE WHEN vn.n > 0 AND en.n > 0 THEN coalesce(dot, 0) / (vn.n * en.n) ELSE 0 END, 9) AS similarity
   FROM views v JOIN ev e USING (query_id) LEFT JOIN vv_n vn USING (query_id, view_no) LEFT JOIN ee_n en ON en.query_id = v.query_id AND en.event_id = e.event_id LEFT JOIN vd ON vd.query_id = v.query_id AND vd.view_no = v.view_no AND vd.event_id = e.event_id)),
 ch AS (SELECT query_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY first, event_id) AS place FROM (SELECT query_id, event_id, min((view_no, rank)) AS first FROM rk WHERE rank < CASE WHEN view_no = 0 THEN 20 ELSE 5 END GROUP BY ALL)),
-ct AS (SELECT query_id, session_id, turn, min((place, at)) AS first FROM (SELECT ch.query_id, ch.place, ev.session_id, unnest([1, 2]) AS at, unnest(cites) AS turn FROM ch JOIN ev USING (query_id, event_id)) GROUP BY ALL),
+ct AS (SELECT query_id, session_id, turn, min((place, nth)) AS first FROM (SELECT ch.query_id, ch.place, ev.session_id, unnest([1, 2]) AS nth, unnest(cites) AS turn FROM ch JOIN ev USING (query_id, event_id)) GROUP BY ALL),
 tx AS (SELECT conv_id::VARCHAR AS session_id, turn, trim(text) AS text FROM conversations WHERE text <> ''),
 se AS (SELECT conv_id % 40 AS query_id, conv_id::VARCHAR AS session_id, strftime(TIMESTAMP '2024-01-01' + to_days((conv_id * 7 % 50)::INT), '%Y-%m-%d') AS session_date, string_agg('TURN_' || turn || ' [' || role || ']: ' || text, chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id),
 an AS (SELECT ct.query_id, 0 AS kind, row_number() OVER (PARTITION BY ct.query_id ORDER BY first) AS place, session_id, 'TURN_' || turn AS turn_id, substring(text, 1, 500) AS text FROM ct JOIN tx USING (session_id, turn)),
@@ -200,14 +200,14 @@ def bounds_widened(spark, d):
     return t.read(spark, d, "orders").select("o_orderkey", shown(False).alias("since"), shown(True).alias("until"))
 
 
-@query("clocks_read", """WITH e AS (SELECT event_id, event_id % 2 = 0 AS utc, strftime(ts, CASE WHEN event_id % 5 = 4 THEN '%Y-%m-%d %H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S' END) || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+02:00' END AS said, ts FROM events)
-SELECT event_id, strftime(CASE WHEN event_id % 5 <> 4 AND ((event_id % 3 <> 0) = utc) THEN date_trunc('second', ts) - CASE WHEN event_id % 3 = 2 THEN INTERVAL '2 hours' ELSE INTERVAL '0 hours' END END, '%Y-%m-%d %H:%M:%S') AS at FROM e""")
+@query("clocks_read", """WITH e AS (SELECT event_id, event_id % 2 = 0 AS utc, CASE WHEN event_id % 5 = 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+02:00' END AS said, ts FROM events)
+SELECT event_id, strftime(CASE WHEN event_id % 5 <> 4 AND ((event_id % 3 <> 0) = utc) THEN date_trunc('second', ts) - CASE WHEN event_id % 3 = 2 THEN INTERVAL '2 hours' ELSE INTERVAL '0 hours' END END, '%Y-%m-%d %H:%M:%S') AS moment FROM e""")
 def clocks_read(spark, d):
     e = F.col("event_id")
     stamp = F.when(e % 5 == 4, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     said = F.concat(stamp, F.when(e % 3 == 0, "").when(e % 3 == 1, "Z").otherwise("+02:00"))
     clock = F.when(e % 2 == 0, "UTC").otherwise("SOURCE_LOCAL")
-    return t.read(spark, d, "events").select("event_id", F.date_format(dates.clocked(said, clock), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return t.read(spark, d, "events").select("event_id", F.date_format(dates.clocked(said, clock), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 @query("dates_enriched", """WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 - 3 END AS n, CASE WHEN o_orderkey % 5 = 1 THEN o_orderdate::DATE - 400 END AS v FROM orders)

@@ -138,31 +138,33 @@ def resolve(phrase: Column, anchor: Column) -> Column:
     texts = [F.lower(F.trim(phrase))]
     for _ in range(NESTED):
         texts.append(F.regexp_extract(texts[-1], offset, 4))
-    # all readings through one lambda, so the rules are planned once; empty texts stand at the end only
-    spans = F.transform(F.filter(F.array(*texts), lambda t: t != ""), lambda t: _simple(t, anchor))
-    value = F.try_element_at(spans, F.lit(NESTED + 1))
-    for i in reversed(range(NESTED)):
-        sign = F.when(F.regexp_extract(texts[i], offset, 3).isin("before", "prior to"), -1).otherwise(1)
-        steps = _number(F.regexp_extract(texts[i], offset, 1)) * _pick(F.regexp_extract(texts[i], offset, 2), UNIT_DAYS)
-        moved = F.date_add(value["start"], (sign * steps).cast("int"))
-        value = F.when(texts[i].rlike(offset) & value["start"].isNotNull(), _span(moved)).otherwise(F.try_element_at(spans, F.lit(i + 1)))
-    return value
+    def reading(t: Column) -> Column:
+        """What a text says by itself, and the days that its offset moves what follows."""
+        sign = F.when(F.regexp_extract(t, offset, 3).isin("before", "prior to"), -1).otherwise(1)
+        steps = _number(F.regexp_extract(t, offset, 1)) * _pick(F.regexp_extract(t, offset, 2), UNIT_DAYS)
+        return F.struct(_simple(t, anchor).alias("span"), (sign * steps).cast("int").alias("move"))
+
+    # all texts through one lambda, so the rules are planned once; empty texts stand at the end only
+    readings = F.reverse(F.transform(F.filter(F.array(*texts), lambda t: t != ""), reading))
+    moved = lambda inner, r: F.when(r["move"].isNotNull() & inner["start"].isNotNull(), _span(F.date_add(inner["start"], r["move"]))).otherwise(r["span"])
+    return F.aggregate(readings, F.lit(None).cast("struct<start:date,end:date>"), moved)
 
 
 def from_offset(count: Column, unit: Column, anchor: Column) -> Column:
-    """struct<start, end> of a counted offset in days, weeks, weekends, months or years."""
+    """struct<start, end> of a counted offset in days, weeks, weekends, months or years; null without a count or an anchor."""
     n = count.cast("int")
     monday = F.date_add(F.date_sub(anchor, F.weekday(anchor)), n * 7)
     saturday = F.date_add(F.date_sub(anchor, F.pmod(F.weekday(anchor) - 5, 7)), n * 7 + F.when(F.weekday(anchor) < 5, 7).otherwise(0))
     month = F.trunc(F.add_months(anchor, n), "month")
     year = F.year(anchor) + n
-    return (
+    span = (
         F.when(unit == "day", _span(F.date_add(anchor, n)))
         .when(unit == "week", _span(monday, F.date_add(monday, 6)))
         .when(unit == "weekend", _span(saturday, F.date_add(saturday, 1)))
         .when(unit == "month", _span(month, F.last_day(month)))
         .when(unit == "year", _span(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31))))
     )
+    return F.when(n.isNotNull() & anchor.isNotNull(), span)
 
 
 def enrich(events, count="time_offset_count", unit="time_offset_unit", phrase="effective_time_text", anchor="session_date"):
