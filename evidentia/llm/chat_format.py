@@ -14,7 +14,7 @@ The loss mask is an array of (start, end) in code points of the formatted text,
 assistant turn, markers excluded.
 
 Defined cases: null text or role counts as empty; null turn sorts first; equal rows are turns of
-their own; a null conv_id is a conversation; an empty table gives an empty result.
+their own; a null conv_id is a conversation; very long texts are formatted whole; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,9 +1,11 @@
 r"""Language identification with a convolutional network over bytes.
 
 Bytes are embedded, filters of several widths slide over windows of WINDOW bytes, each filter keeps
-its maximum over the window, and a softmax over languages follows. Training is in numpy (Adam) on
-all windows of a bounded sample of labelled documents: about SAMPLE_PER_LANGUAGE documents a
-language, chosen by hash within the language.
+its maximum over the window, and a softmax over languages follows. Training is in numpy (Adam): STEPS
+batches of BATCH windows, drawn with equal shares of the languages from a bounded sample. That sample is about
+SAMPLE_PER_LANGUAGE labelled documents a language, chosen by hash within the language, with all their windows if these are
+no more than WINDOWS_PER_LANGUAGE, else about so many, chosen by hash; so the driver holds
+about 8 MB a language, however long the texts are.
 All windows of a whole text are scored and their log-probabilities averaged by length.
 
 For scoring, embedding and filters are folded into tables by byte and byte pair: a filter's response
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from .common import fold
 FOLDS = 4
 HELD_OUT = 2
 SAMPLE_PER_LANGUAGE = 600
+WINDOWS_PER_LANGUAGE = 1 << 16
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -133,8 +137,12 @@ class Network:
 
 
 def _sample_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows of sampled texts; of a language that has too many, those whose hash is below its share."""
     for frame in frames:
-        rows = [(lang, row.tobytes()) for lang, text in zip(frame["lang"], frame["text"], strict=True) if text and _LETTER.search(text) for row in windows(text.encode())]
+        rows = []
+        for lang, text, share in zip(frame["lang"], frame["text"], frame["share"], strict=True):
+            if text and _LETTER.search(text):
+                rows += [(lang, row.tobytes()) for i, row in enumerate(windows(text.encode())) if share >= 1 or xxhash.xxh64_intdigest(row.tobytes(), i & 0xFFFFFFFF) < share * 2**64]
         yield pd.DataFrame(rows, columns=["lang", "data"])
 
 
@@ -147,6 +155,11 @@ def fit(docs: DataFrame) -> Network | None:
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))])
     key = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     sampled = rows.filter(key < F.element_at(share, F.col("lang"))).select("lang", "text")
+    counts = sampled.groupBy("lang").agg(F.sum(F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW))).alias("n")).collect()
+    if not counts:
+        return None
+    of_windows = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, WINDOWS_PER_LANGUAGE / r["n"]))])
+    sampled = sampled.withColumn("share", F.element_at(of_windows, F.col("lang")))
     got = sampled.mapInPandas(_sample_windows, "lang string, data binary").toPandas()
     if got.empty:
         return None

@@ -14,7 +14,8 @@ return to the blocks that asked for them.
 The base score is that of single words with additive smoothing.
 
 Defined cases: null text counts as empty and scores its end symbol; a null id is held out (fold 0);
-rows that repeat are trained and scored each; without training documents every byte has probability
+rows that repeat are trained and scored each; very long texts are trained and scored whole; extra columns are not
+read; without training documents every byte has probability
 1/256; an empty table gives an empty result.
 """
 

@@ -8,7 +8,8 @@ are counted by quantised out-of-fold value, and pooling adjacent violators over
 the monotone map from value to score.
 
 Defined cases: null text counts as empty and is scored; labels without a quality are left out; a
-repeated label counts each time; without usable labels of both kinds every score is the share of
+repeated label counts each time, and repeated documents are scored each; very long texts are read whole; texts of equal
+statistics score alike; extra columns are not read by the fit and kept by accepted; without usable labels of both kinds every score is the share of
 label 1, or 0.5 without any label; an empty table gives an empty result.
 """
 

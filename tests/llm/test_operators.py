@@ -595,3 +595,15 @@ def test_queries_equal_their_sql(spark):
         got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
         plain = lambda df: sorted(repr([None if x is None or x is pd.NA or x != x else round(float(x), 4) if isinstance(x, (int, float, np.number)) else str(x) for x in row]) for row in df.itertuples(index=False, name=None))
         assert plain(got) == plain(want), name
+
+
+def test_language_training_is_bounded_in_windows(spark, monkeypatch):
+    long = " ".join(GOOD.split() * 400)
+    rows = [(i, long if i % 2 else "el la de que y en un ser se no haber por con su para como estar " * 60, "en" if i % 2 else "es") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language.Network, "train", lambda self, data, y, seed=13: (seen.append(collections.Counter(y.tolist())), self._fold()))
+    language.fit(docs)
+    monkeypatch.setattr(language, "WINDOWS_PER_LANGUAGE", 150)
+    language.fit(docs)
+    assert min(seen[0].values()) > 400 and max(seen[1].values()) < 230 and min(seen[1].values()) > 90
