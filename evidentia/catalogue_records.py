@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.catalogue import SQL as SEARCH_SQL
 from evidentia.catalogue import TURNS, _edges
 from evidentia.functions import dates, security
 from evidentia.functions import text as tx
-from evidentia.operators import graph, passages, state_intake, turns as tn, vectors
+from evidentia.operators import evaluate, graph, history, learned, passages, state_intake, turns as tn, vectors
 from evidentia.sources import tables as t
 
 QUERIES: dict = {}
@@ -231,3 +232,52 @@ def previews(spark, d):
     e, kind = F.col("event_id"), F.col("event_type")
     said = F.when(e % 3 == 0, F.concat(kind, F.lit(" by user"), F.col("user_id"), F.lit(' says "'), kind, F.lit('" now'))).when(e % 3 == 1, F.concat(F.lit("mail "), kind, F.lit("@site.org about it"))).otherwise(F.concat(F.lit("plain "), kind))
     return t.read(spark, d, "events").select("event_id", security.preview(said).alias("preview"))
+
+
+# ---- evaluation, repair, ledgers -----------------------------------------------------------------
+
+
+@query("recall_at_100", """WITH r AS (SELECT event_id % 25 AS query_id, event_id AS doc, row_number() OVER (PARTITION BY event_id % 25 ORDER BY md5(event_id::VARCHAR)) AS place FROM events),
+j AS (SELECT event_id % 25 AS query_id, event_id AS doc, (event_type = 'purchase')::INT + (value > 90)::INT AS gain FROM events)
+SELECT query_id, round(avg((place <= 100)::INT), 9) AS recall FROM j JOIN r USING (query_id, doc) WHERE gain > 0 GROUP BY query_id""")
+def recall_at_100(spark, d):
+    e = t.read(spark, d, "events").withColumn("query_id", F.col("event_id") % 25).withColumnRenamed("event_id", "doc")
+    ranked = e.select("query_id", "doc", F.row_number().over(Window.partitionBy("query_id").orderBy(F.md5(F.col("doc").cast("string")))).alias("place"))
+    gain = (F.col("event_type") == "purchase").cast("int") + (F.col("value") > 90).cast("int")
+    return evaluate.recall_at(ranked, e.select("query_id", "doc", gain.alias("gain"))).select("query_id", F.round("recall", 9).alias("recall"))
+
+
+@query("deletions_repaired", """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS change_id, l_suppkey % 20 AS project_id, 'f' || (l_partkey % 400) AS file_path, CASE WHEN l_linenumber % 3 = 0 THEN 'DELETED' ELSE 'MODIFIED' END AS change_kind, l_orderkey * 10 + l_linenumber AS revision FROM lineitem),
+p AS (SELECT DISTINCT p_partkey % 20 AS project_id, 'f' || (p_partkey % 400) AS file_path FROM part WHERE p_size > 20),
+w AS (SELECT change_id FROM (SELECT *, max(revision) OVER (PARTITION BY project_id, file_path) AS last FROM c) JOIN p USING (project_id, file_path) WHERE revision = last AND change_kind = 'DELETED')
+SELECT project_id, count(*) AS changes, count(*) FILTER (change_kind = 'DELETED') AS deletions FROM c WHERE change_id NOT IN (SELECT change_id FROM w) GROUP BY project_id""")
+def deletions_repaired(spark, d):
+    key, file = F.col("l_orderkey") * 10 + F.col("l_linenumber"), lambda c: F.concat(F.lit("f"), F.col(c) % 400)
+    changes = t.read(spark, d, "lineitem").select(key.alias("change_id"), (F.col("l_suppkey") % 20).alias("project_id"), file("l_partkey").alias("file_path"), F.when(F.col("l_linenumber") % 3 == 0, "DELETED").otherwise("MODIFIED").alias("change_kind"), key.alias("revision"))
+    present = t.read(spark, d, "part").filter("p_size > 20").select((F.col("p_partkey") % 20).alias("project_id"), file("p_partkey").alias("file_path"))
+    left, _ = history.repaired(changes, present)
+    return left.groupBy("project_id").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("change_kind") == "DELETED").alias("deletions"))
+
+
+_LEDGERS = """l AS (SELECT n_nationkey AS ledger, n_regionkey * 100 - n_nationkey AS rank, n_nationkey % 6 <> 2 AS reachable FROM nation),
+r AS (SELECT c_nationkey AS ledger, c_custkey % 37 AS project, c_custkey // 3 AS row_id, c_name AS said FROM customer)"""
+
+
+def _ledgers(spark, d):
+    n = F.col("n_nationkey")
+    ledgers = t.read(spark, d, "nation").select(n.alias("ledger"), (F.col("n_regionkey") * 100 - n).alias("rank"), (n % 6 != 2).alias("reachable"))
+    return ledgers, t.read(spark, d, "customer").select(F.col("c_nationkey").alias("ledger"), (F.col("c_custkey") % 37).alias("project"), F.expr("c_custkey div 3").alias("row_id"), F.col("c_name").alias("said"))
+
+
+@query("ledger_chosen", f"""WITH {_LEDGERS}, p AS (SELECT DISTINCT s_suppkey % 41 AS project FROM supplier), h AS (SELECT project, arg_min(ledger, (rank, ledger)) AS ledger FROM r JOIN l USING (ledger) WHERE reachable GROUP BY 1)
+SELECT p.project, CASE WHEN h.ledger IS NOT NULL THEN 'found' WHEN (SELECT bool_or(NOT reachable) FROM l) THEN 'unknown' ELSE 'absent' END AS status, h.ledger FROM p LEFT JOIN h USING (project)""")
+def ledger_chosen(spark, d):
+    ledgers, rows = _ledgers(spark, d)
+    return learned.chosen_ledgers(t.read(spark, d, "supplier").select((F.col("s_suppkey") % 41).alias("project")).distinct(), ledgers, rows)
+
+
+@query("ledgers_fan_in", f"""WITH {_LEDGERS}, o AS (SELECT r.*, row_number() OVER (PARTITION BY row_id ORDER BY rank, ledger, said) AS n, count(*) OVER (PARTITION BY row_id) AS copies FROM r JOIN l USING (ledger) WHERE reachable)
+SELECT row_id, ledger, copies FROM o WHERE n = 1""")
+def ledgers_fan_in(spark, d):
+    ledgers, rows = _ledgers(spark, d)
+    return learned.fan_in(ledgers, rows).select("row_id", "ledger", "copies")

@@ -34,6 +34,14 @@ def ndcg(ranked: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
     return best.join(got, "query_id", "left").select("query_id", F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0).alias("ndcg"))
 
 
+def recall_at(ranked: DataFrame, judged: DataFrame, k: int = 100) -> DataFrame:
+    """query_id, recall: the share of a question's relevant docs (gain above 0) among the first k; questions without any leave."""
+    relevant = judged.filter("gain > 0").select("query_id", "doc").distinct()
+    first = ranked.filter(F.col("place") <= k).select("query_id", "doc").distinct().withColumn("_hit", F.lit(1))
+    met = relevant.join(first, ["query_id", "doc"], "left")
+    return met.groupBy("query_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def first_hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
     """query_id, first_rank, reciprocal for ranked(query_id, doc, place) and relevant(query_id, doc)."""
     hit = ranked.join(relevant, ["query_id", "doc"], "left_semi").groupBy("query_id").agg(F.min("place").alias("first_rank"))

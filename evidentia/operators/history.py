@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import SECTION_SCHEMA, entity_key, section_rows
+from evidentia.sources.scratch import kept
 
 
 def entity_catalogue(rows: DataFrame) -> DataFrame:
@@ -29,6 +30,22 @@ def manifest_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).filter("change IS NOT NULL").select("path", "change", F.col("old").alias("before_sha"), F.col("new").alias("after_sha"))
 
 
+def false_deletions(changes: DataFrame, present: DataFrame) -> DataFrame:
+    """Of changes(change_id, project_id, file_path, change_kind, revision): deletions that nothing followed, of files that are present(project_id, file_path).
+
+    They came from a scan that left the files out; a file deleted and made again has a later change.
+    """
+    last = F.max("revision").over(Window.partitionBy("project_id", "file_path"))
+    gone = changes.withColumn("_last", last).filter("revision = _last AND change_kind = 'DELETED'").drop("_last")
+    return gone.join(present.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi")
+
+
+def repaired(changes: DataFrame, present: DataFrame, symbols: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """changes, and symbols(change_id, ...), without false deletions."""
+    wrong = kept(false_deletions(changes, present).select("change_id"))
+    return changes.join(wrong, "change_id", "left_anti"), None if symbols is None else symbols.join(wrong, "change_id", "left_anti")
+
+
 def newest_changes(changes: DataFrame) -> DataFrame:
     """The last change of each file by revision."""
     last = F.max("revision").over(Window.partitionBy("project_id", "file_path"))

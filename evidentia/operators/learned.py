@@ -142,3 +142,24 @@ def located(projects: DataFrame, ledgers: DataFrame, rows: DataFrame) -> DataFra
     out = projects.join(copies, "project", "left").join(F.broadcast(silent))  # one row
     status = F.when(F.col("copies") > 0, "found").when(F.col("_silent"), "unknown").otherwise("absent")
     return out.select("project", status.alias("status"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
+
+
+def chosen_ledgers(projects: DataFrame, ledgers: DataFrame, rows: DataFrame) -> DataFrame:
+    """project, status, ledger: of the reachable ledgers(ledger, rank, reachable) that hold a project, the first by rank.
+
+    rows(ledger, project, ...). Not found is "absent" only if every ledger could be reached, else "unknown".
+    """
+    held = rows.select("ledger", "project").distinct().join(ledgers.filter("reachable").select("ledger", "rank"), "ledger")
+    first = held.groupBy("project").agg(F.min_by("ledger", F.struct("rank", "ledger")).alias("ledger"))
+    silent = ledgers.agg(F.coalesce(F.bool_or(~F.col("reachable")), F.lit(False)).alias("_silent"))
+    out = projects.join(first, "project", "left").join(F.broadcast(silent))  # one row
+    status = F.when(F.col("ledger").isNotNull(), "found").when(F.col("_silent"), "unknown").otherwise("absent")
+    return out.select("project", status.alias("status"), "ledger")
+
+
+def fan_in(ledgers: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows(ledger, row_id, ...) of all reachable ledgers, each row_id once: as the first ledger by rank has it, and how many copies there are."""
+    order = Window.partitionBy("row_id").orderBy("rank", "ledger")
+    held = rows.join(ledgers.filter("reachable").select("ledger", "rank"), "ledger")
+    held = held.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("row_id"))).withColumn("_n", F.row_number().over(order))
+    return held.filter("_n = 1").drop("_n", "rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.sources.scratch import kept
+
 
 def find(rows: DataFrame, phrase: str) -> DataFrame:
     return rows.filter(F.contains("content", F.lit(phrase)))
@@ -37,17 +39,16 @@ def land_pending(arrived: DataFrame, known_ids: DataFrame) -> tuple[DataFrame, D
     """Records whose supersedes target is known or lands itself, and those that wait.
 
     Targets form chains; a record waits if its chain ends in an unknown id. Missing targets are found
-    first and waiting spreads down the chains until nothing changes.
+    first and waiting spreads down the chains until nothing changes. Each round starts from a checkpoint of the newly
+    waiting ids, so plans don't nest.
     """
     targets = arrived.select("id", "supersedes")
     have = arrived.select("id").unionByName(known_ids.select("id")).distinct()
-    waiting = targets.filter("supersedes IS NOT NULL").join(have.select(F.col("id").alias("supersedes")), "supersedes", "left_anti").select("id")
-    known = waiting.count()
-    while known:
-        more = targets.join(waiting.select(F.col("id").alias("supersedes")), "supersedes", "left_semi").select("id").unionByName(waiting).distinct()
-        if (n := more.count()) == known:
-            break
-        waiting, known = more, n
+    new = kept(targets.filter("supersedes IS NOT NULL").join(have.select(F.col("id").alias("supersedes")), "supersedes", "left_anti").select("id"))
+    waiting = new
+    while not new.isEmpty():
+        new = kept(targets.join(new.select(F.col("id").alias("supersedes")), "supersedes", "left_semi").select("id").join(waiting, "id", "left_anti"))
+        waiting = kept(waiting.unionByName(new))
     return arrived.join(waiting, "id", "left_anti"), arrived.join(waiting, "id", "left_semi")
 
 

@@ -125,7 +125,10 @@ def aggregate_total(items: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, value.alias("value"), basis.alias("basis"))
 
 
-def largest_group(items: DataFrame, by: list[str], label: str, amount: str) -> DataFrame:
+def largest_group(items: DataFrame, by: list[str], label: str, amount: str, *, time: str | None = None, since=None, until=None) -> DataFrame:
+    """The label with the largest total, and that total; with time, of items from since on and before until."""
+    if time is not None:
+        items = items.filter((F.col(time) >= since) if since is not None else F.lit(True)).filter((F.col(time) < until) if until is not None else F.lit(True))
     g = items.groupBy(*by, label).agg(F.sum(amount).alias("total"))
     return g.groupBy(*by).agg(F.max_by(label, F.struct(F.round("total", 6), label)).alias("winner"), F.max("total").alias("total"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +125,20 @@ def workspace(spark: SparkSession, root: str, most_bytes: int = 2 << 20) -> Data
     return files.filter(keep).filter(text).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
 
 
+#: Folders whose documents are not the user's own.
+SKIPPED = "node_modules venv __pycache__ dist build target site-packages".split()
+
+
 def documents(spark: SparkSession, root: str, most_bytes: int = 2 << 20, seen: DataFrame | None = None) -> DataFrame:
-    """path, modified_at, size, content of text documents; with seen(path, modified_at, size) only new or changed ones."""
+    """path, modified_at, size, content of text documents; with seen(path, modified_at, size) only new or changed ones.
+
+    Folders below root that are hidden (their name starts with a point) or made by tools are left out.
+    """
     files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.{md,markdown,txt,rst}").load(root)
+    start = re.sub("/+", "/", re.sub("^[a-z0-9]+:(//[^/]*)?", "", root.rstrip("/"))) + "/"
+    below = F.split(F.substring_index("path", start, -1), "/")
+    folders = F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0)))
+    files = files.filter(~F.exists(folders, lambda f: f.startswith(".") | f.isin(SKIPPED)))
     files = files.filter(F.col("length") <= most_bytes).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"), "content")
     if seen is not None:
         files = files.join(seen, ["path", "modified_at", "size"], "left_anti")
