@@ -10,7 +10,8 @@ inclusion score. All variates are hashes of the row's key, the sample's number a
 they depend neither on the run nor on what else is in a batch.
 
 No piece has a space after another character or a line feed, so the lattice is a chain of small
-lattices of units between such places; those of distinct units are built once for SHARED rows.
+lattices of units between such places; those of distinct units are built once for SHARED rows. What may
+follow a place depends on the rest of its unit only, so units that end alike share the nodes of their ends.
 
 Spaces are marked as U+2581 and a first one is added; characters without a piece, and U+2581 itself,
 are written as bytes, so decoding gives every text back exactly.
@@ -26,35 +27,38 @@ scores are merge ranks, not log-probabilities.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = "pieces"
-#: Rows that are sampled at once, rows that share the lattices of their units, rows whose units are encoded at once.
+#: Rows that are sampled at once, rows that share the lattices of their units.
 BATCH = 300
 SHARED = 300
-ENCODED = 300
 
-_UNIT = re.compile("\n|▁*[^▁\n]+|▁+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(27)
+    y *= np.uint64(0x94D049BB133111EB)
+    y ^= y >> np.uint64(31)
+    return y
 
 
 def _roll(h: np.ndarray, points: np.ndarray) -> np.ndarray:
     h = (h + points + np.uint64(1)) * _P
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _points(text: str) -> np.ndarray:
@@ -90,105 +94,157 @@ class Vocabulary:
         self.tables = []
         for length in sorted(tables):
             keys = np.array(sorted(tables[length]), dtype=np.uint64)
-            self.tables.append((keys, np.array([tables[length][int(k)] for k in keys], dtype=np.int32)))
+            self.tables.append(Table(keys, np.array([tables[length][int(k)] for k in keys], dtype=np.int32)))
 
     def decode(self, ids) -> str:
         text = b"".join([self.strings[i] for i in ids]).decode()
         return text[1:] if text[:1] == " " else text
 
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """The texts in UTF-8 whose ids lie between the bounds."""
+        taken = pa.array(self.strings, pa.large_binary()).take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        data = memoryview(data or b"")
+        ends = np.frombuffer(offsets, np.int64)[bounds].tolist()
+        return [data[a + (data[a : a + 1] == b" ") : b] if a < b else data[a:a] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+class Table:
+    """Hashes of prefixes of one length, found by the place where their leading bits begin."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        self.ids = np.append(ids, np.int32(-1))
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        bits = (2 * len(keys)).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys >> self.shift, np.arange(2**bits, dtype=np.uint64))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or one with another key."""
+        at = self.start[h >> self.shift]
+        more = np.flatnonzero(self.keys[at] < h)
+        while len(more):
+            at[more] += 1
+            more = more[self.keys[at[more]] < h[more]]
+        return at
+
+
+def _suffix_hashes(points: np.ndarray, remaining: np.ndarray) -> np.ndarray:
+    powers = np.full(int(remaining.max(initial=0)) + 1, _P)
+    np.cumprod(powers, out=powers)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(points + np.uint64(1)) * powers[remaining])])
+    return run[np.arange(len(points)) + remaining] - run[:-1]
+
+
+def _suffixes(points: np.ndarray, remaining: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By character, the number of the rest of its unit, equal rests alike and short ones first; by number, a character."""
+    c = np.arange(len(points))
+    number = pa.array(_suffix_hashes(points, remaining)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    head = np.zeros(int(number.max(initial=-1)) + 1, dtype=np.int64)
+    head[number[::-1]] = c[::-1]
+    like = head[number]
+    after = np.append(number, 0)
+    if not ((points == points[like]) & (remaining == remaining[like]) & ((remaining == 1) | (after[c + 1] == after[like + 1]))).all():
+        number = head = c  # two rests have one hash: none are shared
+    distance = remaining[head]
+    order = np.argsort(distance.astype(np.uint16) if distance.max(initial=0) < 65536 else distance, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[number], head[order]
+
 
 class Lattice:
-    """The lattices of distinct units, as edges sorted by source character; source -1 + remaining 0 is an end."""
+    """The lattices of distinct units: edges sorted by source and length; nodes are distinct ends of units, short ones first."""
 
-    def __init__(self, units: list[str], vocab: Vocabulary):
-        sizes = np.array([len(u) for u in units], dtype=np.int64)
-        points = _points("".join(units)).astype(np.uint64)
-        c = len(points)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, vocab: Vocabulary):
         ends = np.cumsum(sizes)
-        self.start = ends - sizes
-        remaining = np.repeat(ends, sizes) - np.arange(c)
-        live, h = np.arange(c), np.zeros(c, np.uint64)
-        src, length, piece = [], [], []
-        single = np.zeros(c, dtype=bool)
-        for n, (keys, ids) in enumerate(vocab.tables, 1):
+        remaining = np.repeat(ends, sizes) - np.arange(len(points))
+        number, head = _suffixes(points, remaining)
+        self.start = number[ends - sizes]
+        self.points = points[head].astype(np.uint32)
+        marked = np.where(points == 0x2581, np.uint64(0xD800), points)
+        marked[points == 0x20] = 0x2581
+        remaining = remaining[head]
+        nodes = len(head)
+        live, h = np.arange(nodes), np.zeros(nodes, np.uint64)
+        src, piece = [], []
+        for n, table in enumerate(vocab.tables, 1):
             keep = remaining[live] >= n
             live, h = live[keep], h[keep]
-            h = _roll(h, points[live + n - 1])
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            found = keys[at] == h
+            h = _roll(h, marked[head[live] + (n - 1)])
+            at = table.find(h)
+            found = table.keys[at] == h
+            if n == 1:  # every node has an edge of one character, if only by its bytes
+                src.append(live)
+                piece.append(np.where(found, table.ids[at], -1).astype(np.int32))
             live, h, at = live[found], h[found], at[found]
-            own = ids[at]
-            hit = own >= 0
-            src.append(live[hit])
-            piece.append(own[hit])
-            length.append(np.full(hit.sum(), n, dtype=np.int32))
-            if n == 1:
-                single[live[hit]] = True
+            if n > 1:
+                own = table.ids[at]
+                hit = own >= 0
+                src.append(live[hit])
+                piece.append(own[hit])
             if not len(live):
                 break
-        bare = np.flatnonzero(~single)
-        src.append(bare)
-        piece.append(np.full(len(bare), -1, dtype=np.int32))
-        length.append(np.ones(len(bare), dtype=np.int32))
-        src, piece, length = np.concatenate(src), np.concatenate(piece), np.concatenate(length)
-        points = np.where(points == 0xD800, np.uint64(0x2581), points)
-        n_bytes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        # by distance of their source to the end, so that edges of one distance are neighbours
-        order = np.argsort(src * 32 + length, kind="stable")
-        distance = remaining[src[order]]
-        order = order[np.argsort(distance.astype(np.uint16) if distance.max(initial=0) < 65536 else distance, kind="stable")]
-        self.src, self.piece, self.length = src[order], piece[order], length[order]
-        self.n_tokens = np.where(self.piece < 0, n_bytes[self.src], 1)
+        self.degree = np.bincount(np.concatenate(src), minlength=nodes)
+        after = np.cumsum(self.degree)
+        self.first = after - self.degree
+        edges = int(after[-1])
+        self.src = np.repeat(np.arange(nodes), self.degree)
+        self.piece, self.length = np.empty(edges, dtype=np.int32), np.empty(edges, dtype=np.int16)
+        free = self.first.copy()
+        for n, (of, own) in enumerate(zip(src, piece, strict=True), 1):
+            at = free[of]
+            self.piece[at], self.length[at] = own, n
+            free[of] += 1
         self.last = remaining[self.src] == self.length
-        self.points = points
-        weight = np.where(self.piece >= 0, vocab.logp[self.piece], n_bytes[self.src] * vocab.byte_logp)
-        degree = np.bincount(self.src, minlength=c)
-        heads = np.flatnonzero(np.concatenate([[True], self.src[1:] != self.src[:-1]])) if c else np.zeros(0, np.int64)
-        self.first = np.zeros(c, dtype=np.int64)
-        self.first[self.src[heads]] = heads
-        self.weight, self.degree = weight, degree
-        target = np.where(self.last, c, self.src + self.length)
-        beta = np.zeros(c + 1)
-        self.target = target
-        self.levels = []  # edges by distance of their source to the end: positions, first of each source
-        far = int(remaining.max(initial=0))
-        bounds = np.searchsorted(remaining[self.src[heads]], np.arange(1, far + 2))
-        ends = np.append(heads, len(self.src))
-        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        self.target = np.append(number, nodes)[np.where(self.last, len(number), head[self.src] + self.length)]
+        bare = np.flatnonzero(self.piece < 0)
+        x = self.points[self.src[bare]]
+        self.n_tokens = np.ones(edges, dtype=np.int8)
+        self.n_tokens[bare] += (x > 0x7F).astype(np.int8) + (x > 0x7FF) + (x > 0xFFFF)
+        self.weight = vocab.logp[self.piece]
+        self.weight[bare] = self.n_tokens[bare] * vocab.byte_logp
+        beta = np.zeros(nodes + 1)
+        self.levels = []  # nodes by distance to the end: nodes, edges, first edge of each node
+        bounds = np.searchsorted(remaining, np.arange(1, int(remaining[-1]) + 2)).tolist()
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
             if x < y:
-                edges = slice(ends[x], ends[y])
-                own = heads[x:y] - ends[x]
-                beta[self.src[heads[x:y]]] = np.logaddexp.reduceat(weight[edges] + beta[target[edges]], own)
-                self.levels.append((edges, own))
-        self.q = weight + beta[target] - beta[self.src]
+                edges = slice(int(self.first[x]), int(after[y - 1]))
+                own = self.first[x:y] - edges.start
+                beta[x:y] = np.logaddexp.reduceat(self.weight[edges] + beta[self.target[edges]], own)
+                self.levels.append((slice(x, y), edges, own))
+        self.q = self.weight + beta[self.target] - beta[self.src]
         p = np.exp(self.q)
-        self.upto = p.copy()  # summed within each source on its own, so it does not depend on other units
-        place = np.arange(len(p)) - self.first[self.src]
-        for k in range(1, int(degree.max(initial=1))):
-            later = np.flatnonzero(place == k)
-            self.upto[later] += self.upto[later - 1]
-        self.left = np.log(np.maximum(1.0 - p, 0.0), out=np.full(len(p), -np.inf), where=(degree[self.src] > 1) & (p < 1.0))
+        self.left = np.log(np.maximum(1.0 - p, 0.0), out=np.full(len(p), -np.inf), where=(self.degree[self.src] > 1) & (p < 1.0))
+        self.upto = p  # summed within each source on its own, so it does not depend on other units
+        later = np.flatnonzero(self.degree > 1)
+        for k in range(1, int(self.degree.max())):
+            later = later[self.degree[later] > k]
+            at = self.first[later] + k
+            self.upto[at] += self.upto[at - 1]
+        self.upto[after - 1] = np.inf
 
     def best(self) -> np.ndarray:
         """The first edge of the path of largest weight from each character to its unit's end."""
         most, best = np.zeros(len(self.points) + 1), np.zeros(len(self.points), dtype=np.int64)
-        for edges, heads in self.levels:
+        for nodes, edges, heads in self.levels:
             value = self.weight[edges] + most[self.target[edges]]
-            top = np.maximum.reduceat(value, heads)
-            most[self.src[edges][heads]] = top
-            is_top = edges.start + np.flatnonzero(value == np.repeat(top, np.diff(np.append(heads, len(value)))))[::-1]
+            top = most[nodes] = np.maximum.reduceat(value, heads)
+            is_top = edges.start + np.flatnonzero(value == np.repeat(top, self.degree[nodes]))[::-1]
             best[self.src[is_top]] = is_top
         return best
 
-    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge of each node, by its share of the node's mass."""
+    def draw(self, node: np.ndarray, uniform) -> np.ndarray:
+        """An edge of each node, by its share of the node's mass; uniform gives the variates of some of the nodes."""
         edge = self.first[node]
-        final = edge + self.degree[node] - 1
-        more = np.flatnonzero((self.upto[edge] < u) & (edge < final))
+        upto = self.upto[edge]
+        more = np.flatnonzero(upto < 1.0)
+        u = uniform(more)
+        later = upto[more] < u
         while len(more):
+            more, u = more[later], u[later]
             edge[more] += 1
-            e = edge[more]
-            more = more[(self.upto[e] < u[more]) & (e < final[more])]
+            later = self.upto[edge[more]] < u
         return edge
 
 
@@ -201,28 +257,32 @@ def _uniform(seed: np.ndarray, sample: int, place: np.ndarray, kind: int) -> np.
 class Units:
     """The chains of units of several texts, and the lattices of the distinct ones."""
 
-    def __init__(self, texts: list[str | None], vocab: Vocabulary):
+    def __init__(self, texts: pa.Array | list[str | None], vocab: Vocabulary):
         self.vocab = vocab
-        chunks, counts, odd = [], [], any("▁" in text for text in texts if text)
-        for at in range(0, len(texts), ENCODED):
-            flat: list[str] = []
-            for text in texts[at : at + ENCODED]:
-                if odd and text:
-                    text = text.replace("▁", "\ud800")
-                found = _UNIT.findall("▁" + text.replace(" ", "▁")) if text else []
-                flat += found
-                counts.append(len(found))
-            chunks.append(pa.array([u.encode("utf-8", "surrogatepass") for u in flat], pa.binary()) if odd else pa.array(flat, pa.string()))
-        coded = pa.chunked_array(chunks or [pa.array([], pa.string())]).dictionary_encode().combine_chunks()
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        distinct = coded.dictionary.to_pylist()
-        if odd:
-            distinct = [u.decode("utf-8", "surrogatepass") for u in distinct]
-        self.lattice = Lattice(distinct, vocab) if distinct else None
-        self.n_units = np.array(counts, dtype=np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.n_units)])
-        self.unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.sizes = np.array([len(u) for u in distinct], dtype=np.int64)
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        data, bounds = _bytes(texts)
+        space, line = data == 0x20, data == 0x0A
+        head = line.copy()
+        head[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        head[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        begin = np.flatnonzero(head)
+        self.begin = np.searchsorted(begin, bounds)
+        self.n_units = np.diff(self.begin)
+        units = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data))
+        coded = units.dictionary_encode()
+        self.unit = coded.indices.to_numpy().astype(np.int64)
+        data, bounds = _bytes(coded.dictionary)
+        self.sizes = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds])
+        self.lattice = Lattice(_points(data.tobytes().decode()).astype(np.uint64), self.sizes, vocab) if len(begin) else None
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings, and where each begins (and the last ends)."""
+    _, offsets, data = strings.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -253,8 +313,8 @@ class Batch:
             edge = choose(node, place)
             path[place] = edge
             on = ~lat.last[edge]
-            step = lat.length[edge[on]]
-            node, place = node[on] + step, place[on] + step
+            edge = edge[on]
+            node, place = lat.target[edge], place[on] + lat.length[edge]
 
     def best(self) -> np.ndarray:
         path = np.full(self.n, -1, dtype=np.int64)
@@ -267,7 +327,7 @@ class Batch:
         """By sample: path, docs that have it, log-probability, perturbed value; the last entry has only the bounds left."""
         lat, docs = self.lattice, len(self.n_units)
         owner = np.repeat(np.arange(docs), self.doc_end - self.doc_start)
-        own_place = lambda p: p - self.doc_start[owner[p]]
+        own_place = np.arange(self.n) - self.doc_start[owner]
         bound = -np.log(-np.log(_uniform(seeds, 0, np.zeros(docs, np.int64), 7)))
         path = np.full(self.n, -1, dtype=np.int64)
         have = np.ones(docs, dtype=bool)
@@ -278,7 +338,9 @@ class Batch:
             if self.n:
                 if number == 0:
                     node, place = lat.start[self.unit], self.base
-                pick = lambda node, place, k=number: lat.draw(node, _uniform(seeds[owner[place]], k, own_place(place), 0))
+                def pick(node, place, k=number):
+                    return lat.draw(node, lambda some: _uniform(seeds[owner[place[some]]], k, own_place[place[some]], 0))
+
                 self.walk(path, node, place, pick)
             at = np.flatnonzero(path >= 0)
             edge, of = path[at], owner[at] if self.n else np.zeros(0, np.int64)
@@ -295,7 +357,7 @@ class Batch:
             before = run[new] - run[heads[of[new]]]
             phi = before + lat.left[edge[new]] if self.n else np.zeros(0)
             top = bound[of[new]]
-            u = _uniform(seeds[of[new]], number, own_place(at[new]), 1) if self.n else np.zeros(0)
+            u = _uniform(seeds[of[new]], number, own_place[at[new]], 1) if self.n else np.zeros(0)
             pools.append({"g": phi - np.log(np.exp(np.minimum(phi - top, 700)) - np.log(u)), "at": at[new], "before": before, "doc": of[new], "path": out[-1][0], "gone": np.zeros(0, np.int64)})
             # open the largest bound
             best = np.full(docs, -np.inf)
@@ -359,7 +421,7 @@ class Batch:
             stop = at + lat.length[chosen]
             from_place[docs], after[docs] = at + 1, stop
             inner = ~lat.last[chosen]
-            nodes.append((node + lat.length[chosen])[inner])
+            nodes.append(lat.target[chosen][inner])
             stops.append(stop[inner])
         later = self.base >= after[self.doc]
         nodes.append(lat.start[self.unit[later]] if self.n else np.zeros(0, np.int64))
@@ -376,9 +438,10 @@ class Batch:
         ids, n = lat.piece[edge], lat.n_tokens[edge]
         run = np.concatenate([[0], np.cumsum(n)])
         if (ids < 0).any():
+            bare = np.flatnonzero(ids < 0)
             full = np.repeat(ids, n)
-            for i in np.flatnonzero(ids < 0):
-                full[run[i] : run[i + 1]] = np.frombuffer(chr(int(lat.points[lat.src[edge[i]]])).encode(), dtype=np.uint8).astype(np.int32) + self.vocab.bytes_at
+            text = lat.points[lat.src[edge[bare]]].tobytes().decode("utf-32-le")
+            full[_ranges(run[bare], run[bare + 1])] = np.frombuffer(text.encode(), dtype=np.uint8).astype(np.int32) + self.vocab.bytes_at
             ids = full
         return ids.astype(np.int32), run[np.searchsorted(at, np.append(self.doc_start, self.n))]
 
@@ -394,19 +457,28 @@ def encode_best(texts: list[str | None], vocab: Vocabulary) -> list[np.ndarray]:
     return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def sample(texts: list[str | None], keys: list, vocab: Vocabulary, count: int = SAMPLES, seed: str = SEED) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
-    """(row, sample from 1, ids, log-probability, perturbed log-probability, inclusion score)."""
+def samples(texts: pa.Array | list[str | None], keys: list, vocab: Vocabulary, count: int, seed: str) -> Iterator[tuple]:
+    """(rows, sample from 1, all ids, where each row's begin, log-probabilities, perturbed ones, inclusion scores) of rows that have the sample."""
     units, seeds = Units(texts, vocab), row_seeds(keys, seed)
     for at in range(0, len(texts), BATCH):
         batch = Batch(units, at, min(at + BATCH, len(texts)))
         drawn = batch.samples(seeds[at : at + BATCH], count)
         kappa = np.where(drawn[-1][1], drawn[-1][3], -np.inf)
         for number, (path, have, logp, bound) in enumerate(drawn[:-1], 1):
+            path[~np.repeat(have, batch.doc_end - batch.doc_start)] = -1
             ids, bounds = batch.tokens(path)
             with np.errstate(over="ignore"):
                 score = np.where(np.isinf(kappa), 1.0, -np.expm1(-np.exp(np.minimum(logp - kappa, 700))))
-            for d in np.flatnonzero(have).tolist():
-                yield at + d, number, ids[bounds[d] : bounds[d + 1]], round(float(logp[d]), 6), round(float(bound[d]), 6), round(float(score[d]), 9)
+            rows = np.flatnonzero(have)
+            values = [[round(x, n) for x in column[rows].tolist()] for column, n in ((logp, 6), (bound, 6), (score, 9))]
+            yield at + rows, number, ids, bounds[np.append(rows, len(have))], *values
+
+
+def sample(texts: list[str | None], keys: list, vocab: Vocabulary, count: int = SAMPLES, seed: str = SEED) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+    """(row, sample from 1, ids, log-probability, perturbed log-probability, inclusion score)."""
+    for rows, number, ids, bounds, *values in samples(texts, keys, vocab, count, seed):
+        for row, a, b, *own in zip(rows.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), *values, strict=True):
+            yield row, number, ids[a:b], *own
 
 
 def read_model(path: str = MODEL) -> Vocabulary:
@@ -428,10 +500,9 @@ def encode(docs: DataFrame, model: str = MODEL, count: int = SAMPLES, seed: str
     def run(batches):
         for batch in _slices(batches):
             keys = batch[key]
-            rows = list(sample(batch["text"].to_pylist(), keys.to_pylist(), vocab, count, seed))
-            row, number, ids, logp, bound, score = zip(*rows, strict=True) if rows else ([],) * 6
-            values = [keys.take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(logp, pa.float64()), pa.array(bound, pa.float64()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(values, [key, "sample", "ids", "log_prob", "perturbed", "inclusion"])
+            for rows, number, ids, bounds, *values in samples(batch["text"], keys.to_pylist(), vocab, count, seed):
+                columns = [keys.take(pa.array(rows)), pa.array(np.full(len(rows), number, np.int32)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.float64()) for x in values]], [key, "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
@@ -445,11 +516,11 @@ def digests(docs: DataFrame, model: str = MODEL, count: int = SAMPLES, seed: str
     def run(batches):
         for batch in _slices(batches):
             keys = batch["doc_id"]
-            rows = [(d, n, len(ids), sha(ids.tobytes()), sha(vocab.decode(ids.tolist()).encode()), p, g, s) for d, n, ids, p, g, s in sample(batch["text"].to_pylist(), keys.to_pylist(), vocab, count, seed)]
-            row, *rest = zip(*rows, strict=True) if rows else ([],) * 8
-            kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()]
-            values = [keys.take(pa.array(row, pa.int64())), *[pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(values, ["doc_id", "sample", "n_pieces", "ids_sha256", "decoded_sha256", "log_prob", "perturbed", "inclusion"])
+            for rows, number, ids, bounds, *values in samples(batch["text"], keys.to_pylist(), vocab, count, seed):
+                own = [sha(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                decoded = [sha(text) for text in vocab.decode_all(ids, bounds)]
+                columns = [keys.take(pa.array(rows)), pa.array(np.full(len(rows), number, np.int32)), pa.array(np.diff(bounds)), pa.array(own, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.float64()) for x in values]], ["doc_id", "sample", "n_pieces", "ids_sha256", "decoded_sha256", "log_prob", "perturbed", "inclusion"])
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, sample int, n_pieces long, ids_sha256 string, decoded_sha256 string, log_prob double, perturbed double, inclusion double"

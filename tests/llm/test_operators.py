@@ -325,6 +325,33 @@ def test_pieces(spark, odd, none):
     assert pieces.encode(none).count() == 0
 
 
+def test_pieces_units_that_end_alike_share_nodes(monkeypatch):
+    vocab = pieces.read_model()
+    texts = ["one tone stone\nbone", None, "", "alone  done ▁", "stone bone été 🎉"]
+    units = {" one", " tone", " stone", "\n", "bone", " alone", "  done", " ▁", " bone", " été", " 🎉"}
+    suffixes = {u[i:] for u in units for i in range(len(u))}
+    found = pieces.Units(texts, vocab)
+    assert len(found.sizes) == len(units) and found.n_units.tolist() == [5, 0, 0, 3, 4]
+    assert len(found.lattice.degree) == len(suffixes) < sum(map(len, units))
+    plain = lambda: [(row, number, ids.tolist(), *rest) for row, number, ids, *rest in pieces.sample(texts, list(range(5)), vocab, 4)]
+    want = plain()
+    monkeypatch.setattr(pieces, "_suffix_hashes", lambda points, remaining: np.zeros(len(points), np.uint64))
+    assert len(pieces.Units(texts, vocab).lattice.degree) == sum(map(len, units))  # one hash for all: nothing is shared
+    assert plain() == want
+
+
+def test_pieces_digests_and_ids_are_those_sampled(spark):
+    vocab = pieces.read_model()
+    texts = [None, "", " ", "\n", "one tone\n stone", "▁ 🎉\x00", "été  ", "日本語 " * 40] * 90
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    want = {(row, number): (ids, *rest) for row, number, ids, *rest in pieces.sample(texts, list(range(len(texts))), vocab, 3)}
+    encoded = {(r.doc_id, r["sample"]): (r.ids, r.log_prob, r.perturbed, r.inclusion) for r in pieces.encode(docs, count=3).collect()}
+    assert encoded == {k: (v[0].tolist(), *v[1:]) for k, v in want.items()}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    digests = {(r.doc_id, r["sample"]): (r.n_pieces, r.ids_sha256, r.decoded_sha256, r.log_prob) for r in pieces.digests(docs, count=3).collect()}
+    assert digests == {(d, n): (len(v[0]), sha(v[0].tobytes()), sha((texts[d] or "").encode()), v[1]) for (d, n), v in want.items()}
+
+
 def test_pieces_first_samples_and_inclusion_scores():
     vocab = pieces.read_model()
     n, first, total, share = 4000, collections.Counter(), collections.Counter(), {}
