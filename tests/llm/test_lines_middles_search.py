@@ -179,3 +179,17 @@ def test_several_sorts_give_the_sums_of_one(monkeypatch):
     for chunk in (1 << 21, 50, 1):
         monkeypatch.setattr(ranked_search, "CHUNK", chunk)
         assert (ranked_search._accumulate(matched, docs, base, starts, asked_by, factor, 0) == want).all()
+
+
+@pytest.mark.parametrize("name", ["op11_ranked_search", "op12_line_dedup", "op13_fill_middle"])
+def test_queries_equal_their_sql_over_all_their_tables(spark, name):
+    import duckdb
+
+    from evidentia.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, sf).select(*want.columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
