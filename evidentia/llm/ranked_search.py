@@ -42,6 +42,8 @@ from .common import materialise, parts, settings, temporary
 OUTSIDE = ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 BLOCK_DOCS = 1024
 BLOCK_BYTES = 8 << 20
+#: Blocks of a row group: a task that makes many blocks, or reads them, holds so many of them at once.
+GROUP = 4
 #: Items and documents of one sort: their packed keys fill 16 bits.
 RANGE = 64
 #: Impacts of one sort at most, but for a single posting's own.
@@ -114,7 +116,7 @@ def index(docs: DataFrame) -> DataFrame:
     """Blocks of the documents' postings, written to the scratch folder. docs: doc_id, text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="256"):
-        return materialise(rows.mapInArrow(_index, BLOCK), "blocks")
+        return materialise(rows.mapInArrow(_index, BLOCK), "blocks", GROUP)
 
 
 def statistics(blocks: DataFrame) -> tuple[int, int]:
@@ -249,7 +251,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, blocks: DataFrame | N
         blocks = index(docs) if blocks is None else blocks
         n_docs, n_terms = statistics(blocks)
         asked = materialise(item_terms(items), "asked")
-        questions = materialise(question_blocks(asked, documents_with(blocks), n_docs), "questions")
+        questions = materialise(question_blocks(asked, documents_with(blocks), n_docs), "questions", GROUP)
         best = _scored(blocks, questions, n_docs, n_terms, k)
         keep(best)
     by = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())

@@ -153,6 +153,18 @@ def test_ranked_search_of_nothing(spark, corpus):
     assert ranked_search.search(docs_of(spark, [(1, None), (2, " ")]), some).count() == 0
 
 
+def test_row_groups_hold_few_blocks_however_many_a_task_makes(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.range(11 * ranked_search.BLOCK_DOCS).selectExpr("id AS doc_id", "concat('w', id % 7, ' w', id % 50) AS text").coalesce(1)
+    blocks = ranked_search.index(docs)
+    files = [pq.ParquetFile(p).metadata for p in glob.glob(blocks._scratch.removeprefix("file:") + "/*.parquet")]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == blocks.count() == 11 and max(groups) <= ranked_search.GROUP
+
+
 def test_sums_are_radix_sorted_by_packed_key():
     import numpy as np
 
