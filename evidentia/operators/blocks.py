@@ -43,14 +43,16 @@ def deal(queries: DataFrame, columns: list[str], per_block: int | None = None) -
     return held.select("question", *[F.col(f"q.{c}").alias(f"q_{c}") for c in columns]), n
 
 
-def pairs(blocks: DataFrame, questions: DataFrame, n: int) -> DataFrame:
+def pairs(blocks: DataFrame, questions: DataFrame, n: int, most: int | None = None) -> DataFrame:
     """Every block beside every question block. blocks: block (a long) and arrays; questions: from deal, already written.
 
     One question block whose measured size is within SENT bytes is broadcast; else both sides are dealt by (question, slot).
+    most: slots at most, where question blocks are large.
     """
     if n == 1 and (questions.select(F.octet_length(F.to_json(F.struct("*"))).alias("b")).agg(F.sum("b")).first()[0] or 0) <= SENT:
         return blocks.withColumn("question", F.lit(0).cast("long")).join(F.broadcast(questions), "question")
     slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) * SLOTS
+    slots = min(slots, most or slots)
     every = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(upto - 1).cast("long")))
     left = blocks.withColumn("_slot", F.pmod(F.xxhash64("block"), F.lit(slots))).withColumn("question", every(n))
     right = questions.withColumn("_slot", every(slots)).hint("shuffle_hash")

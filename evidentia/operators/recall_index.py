@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from evidentia.functions.text import pieces, query_terms, tokens
 from evidentia.operators import blocks as bl
@@ -36,6 +37,8 @@ VECTORS = f"block long, {META}, piece_starts array<int>, dims int, matrix binary
 DELETED = "block long, places array<int>"
 _META = [x.split()[0] for x in META.split(", ")]
 _SEARCHED = ("user", "document")
+#: Where every turn is returned: questions of a block, slots at most, and questions scored at once.
+ASKED, SPREAD, AT_ONCE = 4096, 256, 64
 
 
 def _described(turns: DataFrame) -> list:
@@ -104,7 +107,25 @@ def word_blocks(turns: DataFrame) -> DataFrame:
 
 def vector_blocks(piece_rows: DataFrame) -> DataFrame:
     """Blocks of vectors of pieces: turns' columns with start and embedding; rows without a vector leave."""
-    return piece_rows.select(*_described(piece_rows), F.col("start").cast("int").alias("start"), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_vector_blocks, VECTORS)
+    return _described_pieces(piece_rows).mapInArrow(_vector_blocks, VECTORS)
+
+
+def _described_pieces(piece_rows: DataFrame) -> DataFrame:
+    return piece_rows.select(*_described(piece_rows), F.col("start").cast("int").alias("start"), F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ROWS pieces of pieces sorted by turn; no turn is cut."""
+    held = None
+    for batch in batches:
+        held = pa.concat_batches([held, batch]) if held is not None else batch
+        while held.num_rows > bl.ROWS:
+            ids = held.column("turn_id").slice(0, bl.ROWS + 1).to_pylist()
+            at = next(i for i in range(bl.ROWS, 0, -1) if ids[i] != ids[i - 1])
+            yield from _vector_blocks(iter([held.slice(0, at)]))
+            held = held.slice(at)
+    if held is not None:
+        yield from _vector_blocks(iter([held]))
 
 
 def held_blocks(rows: DataFrame) -> DataFrame:
@@ -228,9 +249,8 @@ def _back(negated: int) -> int | None:
     return None if negated == 2**63 else -negated
 
 
-def _similar(k: int | None, roles: bool):
-    best = bl.Best(k or 1)
-    every: list[tuple] = []
+def _similar(k: int, roles: bool):
+    best = bl.Best(k)
 
     def take(pair: dict) -> None:
         meta = _meta(pair)
@@ -256,9 +276,6 @@ def _similar(k: int | None, roles: bool):
             hit = np.flatnonzero(row[at] == top[group])
             hit = at[hit[np.concatenate([[True], group[hit[1:]] != group[hit[:-1]]])]]  # the first of a turn's ties
             query = pair["q_query_id"][i]
-            if k is None:
-                every.extend((query, meta["ids"][j], float(row[j]), int(meta["revisions"][j]), int(starts[j])) for j in hit)
-                continue
             floor = best.floor(query)
             hit = hit[row[hit] >= (-floor[0] if floor is not None else -2)]
             if len(hit) > k:
@@ -270,7 +287,79 @@ def _similar(k: int | None, roles: bool):
                 held[key[3]] = min(key, held.get(key[3], key))
             best.offer(query, list(held.values()))
 
-    return take, lambda: every if k is None else [(q, key[3], -key[0], key[1], key[2]) for q, keys in best.held.items() for key in keys]
+    return take, lambda: [(q, key[3], -key[0], key[1], key[2]) for q, keys in best.held.items() for key in keys]
+
+
+def _found(pair: dict, kind: pa.DataType, roles: bool) -> Iterator[list]:
+    """Each question's best piece of every turn of a block, as columns, for a few questions at a time."""
+    meta = _meta(pair)
+    n, dims = len(pair["turn_ids"]), pair["dims"]
+    v = np.frombuffer(pair["matrix"], np.float32).reshape(n, dims).astype(np.float64)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    same = np.flatnonzero(pc.equal(pc.list_value_length(pair["q_embedding"]), dims).fill_null(False).to_numpy(zero_copy_only=False))
+    ids, starts = pa.array(meta["ids"], pa.string()).cast(kind), np.array(pair["piece_starts"], dtype=np.int64)
+    turn = pd.factorize(np.array(meta["ids"], dtype=object))[0]
+    order = np.lexsort((starts, meta["revisions"], turn))
+    alike: dict[tuple, list[int]] = {}
+    for i in same.tolist():
+        alike.setdefault((tuple(pair["q_scopes"][i] or ()), pair["q_since"][i], pair["q_until"][i], pair["q_about_assistant"][i]), []).append(i)
+    for members in alike.values():
+        at = order[_mask(pair, members[0], meta, until_inclusive=False, roles=roles)[order]]
+        if not len(at):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], turn[at[1:]] != turn[at[:-1]]]))
+        width = np.diff(np.append(first, len(at)))
+        for low in range(0, len(members), AT_ONCE):
+            own = pa.array(members[low : low + AT_ONCE])
+            q = pair["q_embedding"].take(own).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), dims)
+            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            row = np.round(q @ v[at].T, 9)
+            top = np.maximum.reduceat(row, first, axis=1)
+            place = np.where(row == np.repeat(top, width, axis=1), np.arange(len(at)), len(at))
+            place = np.minimum.reduceat(place, first, axis=1)  # the first of a turn's ties
+            i, t = np.nonzero(place < len(at))
+            j = at[place[i, t]]
+            yield [pair["q_query_id"].take(own.take(pa.array(i))), ids.take(pa.array(j)), pa.array(top[i, t]), pa.array(meta["revisions"][j]), pa.array(starts[j].astype(np.int32))]
+
+
+def _every(held: DataFrame, queries: DataFrame, roles: bool, kind: str = "string") -> DataFrame:
+    """query_id, turn_id, similarity, revision, start: the best piece of every turn in every block, passed on as it is found.
+
+    kind: of turn_id.
+    """
+    questions, n = bl.deal(questions_of(queries), ["query_id", *_FILTERS, "embedding"], ASKED)
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, turn_id {kind}, similarity double, revision long, start int"
+    shape = bl.arrow_schema(schema)
+    raw = ("q_query_id", "q_embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair = {name: batch.column(name)[i].values if name in raw else batch.column(name)[i].as_py() for name in batch.schema.names}
+                for columns in _found(pair, shape.field("turn_id").type, roles):
+                    yield pa.RecordBatch.from_arrays(columns, schema=shape)
+
+    return bl.pairs(held, kept(questions), n, SPREAD).mapInArrow(run, schema)
+
+
+def best_pieces(piece_rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, turn_id, similarity, revision, start: each question's best piece of every turn of pieces(turn_id, revision, start, embedding).
+
+    Blocks hold turns whole, so what a block finds is the result: it is neither gathered in a task nor shuffled. Only turns of more pieces
+    than a block may have are cut, and the best of their parts are compared afterwards.
+    """
+    kind = "long" if isinstance(piece_rows.schema["turn_id"].dataType, IntegralType) else "string"
+    text = F.col("turn_id").cast("string")
+    large = kept(piece_rows.groupBy(text.alias("_large")).count().filter(F.col("count") > bl.ROWS).select("_large"))
+    if large.isEmpty():
+        return _every(_held_whole(piece_rows), queries, False, kind)
+    met = text.eqNullSafe(F.col("_large"))
+    cut = similar_blocks(held_blocks(vector_blocks(piece_rows.join(large, met, "left_semi"))), queries, limit=None, roles=False)
+    return _every(_held_whole(piece_rows.join(large, met, "left_anti")), queries, False, kind).unionByName(cut.withColumn("turn_id", F.col("turn_id").cast(kind)))
+
+
+def _held_whole(piece_rows: DataFrame) -> DataFrame:
+    return _with_deleted(kept(_described_pieces(piece_rows).repartition("turn_id").sortWithinPartitions("turn_id").mapInArrow(_whole_blocks, VECTORS)), None)
 
 
 def _with_deleted(rows: DataFrame, deleted: DataFrame | None) -> DataFrame:
@@ -312,9 +401,12 @@ def similar_blocks(rows: DataFrame, queries: DataFrame, *, limit: int | None, de
     queries(query_id, embedding) may have scopes, since, until (exclusive) and about_assistant; without that only turns of
     users and documents are found, if roles.
     """
-    questions, n = bl.deal(questions_of(queries), ["query_id", *_FILTERS, "embedding"])
-    kind = queries.schema["query_id"].dataType.simpleString()
-    hits = bl.each(bl.pairs(_with_deleted(rows, deleted), kept(questions), n), lambda: _similar(limit, roles), f"query_id {kind}, turn_id string, similarity double, revision long, start int")
+    if limit is None:
+        hits = _every(_with_deleted(rows, deleted), queries, roles)
+    else:
+        questions, n = bl.deal(questions_of(queries), ["query_id", *_FILTERS, "embedding"])
+        kind = queries.schema["query_id"].dataType.simpleString()
+        hits = bl.each(bl.pairs(_with_deleted(rows, deleted), kept(questions), n), lambda: _similar(limit, roles), f"query_id {kind}, turn_id string, similarity double, revision long, start int")
     first = Window.partitionBy("query_id", "turn_id").orderBy(F.desc("similarity"), "revision", "start")
     best = hits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     if limit is None:

@@ -68,13 +68,16 @@ def best_groups(vectors: DataFrame, queries: DataFrame, k: int | None = None) ->
 
     vectors(turn_id, revision, start, embedding) are scanned like those of top_k: a turn among the k best of all
     is among those of the task that holds its best piece. Similarities are rounded to nine places; ties
-    go to the lower revision, then start, then turn as text.
+    go to the lower revision, then start, then turn as text. Without k the rows are questions times turns, and leave as they are found.
     """
-    from evidentia.operators.recall_index import similar_blocks, vector_blocks
+    from evidentia.operators.recall_index import best_pieces, similar_blocks, vector_blocks
 
     kinds = {c: vectors.schema[c].dataType for c in ("turn_id", "revision", "start")}
+    if k is None:
+        hits = best_pieces(vectors.select(*kinds, "embedding"), queries)
+        return hits.select("query_id", *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "similarity")
     hits = similar_blocks(vector_blocks(vectors.select(*kinds, "embedding")), queries, limit=k, roles=False)
-    return hits.select("query_id", *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "similarity", *(["place"] if k else []))
+    return hits.select("query_id", *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "similarity", "place")
 
 
 def best_piece(hits: DataFrame) -> DataFrame:

@@ -51,6 +51,24 @@ def test_best_groups_equal_brute_force_over_blocks_and_batches(spark):
         assert {x: sorted(y) for x, y in got.items()} == {x: y[:k] for x, y in want.items()}
 
 
+def test_best_groups_without_k_neither_gather_nor_shuffle_what_they_find(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    row = lambda i, turn: (turn, i % 3, i % 5 * 500, [float(x) for x in rng.integers(-1, 2, 3)])
+    pieces, asked = [row(i, i // 7) for i in range(2500)], [(q, [float(x) for x in rng.integers(-1, 2, 3) + 0.5]) for q in range(70)]
+    q = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    shape = "turn_id long, revision long, start int, embedding array<double>"
+    plan = vectors.best_groups(spark.createDataFrame(pieces, shape), q)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr("evidentia.operators.recall_index.ASKED", 30)  # several question blocks, met by a shuffled join
+    # a turn of more pieces than a block has is found as well, once
+    pieces += [row(i, 9999) for i in range(1500)] + [row(i, None) for i in range(5)]
+    got = vectors.best_groups(spark.createDataFrame(pieces, shape).repartition(5), q)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append(((-r.similarity, r.revision, r.start), -1 if r.turn_id is None else r.turn_id))
+    assert {x: sorted(y) for x, y in found.items()} == brute_groups([(-1 if p[0] is None else p[0], *p[1:]) for p in pieces], asked)
+
+
 def test_gather_finds_by_meaning_and_by_late_words(spark, small):
     packets = {r.query_id: r.context for r in QUERIES["gather"](spark, small).collect()}
     assert "zenith quartz" in packets[1]
