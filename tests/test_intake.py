@@ -83,6 +83,32 @@ def test_coverage_of_questions_without_seeds(spark):
     assert math.isclose(got[1], (1 + 0.5**0.5) / 2) and got[2] == 0.0
 
 
+def test_coverage_by_matrices_equals_cosines_pair_by_pair(spark, monkeypatch):
+    import numpy as np
+
+    from evidentia.operators.vectors import cosine
+
+    rng = np.random.default_rng(4)
+    odd = [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [0.0, 0.0], [], [float("nan"), 1.0, 1.0]]
+    vector = lambda sign: [float(x) for x in sign * rng.random(3)]
+    seeds = [(1, vector(1)) for _ in range(300)] + [(1, [1.0, 1.0, 1.0])] * 50 + [(2, vector(1)) for _ in range(40)]
+    seeds += [(3 + i, x) for i, x in enumerate(odd)] + [(3 + i, vector(1)) for i in range(7)] + [(20, [1.0, 2.0]), (21, [0.0, 0.0]), (None, vector(1))]
+    cues = [(1, i, vector(1)) for i in range(90)] + [(2, i, vector(-1)) for i in range(40)] + [(2, 0, vector(1)), (30, 1, vector(1)), (None, 1, vector(1))]
+    cues += [(3 + i, j, x) for i in range(7) for j, x in enumerate([vector(-1), *odd[:-1]])] + [(q, 100, x) for q, x in zip((1, 20, 20, 21), (odd[-1], vector(-1), [0.0, 0.0, 0.0], vector(-1)), strict=True)]
+    c = spark.createDataFrame(cues, "query_id int, cue_id int, v array<double>").repartition(3)
+    s = spark.createDataFrame(seeds, "query_id int, v array<double>").repartition(3)
+    pairs = c.join(s.withColumnRenamed("v", "s"), "query_id", "left").groupBy("query_id", "cue_id").agg(F.max(cosine(F.col("v"), F.col("s"))).alias("best"))
+    want = {r[0]: r[1] for r in pairs.groupBy("query_id").agg(F.avg(F.coalesce("best", F.lit(0.0)))).collect()}
+    monkeypatch.setattr(evaluate, "SEEDS", 64)  # several slots and chunks
+    monkeypatch.setattr(evaluate, "CUES", 16)
+    out = evaluate.cue_coverage(c, s)
+    got = {r.query_id: r.coverage for r in out.collect()}
+    assert got.keys() == want.keys() and np.allclose(list(got.values()), [want[q] for q in got], rtol=0, atol=1e-12, equal_nan=True)
+    one = s.withColumn("cue_id", F.monotonically_increasing_id()).filter("query_id = 1").localCheckpoint()  # cues and seeds of one table
+    assert [r.query_id for r in evaluate.cue_coverage(one.filter("cue_id % 5 = 0"), one.select("query_id", "v")).filter("abs(coverage - 1) < 1e-9").collect()] == [1]
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()  # cues times seeds are no rows
+
+
 def test_stemmed_scores_of_tiny_and_empty_corpora(spark):
     docs = spark.createDataFrame([(1, "walked dogs dogs"), (2, "the of"), (3, None)], "doc_id int, text string")
     asked = spark.createDataFrame([(1, "walking a dog"), (2, ""), (3, None)], "query_id int, query string")
