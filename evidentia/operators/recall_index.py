@@ -38,7 +38,7 @@ DELETED = "block long, places array<int>"
 _META = [x.split()[0] for x in META.split(", ")]
 _SEARCHED = ("user", "document")
 #: Where every turn is returned: questions of a block, slots at most, and questions scored at once.
-ASKED, SPREAD, AT_ONCE = 4096, 256, 64
+ASKED, SPREAD, AT_ONCE = 8192, 256, 64
 
 
 def _described(turns: DataFrame) -> list:
